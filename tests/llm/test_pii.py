@@ -1,0 +1,90 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from quillspark.llm import pii
+
+GRAMMAR = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_luhn(d):
+    x = [int(c) for c in d[::-1]]
+    return (sum(x[::2]) + sum(sum(divmod(2 * v, 10)) for v in x[1::2])) % 10 == 0
+
+
+def plain(text):
+    out = []
+    for kind, g in GRAMMAR.items():
+        for m in re.finditer(g, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")),
+                "card": lambda: 14 <= len(digits) <= 19 and plain_luhn(digits),
+                "phone": lambda: 10 <= len(digits) <= 15,
+            }[kind]()
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return sorted(out, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+
+
+def base(text):
+    return [x for x in pii.spans(text) if x[0] in pii.BASE]
+
+
+def test_base_spans_equal_the_grammars_on_random_texts():
+    rng = random.Random(5)
+    alphabets = ["0123456789.", "0123456789 -", "+0123456789 ().-", "ab@.-+", "a1@. +-()é\n", "4 -", "01.@+ -()aé://iban"]
+    for i in range(30_000):
+        a = alphabets[i % len(alphabets)]
+        t = "".join(rng.choice(a) for _ in range(rng.randint(0, 60)))
+        assert base(t) == plain(t), repr(t)
+
+
+def test_base_spans_equal_the_grammars_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    n = 0
+    for r in pii.find(docs).collect():
+        want = plain(text[r.doc_id])
+        n += len(want)
+        assert r.base_sha256 == hashlib.sha256(pii.joined(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == b for k, _, _ in want) for b in pii.BASE]
+        assert set(pii.joined(want).split(",")) - {""} <= set(r.spans.split(","))
+    assert n > 10
+
+
+def test_added_kinds():
+    t = "see https://bob:pw@host.org/x IBAN: DE89 3704 0044 0532 0130 00 and SSN 123-45-6789, account no. 12345678"
+    got = {k: t[a:b] for k, a, b in pii.spans(t)}
+    assert got["url_user"] == "bob:pw" and got["iban"] == "DE89 3704 0044 0532 0130 00"
+    assert got["ssn"] == "123-45-6789" and got["account"] == "12345678"
+    assert not [x for x in pii.spans("IBAN: DE88 3704 0044 0532 0130 00, accounting 12345678") if x[0] in ("iban", "account")]
+
+
+def test_masking():
+    t = "İ mail a@b.cd or +49 (30) 123-4567-89."
+    assert pii.masked(t, pii.spans(t)) == "İ mail <EMAIL> or <PHONE>."
+    u = "x://a:b@c.de y"
+    assert pii.masked(u, pii.spans(u)) == "x://<URL_USER> y"
+
+
+def test_edges_of_the_domain(spark):
+    long = "a@b.cd " * 40_000
+    rows = [(1, None, None, 5), (2, "", "x", 0), (3, long, "x", 1), (3, long, "x", 1), (None, "9" * 6000 + ".1.1.1", "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").withColumn("spans", F.lit("x"))
+    got = pii.find(docs).collect()
+    assert [(r.doc_id, r.n_email) for r in got] == [(1, 0), (2, 0), (3, 40_000), (3, 40_000), (None, 0)]
+    assert got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    red = pii.redact(docs)
+    assert red.columns == docs.columns and red.schema == docs.schema
+    kept = red.collect()
+    assert kept[0].text is None and kept[0].n_chars == 5 and kept[2].text == "<EMAIL> " * 40_000 and kept[2].n_chars == 320_000
+    assert pii.find(docs.limit(0)).collect() == [] and pii.redact(docs.limit(0)).collect() == []
