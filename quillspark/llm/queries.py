@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm import bpe, pii
 from quillspark.llm.common import table
 from quillspark.llm.simhash import near_duplicates
 
@@ -14,7 +16,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
-_QUERIES = [op1_simhash_near_dedup]
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
+
+
+_QUERIES = [op1_simhash_near_dedup, op4_pii, op5_byte_bpe]
 _ORACLE: dict[str, str] = {}
 
 
