@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, pii, topk
+from quillspark.llm import bpe, langid, pii, token_count, topk
 from quillspark.llm.common import table
 from quillspark.llm.simhash import near_duplicates
 
 
+def held_out(modulus: int) -> Column:
+    """Rows whose crc32(doc_id as text) leaves 2; a null id is never held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -25,11 +34,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, ~held_out(4)))
+    return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-_QUERIES = [op1_simhash_near_dedup, op4_pii, op5_byte_bpe, op10_exact_topk]
+_QUERIES = [op1_simhash_near_dedup, op3_token_counts, op4_pii, op5_byte_bpe, op9_language_id, op10_exact_topk]
 _ORACLE: dict[str, str] = {
     "op10_exact_topk": """
 WITH u AS (
