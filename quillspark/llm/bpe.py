@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -161,13 +162,17 @@ def merge(piece: bytes, by_piece: dict[bytes, int]) -> list[int]:
         return [by_piece[piece]]
     n = len(piece)
     if n < 64:
-        parts = [piece[i : i + 1] for i in range(n)]
-        while len(parts) > 1:
-            best, at = min(((by_piece.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [by_piece[p] for p in parts]
+        get, never = by_piece.get, 1 << 60
+        at = list(range(n + 1))
+        pair = [get(piece[i : i + 2], never) for i in range(n - 1)]  # rank of each part joined with the next
+        while pair and (best := min(pair)) != never:
+            i = pair.index(best)
+            del at[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = get(piece[at[i] : at[i + 2]], never)
+            if i:
+                pair[i - 1] = get(piece[at[i - 1] : at[i + 1]], never)
+        return [by_piece[piece[a:b]] for a, b in zip(at, at[1:])]
     end = list(range(1, n + 1))  # of the part that begins here; 0: no part begins here
     before = list(range(-1, n - 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := by_piece.get(piece[i : i + 2])) is not None]
@@ -196,7 +201,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.by_piece, self.by_rank = ranks(path)
-        self.ids = Memo(lambda piece: np.array(merge(piece.encode(), self.by_piece), "<u4").tobytes(), 300_000)
+        self.ids = Memo(lambda piece: struct.pack(f"<{len(i := merge(piece.encode(), self.by_piece))}I", *i), 300_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
