@@ -129,3 +129,70 @@ def log_by_word(probabilities, words: list[str], order: int = ORDER) -> np.ndarr
     distinct, back = np.unique(grams, return_inverse=True)
     logs = np.log(probabilities(distinct))[back]
     return np.add.reduceat(logs, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+
+
+class PairModel:
+    """Two classes' models: their own counts at the highest order, shared lower orders."""
+
+    def __init__(self, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], order: int = ORDER):
+        self.order = order
+        self.tops = [Level.of(*_sums(*x)) for x in (one, other)]
+        self.lower = CharModel(np.concatenate([one[0], other[0]]), np.ones(len(one[0]) + len(other[0]), np.int64), order=order).levels[:-1]
+
+    def log_ratio(self, words: list[str]) -> np.ndarray:
+        """ln p(word | other) - ln p(word | one)."""
+        if not words:
+            return np.zeros(0)
+        grams, lengths = pack(words, self.order)
+        distinct, back = np.unique(grams, return_inverse=True)
+        p = np.full(len(distinct), 1 / (_MASK + 1))
+        for k, level in enumerate(self.lower, 1):
+            p = level.apply(distinct & np.uint64((1 << BITS * k) - 1), p)
+        one, other = (top.apply(distinct, p) for top in self.tops)
+        return np.add.reduceat((np.log(other) - np.log(one))[back], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+
+
+class WordCache:
+    """Values of words, computed for a batch's unknown words at once; emptied when it holds `most` of them."""
+
+    def __init__(self, values, most: int = 400_000):
+        self.values, self.most, self.known = values, most, {}
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The values of each text's words."""
+        known = self.known
+        new = list({w for ws in texts for w in ws if w not in known})
+        if new:
+            if len(known) + len(new) > self.most:
+                known.clear()
+                new = list({w for ws in texts for w in ws})
+            known.update(zip(new, self.values([w.decode("utf-8", "replace") for w in new]).tolist()))
+        get = known.__getitem__
+        return [np.fromiter(map(get, ws), np.float64, len(ws)) for ws in texts]
+
+
+def gram_counts(texts, groups: list[str], words, order: int = ORDER):
+    """(group columns, gram, n): counts of packed n-grams in a frame of (group columns, text). words: text to words."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.common import raw_texts, slices
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            keys = list(zip(*(batch.column(g).to_pylist() for g in groups)))
+            split = [words(t) for t in raw_texts(batch.column("text"))]
+            for key in sorted(set(keys)):
+                counted: dict[bytes, int] = {}
+                for k, ws in zip(keys, split):
+                    if k == key:
+                        for w in ws:
+                            counted[w] = counted.get(w, 0) + 1
+                if counted:
+                    gram, length = pack([w.decode("utf-8", "replace") for w in counted], order)
+                    gram, n = _sums(gram, np.repeat(np.array(list(counted.values()), np.int64), length))
+                    cols = [pa.array([v] * len(gram), pa.int32()) for v in key]
+                    yield pa.record_batch([*cols, pa.array(gram.view(np.int64)), pa.array(n)], [*groups, "gram", "n"])
+
+    schema = ", ".join([*(f"{g} int" for g in groups), "gram long, n long"])
+    return texts.mapInArrow(run, schema).groupBy(*groups, "gram").agg(F.sum("n").alias("n"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, langid, pii, token_count, topk
+from quillspark.llm import bpe, langid, pii, token_count, topk, toxicity
 from quillspark.llm.common import table
 from quillspark.llm.simhash import near_duplicates
 
@@ -34,6 +34,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(4)))
+    return found.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs, ~held_out(4)))
@@ -44,7 +50,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-_QUERIES = [op1_simhash_near_dedup, op3_token_counts, op4_pii, op5_byte_bpe, op9_language_id, op10_exact_topk]
+_QUERIES = [op1_simhash_near_dedup, op3_token_counts, op4_pii, op5_byte_bpe, op8_toxicity, op9_language_id, op10_exact_topk]
 _ORACLE: dict[str, str] = {
     "op10_exact_topk": """
 WITH u AS (
