@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, langid, pii, token_count, topk, toxicity
+from quillspark.llm import bpe, decontam, langid, pii, token_count, topk, toxicity
 from quillspark.llm.common import table
 from quillspark.llm.simhash import near_duplicates
 
@@ -22,6 +22,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
@@ -50,7 +54,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-_QUERIES = [op1_simhash_near_dedup, op3_token_counts, op4_pii, op5_byte_bpe, op8_toxicity, op9_language_id, op10_exact_topk]
+_QUERIES = [op1_simhash_near_dedup, op2_decontamination, op3_token_counts, op4_pii, op5_byte_bpe, op8_toxicity, op9_language_id, op10_exact_topk]
 _ORACLE: dict[str, str] = {
     "op10_exact_topk": """
 WITH u AS (
