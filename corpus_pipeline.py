@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import simhash
+from quillspark.llm import bpe, decontam, pii, simhash, toxicity
 from quillspark.llm.common import materialize, table
+from quillspark.llm.queries import held_out
+
+#: Differing fingerprint bits up to which two documents count as near copies here: more than the 2 of the plain query, which
+#: few near copies at a similarity of 0.8 to 0.95 keep to.
+NEAR_BITS = 4
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. It learns from the labels that op8_toxicity learns from."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(4)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays."""
+    return simhash.keep_one(docs, width=3, radius=NEAR_BITS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked; n_chars follows."""
+    return pii.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and what they decode to."""
+    return bpe.tokenize(docs, public_tokenizers.path(bpe.RANKS))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("toxicity", toxic), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("pii", mask_personal_data), ("byte_bpe", encode)]
 
 #: SQL has neither the hashes nor the models of these stages; tests hold them against plain versions.
 ORACLE_SQL = None
