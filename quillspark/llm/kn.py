@@ -180,7 +180,7 @@ def gram_counts(texts, groups: list[str], words, order: int = ORDER):
 
     def run(batches):
         for batch in slices(batches, "text"):
-            keys = list(zip(*(batch.column(g).to_pylist() for g in groups)))
+            keys = list(zip(*(batch.column(g).to_pylist() for g in groups))) if groups else [()] * batch.num_rows
             split = [words(t) for t in raw_texts(batch.column("text"))]
             for key in sorted(set(keys)):
                 counted: dict[bytes, int] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontam, langid, lm, pii, token_count, topk, toxicity
+from quillspark.llm import bpe, decontam, langid, lm, pii, quality, token_count, topk, toxicity
 from quillspark.llm.common import table
 from quillspark.llm.simhash import near_duplicates
 
@@ -38,6 +38,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.fit(docs, ~held_out(7))
@@ -61,7 +65,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-_QUERIES = [op1_simhash_near_dedup, op2_decontamination, op3_token_counts, op4_pii, op5_byte_bpe, op7_lm_scoring, op8_toxicity, op9_language_id, op10_exact_topk]
+_QUERIES = [op1_simhash_near_dedup, op2_decontamination, op3_token_counts, op4_pii, op5_byte_bpe, op6_quality, op7_lm_scoring, op8_toxicity, op9_language_id, op10_exact_topk]
 _ORACLE: dict[str, str] = {
     "op10_exact_topk": """
 WITH u AS (
