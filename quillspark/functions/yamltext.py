@@ -83,3 +83,14 @@ def dump(header: dict) -> str:
 
         return yaml.dump(header, Dumper=Dumper, sort_keys=False, allow_unicode=True, width=1 << 20)
     return "".join(f"{k}: {json.dumps(v, ensure_ascii=False)}\n" for k, v in header.items())
+
+
+def scalar(value) -> str:
+    """One value as YAML that `load` reads back: plain where that is safe, else in double quotes."""
+    if isinstance(value, str):
+        try:
+            plain = bool(re.fullmatch(r"[^\W\d][\w ./+-]*", value)) and value == value.strip() and load(value) == value
+        except YamlError:
+            plain = False
+        return value if plain else json.dumps(value, ensure_ascii=False)
+    return json.dumps(value)

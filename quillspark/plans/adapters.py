@@ -59,3 +59,52 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = F.expr("lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
     pairs = e.select(F.col("event_type"), following.alias("next")).where("next is not null").distinct()
     return pairs.select(F.concat("event_type", F.lit(".md")).alias("source_rel"), F.col("next").alias("target_stem"), F.lit("then").alias("relation_type"))
+
+
+def markdown_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw notes (rel_path, content_hash, size, content, error) written from tables: suppliers that declare a service, and nations."""
+    s, n, r = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    named = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    text = """---
+title: "{s_name}"
+type: service
+summary: "serves {n_name}"
+ports: ["{s_suppkey}:80"]
+tags: [supplier, "{n_name}"]
+relations:
+  located_in: "[[nation/{n_name}|home]]"
+invariants:
+  - key is {s_suppkey}
+---
+
+# {s_name}
+
+See [[{n_name}#facts]], not `[[code]]` or \\[[escaped]].
+
+## Invariants
+- stays in {n_name}
+
+```bash:verify
+test {s_suppkey} -ge 0
+```
+"""
+    supplier = named.select(F.concat(F.lit("supplier/"), F.translate("s_name", "#", "-"), F.lit(".md")).alias("rel_path"), _filled(text).alias("content"))
+    text = """---
+title: "{n_name}"
+date: 2020-01-01
+type: nation
+summary: "in {r_name}"
+---
+Part of [[region/{r_name}]] and [no file](missing/{n_nationkey}.md), see [outside](https://example.org).
+"""
+    nation = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("nation/"), "n_name", F.lit(".md")).alias("rel_path"), _filled(text).alias("content"))
+    both = supplier.unionByName(nation)
+    return both.select("rel_path", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size"), "content", F.lit(None).cast("string").alias("error"))
+
+
+def _filled(text: str):
+    """The text with each {column} replaced by its value."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*(F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)))

@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.latin import domain_is, nocase
 from quillspark.operators import audit, diff, fuse, graph, rank, vector
 from quillspark.plans import adapters as A
+from quillspark.plans import note_queries  # noqa: F401  (registers its queries)
 from quillspark.plans.bm25_sql import bm25_sql
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        _QUERIES[name] = f
-        if sql is not None:
-            _ORACLE[name] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
-
+from quillspark.plans.registry import oracle_sql, queries, query  # noqa: F401
 
 # --- ranked search
 
