@@ -92,5 +92,7 @@ def scalar(value) -> str:
             plain = bool(re.fullmatch(r"[^\W\d][\w ./+-]*", value)) and value == value.strip() and load(value) == value
         except YamlError:
             plain = False
-        return value if plain else json.dumps(value, ensure_ascii=False)
+        if plain:
+            return value
+        return re.sub(r"[^ -~]", lambda m: m[0] if m[0].isprintable() else f"\\U{ord(m[0]):08x}", json.dumps(value, ensure_ascii=False))
     return json.dumps(value)

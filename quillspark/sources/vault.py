@@ -84,17 +84,30 @@ def walk(root: Path, suffix: str = ".md", below: tuple[str, ...] = ("",)) -> tup
     return sorted(files), sorted(protected)
 
 
+def _opened(parts):
+    """Length and bytes of files; of those beyond the limit only the length."""
+    for part in parts:
+        size = part["path"].map(os.path.getsize)
+        yield part.assign(length=size, content=[Path(p).read_bytes() if n <= MOST_BYTES else b"" for p, n in zip(part["path"], size)])
+
+
 def read_files(spark: SparkSession, root: Path, files: list[str], group: int = 2000) -> DataFrame:
-    """(rel_path, content_hash, size, content, error): files by name, as a folder load would drop names that begin with _.
+    """(rel_path, content_hash, size, content, error) of files by name.
 
+    Spark's file listing drops names that begin with _, even of files given by path, so tasks open those themselves.
     Notes that are too large or not UTF-8 have an error and no content."""
     if not files:
         return spark.createDataFrame([], _SCHEMA)
     base = str(root.resolve())
-    out = None
-    for at in range(0, len(files), group):
-        raw = spark.read.format("binaryFile").load([f"file://{base}/{f}" for f in files[at : at + group]])
-        out = raw if out is None else out.unionByName(raw)
+    dropped = [f for f in files if any(p.startswith("_") and "=" not in p for p in f.split("/")[-1:])]
+    listed = sorted(set(files) - set(dropped))
+    parts = [spark.read.format("binaryFile").load([f"file://{base}/{f}" for f in listed[at : at + group]]).select("path", "length", "content") for at in range(0, len(listed), group)]
+    if dropped:
+        paths = spark.createDataFrame([(f"{base}/{f}",) for f in dropped], "path string")
+        parts.append(paths.mapInPandas(_opened, "path string, length bigint, content binary"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     path = F.regexp_replace(F.col("path"), "^file:/+", "/")
     rel = F.substring(path, len(base) + 2, 1 << 20)
     fits = F.col("length") <= MOST_BYTES
