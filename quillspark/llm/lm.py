@@ -34,13 +34,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Memo, free_shuffles, materialize, new_folder, raw_texts, slices, words_of
+from quillspark.llm.common import Memo, free_shuffles, give_back, materialize, new_folder, raw_texts, slices, words_of
 from quillspark.llm.kn import _sums, discounts_of
 
 #: Neither can be a word, as both are white space.
 END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n", b"\r"))
 #: Tokens that a task gathers before it sends their distinct bigrams, tokens scored at a time, and tokens a shard should hold.
-GATHER, SCORE_BYTES, SHARD_TOKENS = 4_000_000, 8 << 20, 2_500_000
+GATHER, SCORE_BYTES, SHARD_TOKENS = 2_000_000, 4 << 20, 1_250_000
 #: A first word is dealt by both words if it is more than this share of all tokens (and a quarter of a shard).
 FREQUENT = 1 / 1000
 
@@ -127,7 +127,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatc
     reader, tokens, before, n = Tokens(), [], [], 0
 
     def rows() -> pa.RecordBatch:
-        shard, blob = zip(*emit(np.concatenate(tokens), np.concatenate(before)))
+        whole = np.concatenate(tokens)
+        tokens.clear()
+        contexts = np.concatenate(before)
+        before.clear()
+        shard, blob = zip(*emit(whole, contexts))
         return pa.record_batch([pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], ["shard", "blob"])
 
     for batch in slices(batches, "text"):
@@ -137,9 +141,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatc
         n += len(t)
         if n >= GATHER:
             yield rows()
-            tokens, before, n = [], [], 0
+            n = 0
+            give_back()
     if n:
         yield rows()
+    give_back()
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> dict[int, list[list[np.ndarray]]]:
@@ -238,6 +244,7 @@ def _count_pairs(texts: DataFrame, model: Model) -> DataFrame:
             key, h, w, n = key[order], h[order], w[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key, h, w, n = key[first], h[first], w[first], np.add.reduceat(n, first)
+            del order, first
             save(folder, f"pair-{s}", key)
             save(folder, f"pairs-{s}", np.minimum(n, 2**32 - 1).astype(np.uint32))
             order = np.argsort(h, kind="stable")
@@ -252,7 +259,10 @@ def _count_pairs(texts: DataFrame, model: Model) -> DataFrame:
             words, seen = np.unique(w, return_counts=True)
             cut = np.searchsorted(range_shard(words, word_shards), np.arange(word_shards + 1))
             rows += [("word", t, None, None, None, None, None, _packed(words[a:b], seen[a:b].astype(np.uint64))) for t, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+            del key, h, w, n, order, first, by, sums, words, seen
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            del rows
+            give_back()
 
     sent = texts.mapInArrow(lambda b: _gathered(b, emit), "shard int, blob binary")
     schema = "kind string, shard int, key long, a long, b long, c long, d long, blob binary"
@@ -398,5 +408,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, "text", SCORE_BYTES):
             tokens, sizes = reader.of(raw_texts(batch.column("text")))
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), *map(pa.array, arrays.score(tokens, sizes))], names)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
