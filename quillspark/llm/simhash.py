@@ -7,6 +7,9 @@ brings each tree and its probes to one task; a driver-side broadcast of all tree
 `tree_rows` is cut into chunks, with one tree a chunk and every fingerprint of the shard probing every tree of it. A task
 emits a spanning forest of its links, never all pairs, so dense groups of near copies cost linear output.
 
+A small radius misses most pairs of a similarity of 0.8; further tables of fingerprints, from hashes mixed anew, give each
+pair further chances to lie within it, at a cost linear in their number and without larger shards.
+
 Nulls and edges: a null or blank text has fingerprint 0, linked like any other; a null doc_id takes part and counts only
 where no other member has an id; repeated rows come back once each; an empty table gives an empty result; extra columns
 are ignored.
@@ -24,40 +27,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import materialize, raw_texts, slices, words_of
+from quillspark.llm.common import free_shuffles, materialize, raw_texts, slices, words_of
 
 _PIECE = 1 << 16
 
 
+def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """The hashes of a further table: a bijective mix of the first table's, which are table 0."""
+    if not table:
+        return hashes
+    z = hashes + np.uint64(table * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """64-bit SimHash of a text's word shingles, repeats included; a bit is 1 if set in over half of the hashes."""
+    return table_fingerprints(text, width, 1)[0]
+
+
+def table_fingerprints(text: bytes, width: int, tables: int) -> list[int]:
+    """The text's SimHash in each table."""
     words = words_of(text)
     if not words:
-        return 0
+        return [0] * tables
     if len(words) < width:
         shingles = [b" ".join(words)]
     elif width == 3:
         shingles = [b"%b %b %b" % x for x in zip(words, words[1:], words[2:])]
     else:
         shingles = [b" ".join(x) for x in zip(*(words[i:] for i in range(width)))]
-    total, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    total, digest = np.zeros((tables, 64), np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(shingles), _PIECE):
         part = shingles[at : at + _PIECE]
         hashes = np.fromiter([digest(x, 42) for x in part], np.uint64, len(part))
-        total += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(shingles)).view(">u8")[0])
+        for t in range(tables):
+            total[t] += np.unpackbits(mixed(hashes, t).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > len(shingles), axis=1).view(">u8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1) -> DataFrame:
+    """(doc_id, fp, fp1, ..): the fingerprint of each table as a signed long."""
     kind = docs.schema["doc_id"].dataType
+    names = ["fp", *(f"fp{t}" for t in range(1, tables))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps = np.array([fingerprint(t, width) for t in raw_texts(batch.column("text"))], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([table_fingerprints(t, width, tables) for t in raw_texts(batch.column("text"))], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(fps[:, t]) for t in range(tables))], ["doc_id", *names])
 
-    schema = f"doc_id {kind.simpleString()}, fp long"
+    schema = ", ".join([f"doc_id {kind.simpleString()}", *(f"{n} long" for n in names)])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -239,22 +259,42 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.select("e.a", "e.b").where("a > b").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, tree_rows: int = 4096) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row a document with the smallest doc_id it is linked to, itself included."""
-    marked = materialize(fingerprints(docs, width), "simhash")
+def table_edges(marked: DataFrame, column: str, radius: int, tree_rows: int) -> DataFrame:
+    """(a, b), a > b: links between fingerprints `fp` of the first table that another table's fingerprint makes.
+
+    Members of one such fingerprint are linked to their smallest; its links to others hold between these smallest."""
+    nodes = materialize(marked.select("fp", F.col(column).alias("own")).distinct(), "nodes")
+    least = nodes.groupBy("own").agg(F.min("fp").alias("m"))
+    inner = nodes.join(least, "own").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    links = link_edges(least.select(F.col("own").alias("fp")), radius, tree_rows)
+    first, second = (least.select(F.col("own").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+    outer = links.join(first, "a").join(second, "b").select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b"))
+    return inner.unionByName(outer).where("a > b").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, tree_rows: int = 4096, tables: int = 1) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row a document with the smallest doc_id it is linked to, itself included.
+
+    With several tables, documents are linked that are within the radius in any of them."""
+    marked = materialize(fingerprints(docs, width, tables), "simhash")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("d"))
-    roots = components(link_edges(reps.select("fp"), radius, tree_rows)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    links = link_edges(reps.select("fp"), radius, tree_rows)
+    for t in range(1, tables):
+        links = materialize(links, "table-links")
+        free_shuffles(docs.sparkSession)
+        links = links.unionByName(table_edges(marked, f"fp{t}", radius, tree_rows))
+    roots = components(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = reps.join(roots, "fp", "left").select("fp", "d", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, tables: int = 1) -> DataFrame:
     """The documents that stand for their group, those with its smallest doc_id.
 
     Rows that repeat both doc_id and text stay once; rows without a doc_id stay, as no decision can reach them."""
-    classes = near_duplicates(docs, width, radius).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    classes = near_duplicates(docs, width, radius, tables=tables).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
     kept = classes.where("c = doc_id").select(F.col("doc_id").alias("kept_id"), "n")
     own = F.col("doc_id") == F.col("kept_id")
     once = docs.join(kept.where("n = 1").hint("shuffle_hash"), own, "left_semi")

@@ -1,11 +1,9 @@
-import numpy as np
 import public_tokenizers
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import bpe, decontam, toxicity
 from tests.llm.test_pii import plain
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_groups
 
 
 def test_stages_against_plain_versions(spark, sf):
@@ -20,14 +18,10 @@ def test_stages_against_plain_versions(spark, sf):
     left = [r for r, s in zip(rows, scores) if s < toxicity.THRESHOLD]
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in left}
 
-    fps = {r.doc_id: slow_fingerprint(r.text) for r in left}
-    groups = slow_components(set(fps.values()), corpus_pipeline.NEAR_BITS)
-    least = {}
-    for d, f in fps.items():
-        least[groups[f]] = min(d, least.get(groups[f], d))
+    least = slow_groups({r.doc_id: r.text for r in left}, 3, corpus_pipeline.NEAR_BITS, corpus_pipeline.NEAR_TABLES)
     one = stages["near_dedup"](spark, clean, sf)
     assert one.columns == docs.columns
-    left = [r for r in left if least[groups[fps[r.doc_id]]] == r.doc_id]
+    left = [r for r in left if least[r.doc_id] == r.doc_id]
     assert {r.doc_id for r in one.collect()} == {r.doc_id for r in left}
 
     whole = stages["decontamination"](spark, one, sf)

@@ -44,6 +44,24 @@ def slow_components(fps, radius):
     return out
 
 
+def slow_groups(texts, width, radius, tables):
+    """The smallest id of each document's group, where any table may link."""
+    fps = {d: simhash.table_fingerprints((t or "").encode(), width, tables) for d, t in texts.items()}
+    up = {d: d for d in fps}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sorted(fps)):
+        for b in sorted(fps)[:i]:
+            if any((x ^ y).bit_count() <= radius for x, y in zip(fps[a], fps[b])):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {d: root(d) for d in fps}
+
+
 def test_fingerprint_matches_plain_definition():
     for t in ["", " \t", "A", "a B", "the Cat sat ON the mat", "ÀÉ à x\x0by\x1cz\x85w v", "x " * 999]:
         assert simhash.fingerprint(t.encode()) == slow_fingerprint(t)
@@ -87,6 +105,14 @@ def test_near_duplicates_on_whole_table(spark, sf):
     assert got == want
 
 
+@pytest.mark.parametrize("tables", [2, 4])
+def test_any_table_links(spark, sf, tables):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = slow_groups({r.doc_id: r.text for r in docs.collect()}, 3, 4, tables)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, radius=4, tables=tables).collect()}
+    assert got == want
+
+
 def test_edges_of_the_domain(spark):
     long = "word " * 50_000
     rows = [(1, None, "x"), (2, "", None), (3, long, "x"), (3, long, "x"), (None, "lone text here now", None), (None, long, None), (7, "A b", "x"), (8, "a B", "x")]
