@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import Memo, slices
+from quillspark.llm.common import Memo, slices, tidied
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -246,7 +246,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
             decoded = pa.array([enc.decode(x) for x in ids], pa.binary())
             yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values), decoded], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -264,4 +264,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             ]
             yield pa.record_batch([batch.column("doc_id"), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -77,6 +77,16 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+def tidied(run):
+    """The function over batches, giving memory back when a task ends: more workers than tasks may be waiting for the next."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about `most` bytes of text (a longer text stands alone): memory stays bounded."""
     for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import Memo, materialize, raw_texts, slices
+from quillspark.llm.common import Memo, materialize, raw_texts, slices, tidied
 
 WINDOW, SHORTEST, SUBSTITUTED = 13, 5, 0.2
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
@@ -164,7 +164,7 @@ def _pass(docs: DataFrame, shared, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(xxhash.xxh64_intdigest)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             got = _scan(shared.value, raw_texts(batch.column("text")), memo)
             if "item_ids" in batch.schema.names:
                 before = zip(batch.column("contaminated").to_pylist(), batch.column("item_ids").to_pylist())
@@ -172,7 +172,7 @@ def _pass(docs: DataFrame, shared, kind: str) -> DataFrame:
             marks = [pa.array([x for x, _ in got], pa.bool_()), pa.array([x for _, x in got], pa.list_(pa.int64()))]
             yield pa.record_batch([batch.column("doc_id"), batch.column("text"), *marks], ["doc_id", "text", "contaminated", "item_ids"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text string, contaminated boolean, item_ids array<bigint>")
+    return docs.mapInArrow(tidied(run), f"doc_id {kind}, text string, contaminated boolean, item_ids array<bigint>")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_000) -> DataFrame:
@@ -182,9 +182,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_00
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memo = Memo(xxhash.xxh64_intdigest)
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", 1 << 20):
                 leaked = [x for x, _ in _scan(shared.value, raw_texts(batch.column("text")), memo)]
                 yield batch.filter(pa.array([not x for x in leaked], pa.bool_()))
 
-        docs = (materialize(docs, "decontam") if n else docs).mapInArrow(run, docs.schema)
+        docs = (materialize(docs, "decontam") if n else docs).mapInArrow(tidied(run), docs.schema)
     return docs

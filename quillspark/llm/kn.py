@@ -176,7 +176,7 @@ def gram_counts(texts, groups: list[str], words, order: int = ORDER):
     import pyarrow as pa
     from pyspark.sql import functions as F
 
-    from quillspark.llm.common import raw_texts, slices
+    from quillspark.llm.common import raw_texts, slices, tidied
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -195,4 +195,4 @@ def gram_counts(texts, groups: list[str], words, order: int = ORDER):
                     yield pa.record_batch([*cols, pa.array(gram.view(np.int64)), pa.array(n)], [*groups, "gram", "n"])
 
     schema = ", ".join([*(f"{g} int" for g in groups), "gram long, n long"])
-    return texts.mapInArrow(run, schema).groupBy(*groups, "gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidied(run), schema).groupBy(*groups, "gram").agg(F.sum("n").alias("n"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices
+from quillspark.llm.common import slices, tidied
 
 DIMENSIONS, SYMBOLS, SEED = 1024, 4096, 20_240_229
 UNDECIDED = "und"
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, is_training: Column, per_lang: int = 2000) -> tuple[lis
             sums = [vectors[langs == x].sum(0, dtype=np.float64).tolist() for x in names]
             yield pa.record_batch([pa.array(names, pa.string()), pa.array(sums, pa.list_(pa.float64()))], ["lang", "v"])
 
-    sums = chosen.select("lang", "text").mapInArrow(run, "lang string, v array<double>")
+    sums = chosen.select("lang", "text").mapInArrow(tidied(run), "lang string, v array<double>")
     rows = sums.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
     names = sorted({r["lang"] for r in rows})
     out, at = np.zeros((len(names), DIMENSIONS), np.float64), {x: i for i, x in enumerate(names)}
@@ -131,4 +131,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 pred, score = [UNDECIDED] * batch.num_rows, np.zeros(batch.num_rows)
             yield pa.record_batch([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, lang_pred string, score double")

@@ -34,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Memo, free_shuffles, give_back, materialize, new_folder, raw_texts, slices, words_of
+from quillspark.llm.common import Memo, free_shuffles, give_back, materialize, new_folder, raw_texts, slices, tidied, words_of
 from quillspark.llm.kn import _sums, discounts_of
 
 #: Neither can be a word, as both are white space.
@@ -410,4 +410,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), *map(pa.array, arrays.score(tokens, sizes))], names)
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")

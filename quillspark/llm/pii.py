@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import slices
+from quillspark.llm.common import slices, tidied
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url_user", "iban", "ssn", "account")
@@ -204,7 +204,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), *arrays], names)
 
     schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -222,4 +222,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols[at] = pa.array([o if t is None else len(t) for t, o in zip(texts, old)], batch.schema.field("n_chars").type)
             yield pa.record_batch(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

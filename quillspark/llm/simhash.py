@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import free_shuffles, materialize, raw_texts, slices, words_of
+from quillspark.llm.common import free_shuffles, materialize, raw_texts, slices, tidied, words_of
 
 _PIECE = 1 << 16
 
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(fps[:, t]) for t in range(tables))], ["doc_id", *names])
 
     schema = ", ".join([f"doc_id {kind.simpleString()}", *(f"{n} long" for n in names)])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 class BKTree:
@@ -225,7 +225,7 @@ def link_edges(fps: DataFrame, radius: int = 2, tree_rows: int = 4096) -> DataFr
         sized.where(F.col("n") <= tree_rows)
         .select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", F.lit(True).alias("own"))
         .sortWithinPartitions("t", "key")
-        .mapInArrow(_bk_links(radius), schema)
+        .mapInArrow(tidied(_bk_links(radius)), schema)
     )
     chunk = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tree_rows)).cast("int")
     units = (
@@ -235,7 +235,7 @@ def link_edges(fps: DataFrame, radius: int = 2, tree_rows: int = 4096) -> DataFr
         .select("t", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp", (F.col("c") <= F.col("o")).alias("own"))
         .repartition("t", "key", "i", "j")
         .sortWithinPartitions("t", "key", "i", "j")
-        .mapInArrow(_bk_links(radius), schema)
+        .mapInArrow(tidied(_bk_links(radius)), schema)
     )
     return whole.union(units).distinct()
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillspark.llm.bpe import ranks
-from quillspark.llm.common import Memo, raw_texts, slices
+from quillspark.llm.common import Memo, raw_texts, slices, tidied
 
 
 class LongestMatch:
@@ -98,4 +98,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             n_tokens = np.array([sum(map(counter.__getitem__, w)) for w in words], np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(n_words), pa.array(n_tokens)], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_words long, n_tokens long")

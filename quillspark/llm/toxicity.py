@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, raw_texts, slices
+from quillspark.llm.common import materialize, raw_texts, slices, tidied
 from quillspark.llm.kn import PairModel, WordCache, gram_counts
 
 STRONGEST, MARGIN, ORDER = (1, 3, 8), 2.0, 5
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column | None = None, m
                 x[at] = features(caches[f].of([texts[i] for i in at]))
             yield pa.record_batch([batch.column("toxic"), *(pa.array(x[:, j]) for j in range(N_FEATURES))], ["toxic", *(f"x{j}" for j in range(N_FEATURES))])
 
-    seen = sample.mapInArrow(run, ", ".join(["toxic int", *(f"x{j} double" for j in range(N_FEATURES))])).toArrow()
+    seen = sample.mapInArrow(tidied(run), ", ".join(["toxic int", *(f"x{j} double" for j in range(N_FEATURES))])).toArrow()
     y = seen.column("toxic").to_numpy().astype(float)
     x = np.column_stack([seen.column(f"x{j}").to_numpy() for j in range(N_FEATURES)])
     order = np.lexsort((*x.T, y))  # sums in one order, however the rows came
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             got = shared.value.score(raw_texts(batch.column("text")))
             yield pa.record_batch([batch.column("doc_id"), pa.array(got)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -157,4 +157,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(shared.value.score(raw_texts(batch.column("text"))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
