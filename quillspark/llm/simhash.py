@@ -10,6 +10,11 @@ emits a spanning forest of its links, never all pairs, so dense groups of near c
 A small radius misses most pairs of a similarity of 0.8; further tables of fingerprints, from hashes mixed anew, give each
 pair further chances to lie within it, at a cost linear in their number and without larger shards.
 
+`keep_unlike` takes the groups as candidates only: within a group, by doc_id, a document goes if the exact Jaccard similarity
+of its word shingles with a document that stays reaches the bar. Documents of equal shingles are compared once. A round
+decides the first HEADS members of every group, and holds what stays of them against the group's others, dealt over tasks;
+a group of members that are all unlike takes a comparison a pair, as any exact check of it does.
+
 Nulls and edges: a null or blank text has fingerprint 0, linked like any other; a null doc_id takes part and counts only
 where no other member has an id; repeated rows come back once each; an empty table gives an empty result; extra columns
 are ignored.
@@ -18,6 +23,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +36,8 @@ from pyspark.sql.window import Window
 from quillspark.llm.common import free_shuffles, materialize, raw_texts, slices, tidied, words_of
 
 _PIECE = 1 << 16
+#: Members of a group that a round decides among themselves, and their shingles (the first member may have more).
+HEADS, HEAD_SHINGLES = 512, 1 << 22
 
 
 def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
@@ -47,17 +55,20 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return table_fingerprints(text, width, 1)[0]
 
 
+def _shingles(words: list[bytes], width: int) -> list[bytes]:
+    """Runs of `width` words, repeats included; fewer words are one shingle."""
+    if len(words) < width:
+        return [b" ".join(words)] if words else []
+    if width == 3:
+        return [b"%b %b %b" % x for x in zip(words, words[1:], words[2:])]
+    return [b" ".join(x) for x in zip(*(words[i:] for i in range(width)))]
+
+
 def table_fingerprints(text: bytes, width: int, tables: int) -> list[int]:
     """The text's SimHash in each table."""
-    words = words_of(text)
-    if not words:
+    shingles = _shingles(words_of(text), width)
+    if not shingles:
         return [0] * tables
-    if len(words) < width:
-        shingles = [b" ".join(words)]
-    elif width == 3:
-        shingles = [b"%b %b %b" % x for x in zip(words, words[1:], words[2:])]
-    else:
-        shingles = [b" ".join(x) for x in zip(*(words[i:] for i in range(width)))]
     total, digest = np.zeros((tables, 64), np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(shingles), _PIECE):
         part = shingles[at : at + _PIECE]
@@ -300,3 +311,147 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, tables: int = 1)
     once = docs.join(kept.where("n = 1").hint("shuffle_hash"), own, "left_semi")
     again = docs.join(kept.where("n > 1").hint("shuffle_hash"), own, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, in order; a blank text has none."""
+    shingles = _shingles(words_of(text), width)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles)))
+
+
+class Sets:
+    """Shingle sets that others are held against, all at once."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.bar, self.sizes = Fraction(str(similarity)), np.array([len(x) for x in sets], np.int64)
+        keys = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+
+    def alike(self, x: np.ndarray) -> np.ndarray:
+        """Which sets have at least the Jaccard similarity to x; two empty sets are alike."""
+        left = np.searchsorted(self.keys, x, "left")
+        count = np.searchsorted(self.keys, x, "right") - left
+        at = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return common * self.bar.denominator >= (self.sizes + len(x) - common) * self.bar.numerator
+
+
+def first_unlike(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """Numbers of the sets that stay: in order, each that is not alike to one that stays before it."""
+    index, gone, kept = Sets(sets, similarity), np.zeros(len(sets), bool), []
+    for i, x in enumerate(sets):
+        if not gone[i]:
+            kept.append(i)
+            if i + 1 < len(sets):
+                gone |= index.alike(x)
+    return kept
+
+
+def _sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+
+
+def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(values, from, to) of runs of rows that agree in these columns."""
+    keys = list(zip(*(batch.column(n).to_pylist() for n in names)))
+    a = 0
+    for b in range(1, len(keys) + 1):
+        if b == len(keys) or keys[b] != keys[a]:
+            yield keys[a], a, b
+            a = b
+
+
+def _heads(similarity: float):
+    """Arrow function over rows sorted by group and order: the members that stay. At most HEADS rows a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for c, a, b in _runs(batch, ["c"]):
+                if c != group and held:
+                    yield from stay(held)
+                    held = []
+                group = c
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from stay(held)
+
+    def stay(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield from whole.take(first_unlike([x for b in held for x in _sets_of(b)], similarity)).to_batches()
+
+    return run
+
+
+def _others(similarity: float):
+    """Arrow function over rows sorted by group, part and kind, what stays (`head`) first: the others unlike all of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, heads, index = None, [], None
+        for batch in batches:
+            sets, out = _sets_of(batch), []
+            for (c, part, head), a, b in _runs(batch, ["c", "part", "head"]):
+                if (c, part) != group:
+                    group, heads, index = (c, part), [], None
+                if head:
+                    heads += sets[a:b]
+                    continue
+                index = index or Sets(heads, similarity)
+                out += [i for i in range(a, b) if not index.alike(sets[i]).any()]
+            yield batch.take(pa.array(out, pa.int64())).select(["c", "doc_id", "h", "n", "shingles"])
+
+    return run
+
+
+def unlike(members: DataFrame, similarity: float, width: int = 5, part_rows: int = 2048) -> DataFrame:
+    """(doc_id, h): the rows that stay, of members (c, doc_id, h, text): c is the group, h with doc_id names a row."""
+    spark, kind = members.sparkSession, members.schema["doc_id"].dataType.simpleString()
+    schema = f"c {kind}, doc_id {kind}, h long, n long, shingles binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [shingle_set(t, width) for t in raw_texts(batch.column("text"))]
+            cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.record_batch([*(batch.column(x) for x in ("c", "doc_id", "h")), *cols, same], ["c", "doc_id", "h", "n", "shingles", "same"])
+
+    sets = materialize(members.select("c", "doc_id", "h", "text").mapInArrow(tidied(run), f"{schema}, same binary"), "shingles")
+    first = sets.groupBy("c", "same").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("f.doc_id", "f.h")
+    left = materialize(sets.drop("same").join(first, ["doc_id", "h"], "left_semi").select("c", "doc_id", "h", "n", "shingles"), "left")
+    order, kept = Window.partitionBy("c").orderBy("doc_id", "h"), None
+    while True:
+        ranked = left.select("c", "doc_id", "h", "n").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HEADS)
+        ranked = ranked.withColumn("to", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("r") == 1) | (F.col("to") <= HEAD_SHINGLES))
+        ids = materialize(ranked.select("c", "doc_id", "h"), "head-ids")
+        heads = left.join(ids.select("doc_id", "h"), ["doc_id", "h"], "left_semi").select("c", "doc_id", "h", "n", "shingles")
+        stay = materialize(heads.repartition("c").sortWithinPartitions("c", "doc_id", "h").mapInArrow(tidied(_heads(similarity)), schema), "stay")
+        kept = stay.select("doc_id", "h") if kept is None else kept.unionByName(stay.select("doc_id", "h"))
+        if ids.count() == left.count():
+            return kept
+        rest = left.join(ids.select("doc_id", "h"), ["doc_id", "h"], "left_anti")
+        parts = rest.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+        dealt = rest.join(parts, "c").withColumn("part", F.pmod(F.xxhash64("doc_id", "h"), F.col("parts")).cast("int")).withColumn("head", F.lit(False))
+        held = stay.join(parts, "c").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("head", F.lit(True))
+        both = dealt.unionByName(held).select("c", "part", "head", "doc_id", "h", "n", "shingles")
+        both = both.repartition("c", "part").sortWithinPartitions("c", "part", F.desc("head"))
+        left = materialize(both.mapInArrow(tidied(_others(similarity)), schema), "left")
+        free_shuffles(spark)
+
+
+def keep_unlike(docs: DataFrame, similarity: float, width: int = 3, radius: int = 2, tables: int = 1) -> DataFrame:
+    """The documents without those that are at least so similar (5-word shingles) to one of their group that stays.
+
+    Rows that repeat both doc_id and text stay once; rows without a doc_id stay, as no decision can reach them."""
+    groups = near_duplicates(docs, width, radius, tables=tables).where("doc_id is not null")
+    groups = materialize(groups.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")), "groups")
+    free_shuffles(docs.sparkSession)
+    several = groups.groupBy("c").agg(F.sum("n").alias("rows")).where("rows > 1").select("c")
+    found = materialize(groups.join(several, "c", "left_semi").select(F.col("doc_id").alias("own_id"), "c"), "suspects")
+    own = F.col("doc_id") == F.col("own_id")
+    alone = docs.join(found.select("own_id").hint("shuffle_hash"), own, "left_anti")
+    row = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")
+    members = docs.join(found.hint("shuffle_hash"), own).select("c", "doc_id", F.xxhash64("text").alias("h"), "text", row)
+    members = materialize(members.dropDuplicates(["doc_id", "text"]), "members")
+    stay = members.join(unlike(members, similarity), ["doc_id", "h"], "left_semi").select("row.*")
+    return alone.unionByName(stay)
