@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of ASCII letters, digits and non-ASCII bytes, A-Z lowered. A seed is WINDOW - 1 tokens long, cut into four
+Tokens are runs of letters, digits and marks, A-Z lowered; each code point of a script that is written without spaces
+(UNSPACED) is a token of its own. White space, punctuation, symbols and controls of Unicode separate. A seed is WINDOW - 1 tokens long, cut into four
 blocks; each of six fixed masks ignores two of the blocks and hashes the tokens of the others. Whatever two tokens of a
 seed are substituted, some mask ignores both. Test hashes and training hashes are joined, and around each hit the text and
 the benchmark item are laid side by side: the document is contaminated by the item if some WINDOW consecutive tokens of
@@ -17,9 +18,13 @@ is carried as it is; an empty benchmark contaminates nothing; extra columns are
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from functools import cache
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,30 @@ _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 64, np.uint64) * np.ui
 _SALTS = np.random.default_rng(12).integers(0, 1 << 63, 1024, np.uint64)
 
 
+#: Thai, Lao, Myanmar, Khmer, Tai, Han, Kana and Bopomofo, as first and last code point; fixed values.
+UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029),
+    (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+]
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
+
+
+@cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """(separators beyond ASCII, code points that are tokens of their own)."""
+    apart = [c for c in range(0x80, sys.maxunicode + 1) if (k := unicodedata.category(chr(c)))[0] in "PSZ" or k == "Cc" or c in (0x200B, 0x2060, 0xFEFF)]
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(apart), lambda x: x[1] - x[0])]
+    return re.compile(_class([(x[0], x[-1]) for x in runs]) + "+"), re.compile(_class(UNSPACED))
+
+
 def tokens(text: bytes) -> list[bytes]:
+    if not text.isascii():
+        apart, alone = _patterns()
+        text = alone.sub(r" \g<0> ", apart.sub(" ", text.decode(errors="surrogateescape"))).encode(errors="surrogateescape")
     return text.translate(_FOLD).split()
 
 
@@ -129,7 +157,7 @@ def blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[Block]:
     part, n = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         if row["text"]:
-            size = len(row["text"].split())
+            size = len(tokens(row["text"].encode()))
             if part and n + size > block_tokens:
                 yield Block(part)
                 part, n = [], 0
