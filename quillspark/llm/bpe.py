@@ -234,19 +234,21 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded): the token ids of each whole text, and the bytes that they decode to."""
+    """(doc_id, ids, decoded, offsets): the token ids of each whole text, the bytes that they decode to, and the code points at
+    which the text's pieces begin."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in slices(batches, "text", 2 << 20):
-            ids = enc.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids, starts = zip(*enc.encode_with_offsets([t or "" for t in batch.column("text").to_pylist()]))
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             decoded = pa.array([enc.decode(x) for x in ids], pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values), decoded], ["doc_id", "ids", "decoded"])
+            offsets = pa.array(starts, pa.list_(pa.int32()))
+            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values), decoded, offsets], ["doc_id", "ids", "decoded", "offsets"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, ids array<int>, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, ids array<int>, decoded binary, offsets array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
