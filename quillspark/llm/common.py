@@ -53,6 +53,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until the frame has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back. A lost executor costs a reread, not a recompute."""
     path = new_folder(df.sparkSession, tag)

@@ -8,7 +8,8 @@ brings each tree and its probes to one task; a driver-side broadcast of all tree
 emits a spanning forest of its links, never all pairs, so dense groups of near copies cost linear output.
 
 A small radius misses most pairs of a similarity of 0.8; further tables of fingerprints, from hashes mixed anew, give each
-pair further chances to lie within it, at a cost linear in their number and without larger shards.
+pair further chances to lie within it, at a cost linear in their number and without larger shards. Links are contracted to
+component roots before further tables are searched: what is together already makes no more links.
 
 `keep_unlike` takes the groups as candidates only: within a group, by doc_id, a document goes if the exact Jaccard similarity
 of its word shingles with a document that stays reaches the bar. Documents of equal shingles are compared once. A round
@@ -33,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import free_shuffles, materialize, raw_texts, slices, tidied, words_of
+from quillspark.llm.common import free_shuffles, materialize, raw_texts, slices, tidied, unused, words_of
 
 _PIECE = 1 << 16
+#: Large shards up to which their list is broadcast (24 bytes each), and tables of fingerprints searched in one pass.
+MOST_BROADCAST, PASS_TABLES = 200_000, 3
 #: Members of a group that a round decides among themselves, and their shingles (the first member may have more).
 HEADS, HEAD_SHINGLES = 512, 1 << 22
 
@@ -147,10 +150,12 @@ class Forest:
             up[x], x = top, up[x]
         return top
 
-    def join(self, x: int, y: int) -> None:
+    def join(self, x: int, y: int) -> bool:
+        """Put two members together; whether they were apart."""
         x, y = self.root(x), self.root(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
+        return x != y
 
     def edges(self) -> list[tuple[int, int]]:
         return [(x, r) for x in self.up if (r := self.root(x)) != x]
@@ -160,56 +165,60 @@ _ALL = (1 << 64) - 1
 _signed = lambda x: x - (1 << 64) if x >> 63 else x
 
 
-def shard_links(fps: list[int], tree: list[bool], radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between members of one shard. tree: who stands in the tree; the others only probe."""
-    if len(fps) == 2:
-        a, b = fps
-        return [(max(fps), min(fps))] if ((a ^ b) & _ALL).bit_count() <= radius and (tree[0] or tree[1]) else []
-    bk, forest = BKTree(), Forest()
-    for x, own in zip(fps, tree):
-        if own:
+def shard_links(fps: list[int], roots: list[int], tree: list[bool], radius: int) -> list[tuple[int, int]]:
+    """Spanning forest, over the members' roots, of the links in one shard; the search ends when all roots are together.
+
+    tree: who stands in the tree; the others only probe."""
+    bk, forest, owner, apart = BKTree(), Forest(), [], len(set(roots)) - 1
+    for standing in (True, False):
+        for x, root, own in zip(fps, roots, tree):
+            if own is not standing:
+                continue
+            if not apart:
+                return forest.edges()
             key = x & _ALL
             for n in bk.near(key, radius):
-                forest.join(x, _signed(bk.keys[n]))
-            bk.add(key)
-    for x, own in zip(fps, tree):
-        if not own:
-            for n in bk.near(x & _ALL, radius):
-                forest.join(x, _signed(bk.keys[n]))
+                apart -= forest.join(root, owner[n])
+            if own and bk.add(key) == len(owner):
+                owner.append(root)
     return forest.edges()
 
 
 def _bk_links(radius: int):
     """Arrow function over rows sorted by shard: one BK-tree at a time, a spanning forest of links out."""
+    names = ["key", "i", "j", "fp", "root", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        shard, fps, tree = None, [], []
+        held = None
         for batch in batches:
-            cols = [batch.column(n).to_numpy() for n in ("t", "key", "i", "j")]
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            new = np.zeros(n, bool)
-            for c in cols:
+            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            new = np.zeros(len(cols[0]), bool)
+            for c in cols[:3]:
                 new[1:] |= c[1:] != c[:-1]
-            starts = [0, *np.flatnonzero(new).tolist(), n]
-            fp, own = batch.column("fp").to_pylist(), batch.column("own").to_pylist()
-            for a, b in zip(starts, starts[1:]):
-                now = tuple(c[a] for c in cols)
-                if now != shard:
-                    if len(fps) > 1:
-                        out += shard_links(fps, tree, radius)
-                    shard, fps, tree = now, [], []
-                fps += fp[a:b]
-                tree += own[a:b]
+            starts = np.concatenate([[0], np.flatnonzero(new)])
+            linked(cols, starts, out)
+            held = [c[starts[-1] :] for c in cols]  # the next batch may go on with it
             if len(out) > 50_000:
                 yield _edges(out)
                 out = []
-        if len(fps) > 1:
-            out += shard_links(fps, tree, radius)
+        if held is not None:
+            linked(held, np.array([0, len(held[0])]), out)
         yield _edges(out)
 
+    def linked(cols: list[np.ndarray], starts: np.ndarray, out: list[tuple[int, int]]) -> None:
+        """Links of the shards between these starts; a shard of one root has none to find."""
+        if len(starts) < 2:
+            return
+        fp, root, own = (c[: starts[-1]] for c in cols[3:])
+        live = np.flatnonzero(np.minimum.reduceat(root, starts[:-1]) < np.maximum.reduceat(root, starts[:-1]))
+        for a, b in zip(starts[live].tolist(), starts[live + 1].tolist()):
+            out += shard_links(fp[a:b].tolist(), root[a:b].tolist(), own[a:b].tolist(), radius)
+
     return run
 
 
@@ -226,29 +235,30 @@ def block_masks(radius: int) -> list[int]:
     return [_signed(sum(x)) for x in combinations(block, k)]
 
 
-def link_edges(fps: DataFrame, radius: int = 2, tree_rows: int = 4096) -> DataFrame:
-    """(a, b), a > b: links within the radius between distinct fingerprints `fp`, a spanning forest for each shard."""
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(block_masks(radius))])
-    rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
-    sized = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "key"))).where("n > 1")
-    schema = "a long, b long"
-    whole = (
-        sized.where(F.col("n") <= tree_rows)
-        .select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", F.lit(True).alias("own"))
-        .sortWithinPartitions("t", "key")
-        .mapInArrow(tidied(_bk_links(radius)), schema)
-    )
-    chunk = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tree_rows)).cast("int")
-    units = (
-        sized.where(F.col("n") > tree_rows)
-        .withColumn("c", chunk)
-        .withColumn("o", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / tree_rows) - 1).cast("int"))))
-        .select("t", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp", (F.col("c") <= F.col("o")).alias("own"))
-        .repartition("t", "key", "i", "j")
-        .sortWithinPartitions("t", "key", "i", "j")
-        .mapInArrow(tidied(_bk_links(radius)), schema)
-    )
-    return whole.union(units).distinct()
+def link_edges(nodes: DataFrame, radius: int = 2, tree_rows: int = 4096) -> DataFrame:
+    """(a, b), a > b: links within the radius between distinct fingerprints `fp`, a spanning forest for each shard.
+
+    With a column `root` the links hold between the roots of the fingerprints, and those inside a root are left out; with a
+    column `space` only fingerprints of the same space are compared. Shards above `tree_rows` are counted first, by a
+    pre-aggregated count, and their rows are dealt to units of two chunks before any task holds them."""
+    if "root" not in nodes.columns:
+        nodes = nodes.withColumn("root", F.col("fp"))
+    space = [F.col("space")] if "space" in nodes.columns else []
+    keys = F.array(*[F.xxhash64(F.lit(t), *space, F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(block_masks(radius))])
+    rows = nodes.select("fp", "root", F.explode(keys).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("live")).where(F.col("n") > tree_rows)
+    large = materialize(sizes, "large-shards")
+    n_large = large.count()
+    if n_large:
+        large = F.broadcast(large) if n_large <= MOST_BROADCAST else large
+        rows = rows.join(large, "key", "left").where("n IS NULL OR live")
+        chunks = F.coalesce(F.ceil(F.col("n") / tree_rows), F.lit(1)).cast("int")
+        rows = rows.withColumn("c", F.pmod(F.xxhash64("fp"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        units = rows.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp", "root", (F.col("c") <= F.col("o")).alias("own"))
+    else:
+        units = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "root", F.lit(True).alias("own"))
+    dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(tidied(_bk_links(radius)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -270,34 +280,38 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.select("e.a", "e.b").where("a > b").distinct(), "links")
 
 
-def table_edges(marked: DataFrame, column: str, radius: int, tree_rows: int) -> DataFrame:
-    """(a, b), a > b: links between fingerprints `fp` of the first table that another table's fingerprint makes.
+def _merged(heads: DataFrame, roots: DataFrame, names: list[str], radius: int, tree_rows: int) -> DataFrame:
+    """The roots (fp, root) after the links that these tables' fingerprints make.
 
-    Members of one such fingerprint are linked to their smallest; its links to others hold between these smallest."""
-    nodes = materialize(marked.select("fp", F.col(column).alias("own")).distinct(), "nodes")
-    least = nodes.groupBy("own").agg(F.min("fp").alias("m"))
-    inner = nodes.join(least, "own").select(F.col("fp").alias("a"), F.col("m").alias("b"))
-    links = link_edges(least.select(F.col("own").alias("fp")), radius, tree_rows)
-    first, second = (least.select(F.col("own").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
-    outer = links.join(first, "a").join(second, "b").select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b"))
-    return inner.unionByName(outer).where("a > b").distinct()
+    Roots that share one fingerprint are linked to the smallest of them; links to other fingerprints hold between these
+    smallest, so a group that is together already takes part as one node a fingerprint and makes no further links."""
+    owned = F.array(*[F.struct(F.lit(i).alias("space"), F.col(x).alias("fp")) for i, x in enumerate(names)])
+    nodes = heads.join(roots, "fp").select("root", F.explode(owned).alias("o")).select("o.space", "o.fp", "root").distinct()
+    nodes = materialize(nodes, "nodes") if names != ["fp"] else nodes
+    least = nodes.groupBy("space", "fp").agg(F.min("root").alias("m"), F.max("root").alias("x"))
+    links = link_edges(least.select("space", "fp", F.col("m").alias("root")), radius, tree_rows)
+    if names != ["fp"]:
+        inner = nodes.join(materialize(least.where("m < x"), "several-roots"), ["space", "fp"])
+        links = links.unionByName(inner.select(F.col("root").alias("a"), F.col("m").alias("b")))
+    found = components(links).select(F.col("a").alias("root"), F.col("b").alias("least"))
+    return materialize(roots.join(found, "root", "left").select("fp", F.coalesce("least", "root").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, tree_rows: int = 4096, tables: int = 1) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row a document with the smallest doc_id it is linked to, itself included.
 
-    With several tables, documents are linked that are within the radius in any of them."""
+    With several tables, documents are linked that are within the radius in any of them. The first table's links are
+    contracted to roots before the others are searched, PASS_TABLES at a time."""
+    spark = docs.sparkSession
     marked = materialize(fingerprints(docs, width, tables), "simhash")
-    reps = marked.groupBy("fp").agg(F.min("doc_id").alias("d"))
-    links = link_edges(reps.select("fp"), radius, tree_rows)
-    for t in range(1, tables):
-        links = materialize(links, "table-links")
-        free_shuffles(docs.sparkSession)
-        links = links.unionByName(table_edges(marked, f"fp{t}", radius, tree_rows))
-    roots = components(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = reps.join(roots, "fp", "left").select("fp", "d", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    names = ["fp", *(f"fp{t}" for t in range(1, tables))]
+    heads = materialize(marked.select(*names).distinct(), "heads") if tables > 1 else marked.select("fp").distinct()
+    roots = heads.select("fp").distinct().withColumn("root", F.col("fp"))
+    for part in [names[:1], *(names[i : i + PASS_TABLES] for i in range(1, tables, PASS_TABLES))]:
+        roots = _merged(heads, roots, part, radius, tree_rows)
+        free_shuffles(spark)
+    least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("d")).join(roots, "fp").groupBy("root").agg(F.min("d").alias("component_id")), "least")
+    classes = materialize(roots.join(least, "root").select("fp", "component_id"), "classes")
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -306,11 +320,11 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, tables: int = 1)
 
     Rows that repeat both doc_id and text stay once; rows without a doc_id stay, as no decision can reach them."""
     classes = near_duplicates(docs, width, radius, tables=tables).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    kept = classes.where("c = doc_id").select(F.col("doc_id").alias("kept_id"), "n")
-    own = F.col("doc_id") == F.col("kept_id")
-    once = docs.join(kept.where("n = 1").hint("shuffle_hash"), own, "left_semi")
-    again = docs.join(kept.where("n > 1").hint("shuffle_hash"), own, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    kept_id, n = unused(docs, "kept_id"), unused(docs, "n_rows")
+    kept = materialize(classes.where("c = doc_id").select(F.col("doc_id").alias(kept_id), F.col("n").alias(n)), "kept")
+    found = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col(kept_id)).drop(kept_id)
+    again = found.where(F.col(n) > 1).drop(n).dropDuplicates(["doc_id", "text"])
+    return found.where(F.col(n) == 1).drop(n).unionByName(again).unionByName(docs.where("doc_id is null"))
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -416,7 +430,10 @@ def unlike(members: DataFrame, similarity: float, width: int = 5, part_rows: int
             same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             yield pa.record_batch([*(batch.column(x) for x in ("c", "doc_id", "h")), *cols, same], ["c", "doc_id", "h", "n", "shingles", "same"])
 
-    sets = materialize(members.select("c", "doc_id", "h", "text").mapInArrow(tidied(run), f"{schema}, same binary"), "shingles")
+    texts = members.select("c", "doc_id", "h", "text")
+    alone = texts.groupBy("c", F.md5(F.coalesce("text", F.lit(""))).alias("own")).agg(F.min(F.struct("doc_id", "h")).alias("f")).select("f.doc_id", "f.h")
+    texts = texts.join(materialize(alone, "distinct-texts"), ["doc_id", "h"], "left_semi").select("c", "doc_id", "h", "text")
+    sets = materialize(texts.mapInArrow(tidied(run), f"{schema}, same binary"), "shingles")
     first = sets.groupBy("c", "same").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("f.doc_id", "f.h")
     left = materialize(sets.drop("same").join(first, ["doc_id", "h"], "left_semi").select("c", "doc_id", "h", "n", "shingles"), "left")
     order, kept = Window.partitionBy("c").orderBy("doc_id", "h"), None
@@ -446,12 +463,14 @@ def keep_unlike(docs: DataFrame, similarity: float, width: int = 3, radius: int
     groups = near_duplicates(docs, width, radius, tables=tables).where("doc_id is not null")
     groups = materialize(groups.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")), "groups")
     free_shuffles(docs.sparkSession)
-    several = groups.groupBy("c").agg(F.sum("n").alias("rows")).where("rows > 1").select("c")
-    found = materialize(groups.join(several, "c", "left_semi").select(F.col("doc_id").alias("own_id"), "c"), "suspects")
-    own = F.col("doc_id") == F.col("own_id")
-    alone = docs.join(found.select("own_id").hint("shuffle_hash"), own, "left_anti")
+    several = materialize(groups.groupBy("c").agg(F.sum("n").alias("rows")).where("rows > 1").select("c"), "several")
+    own_id, group = unused(docs, "own_id"), unused(docs, "own_group")
+    found = materialize(groups.join(several, "c", "left_semi").select(F.col("doc_id").alias(own_id), F.col("c").alias(group)), "suspects")
+    # the texts are shuffled once, and whole rows are written beside their groups
+    tagged = materialize(docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col(own_id), "left").drop(own_id), "tagged")
+    free_shuffles(docs.sparkSession)
     row = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")
-    members = docs.join(found.hint("shuffle_hash"), own).select("c", "doc_id", F.xxhash64("text").alias("h"), "text", row)
+    members = tagged.where(F.col(group).isNotNull()).select(F.col(group).alias("c"), "doc_id", F.xxhash64("text").alias("h"), "text", row)
     members = materialize(members.dropDuplicates(["doc_id", "text"]), "members")
     stay = members.join(unlike(members, similarity), ["doc_id", "h"], "left_semi").select("row.*")
-    return alone.unionByName(stay)
+    return tagged.where(F.col(group).isNull()).drop(group).unionByName(stay)

@@ -4,6 +4,7 @@ import corpus_pipeline
 from quillspark.llm import bpe, decontam, toxicity
 from tests.llm.test_pii import plain
 from tests.llm.test_simhash import slow_groups
+from tests.llm.test_verified_dedup import plain_stay
 
 
 def test_stages_against_plain_versions(spark, sf):
@@ -18,10 +19,11 @@ def test_stages_against_plain_versions(spark, sf):
     left = [r for r, s in zip(rows, scores) if s < toxicity.THRESHOLD]
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in left}
 
-    least = slow_groups({r.doc_id: r.text for r in left}, 3, corpus_pipeline.NEAR_BITS, corpus_pipeline.NEAR_TABLES)
+    texts = {r.doc_id: r.text for r in left}
+    stay = plain_stay(slow_groups(texts, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_BITS, corpus_pipeline.NEAR_TABLES), texts)
     one = stages["near_dedup"](spark, clean, sf)
     assert one.columns == docs.columns
-    left = [r for r in left if least[r.doc_id] == r.doc_id]
+    left = [r for r in left if r.doc_id in stay]
     assert {r.doc_id for r in one.collect()} == {r.doc_id for r in left}
 
     whole = stages["decontamination"](spark, one, sf)
