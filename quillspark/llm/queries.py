@@ -68,16 +68,16 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = [op1_simhash_near_dedup, op2_decontamination, op3_token_counts, op4_pii, op5_byte_bpe, op6_quality, op7_lm_scoring, op8_toxicity, op9_language_id, op10_exact_topk]
 _ORACLE: dict[str, str] = {
     "op10_exact_topk": """
-WITH u AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH u AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS score
-  FROM u q JOIN u c ON c.vec_id <> q.vec_id
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS score
+  FROM u q JOIN u c ON c.r <> q.r AND len(c.v) = len(q.v)
   WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM p
 )
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE k <= 5
 """,
