@@ -6,10 +6,12 @@ blocks; each of six fixed masks ignores two of the blocks and hashes the tokens
 seed are substituted, some mask ignores both. Test hashes and training hashes are joined, and around each hit the text and
 the benchmark item are laid side by side: the document is contaminated by the item if some WINDOW consecutive tokens of
 the item stand in it with at most 20 % of them substituted. Items shorter than WINDOW count as one window of their own
-length, with seeds of that length; items of fewer than SHORTEST tokens can't tell a leak from chance and match nothing.
+length, with seeds of that length; an item of fewer than SHORTEST tokens inside a longer text can't be told from chance, so it
+contaminates the documents that have its tokens and no others.
 
-The benchmark is read in blocks of at most `block_tokens` tokens (a longer item stands alone), so what is broadcast, and
-joined on the map side without a shuffle of the corpus, is bounded; a larger benchmark takes more passes.
+The benchmark is read in blocks of at most `block_tokens` tokens (a longer item stands alone), PASS_BLOCKS of them a pass over
+the corpus, so what is broadcast, and joined on the map side without a shuffle of the corpus, is bounded; a larger benchmark
+takes more passes.
 
 Nulls and edges: a null or empty text or item has no tokens and matches nothing; an item without an id contaminates but is
 not listed; texts of any length are read whole; repeated items are all listed, repeated rows give repeated results; doc_id
@@ -24,7 +26,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations, groupby
+from itertools import combinations, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from pyspark.sql import DataFrame
 from quillspark.llm.common import Memo, materialize, raw_texts, slices, tidied
 
 WINDOW, SHORTEST, SUBSTITUTED = 13, 5, 0.2
+#: Blocks of the benchmark that are searched in one pass over the corpus.
+PASS_BLOCKS = 4
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 _BITMAP_BITS = 24
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,10 +92,11 @@ class Block:
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
         same: dict[tuple[bytes, ...], list[int | None]] = defaultdict(list)
+        self.whole: dict[tuple[bytes, ...], list[int | None]] = defaultdict(list)  # short items, matched as whole texts
         for item_id, text in items:
             words = tuple(tokens(text))
-            if len(words) >= SHORTEST:
-                same[words].append(item_id)
+            if words:
+                (same if len(words) >= SHORTEST else self.whole)[words].append(item_id)
         self.ids = [sorted(i for i in ids if i is not None) for ids in same.values()]
         self.words = [np.array([xxhash.xxh64_intdigest(w) for w in ws], np.uint64) for ws in same]
         self.spans = sorted({min(WINDOW - 1, len(w)) for w in self.words})
@@ -167,28 +172,48 @@ def blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[Block]:
         yield Block(part)
 
 
-def _scan(block: Block, texts: list[bytes], memo: Memo) -> list[tuple[bool, list[int]]]:
+def passes(benchmark: DataFrame, block_tokens: int) -> Iterator[list[Block]]:
+    """The blocks that are searched together."""
+    found = blocks(benchmark, block_tokens)
+    while part := list(islice(found, PASS_BLOCKS)):
+        yield part
+
+
+def _scan(parts: list[Block], texts: list[bytes], memo: Memo) -> list[tuple[bool, list[int]]]:
     """(contaminated, item ids) of each text."""
     words = [tokens(t) for t in texts]
     heads = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:-1].astype(np.int64)
     hashes = np.fromiter((memo[w] for ws in words for w in ws), np.uint64, sum(map(len, words)))
-    return [(bool(x), sorted({i for n in x for i in block.ids[n]})) for x in block.leaks(hashes, heads)]
+    leaked, ids = [False] * len(texts), [set() for _ in texts]
+    for block in parts:
+        for k, (ws, found) in enumerate(zip(words, block.leaks(hashes, heads))):
+            listed = [block.ids[n] for n in found]
+            if len(ws) < SHORTEST and (short := block.whole.get(tuple(ws))):
+                listed.append([i for i in short if i is not None])
+            leaked[k] |= bool(listed)
+            ids[k].update(*listed)
+    return [(a, sorted(b)) for a, b in zip(leaked, ids)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_000) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids): one row a document, item_ids in order."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    marked = None
-    for block in blocks(benchmark, block_tokens):
-        shared = spark.sparkContext.broadcast(block)
-        marked = _pass(docs.select("doc_id", "text") if marked is None else materialize(marked, "decontam"), shared, kind)
+    marked, shared = None, None
+    for part in passes(benchmark, block_tokens):
+        if marked is None:
+            before = docs.select("doc_id", "text")
+        else:
+            before = materialize(marked, "decontam")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(part)
+        marked = _pass(before, shared, kind)
     if marked is None:
         return docs.selectExpr("doc_id", "false AS contaminated", "0L AS n_items", "CAST(array() AS array<bigint>) AS item_ids")
     return marked.selectExpr("doc_id", "contaminated", "CAST(size(item_ids) AS bigint) AS n_items", "item_ids")
 
 
 def _pass(docs: DataFrame, shared, kind: str) -> DataFrame:
-    """Marks from one block, joined with those of the blocks before."""
+    """Marks from some blocks, joined with those of the blocks before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(xxhash.xxh64_intdigest)
@@ -205,8 +230,12 @@ def _pass(docs: DataFrame, shared, kind: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_000) -> DataFrame:
     """The documents, with all their columns, that hold no passage of the benchmark."""
-    for n, block in enumerate(blocks(benchmark, block_tokens)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    last = None
+    for part in passes(benchmark, block_tokens):
+        if last is not None:
+            docs = materialize(docs, "decontam")
+            last.destroy()
+        shared = last = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memo = Memo(xxhash.xxh64_intdigest)
@@ -214,5 +243,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_00
                 leaked = [x for x, _ in _scan(shared.value, raw_texts(batch.column("text")), memo)]
                 yield batch.filter(pa.array([not x for x in leaked], pa.bool_()))
 
-        docs = (materialize(docs, "decontam") if n else docs).mapInArrow(tidied(run), docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

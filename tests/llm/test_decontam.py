@@ -15,6 +15,8 @@ def brute(text, items):
     for item_id, item in items:
         w = decontam.tokens((item or "").encode())
         if len(w) < decontam.SHORTEST:
+            if w and w == t:
+                out.add(item_id)
             continue
         n = min(decontam.WINDOW, len(w))
         for o in range(len(w) - n + 1):
@@ -42,6 +44,7 @@ def test_same_as_brute_force(spark, block_tokens):
             at = rng.randint(0, len(words))
             words[at:at] = cut
         docs.append((d, ", ".join(words), "x"))
+    docs += [(150 + i, f" {t.upper()}! ", "x") for i, t in items if t and len(t.split()) == 3]
     df, bench = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
     got = {r.doc_id: (r.contaminated, r.item_ids, r.n_items) for r in decontam.find(df, bench, block_tokens).collect()}
     want = {d: sorted(brute(t, items)) for d, t, _ in docs}
@@ -70,9 +73,19 @@ def test_edges_of_the_domain(spark):
     docs = spark.createDataFrame(rows, DOC).withColumn("item_ids", F.lit("x")).withColumn("contaminated", F.lit("x"))
     bench = spark.createDataFrame([(7, passage), (7, passage), (None, passage), (8, "one two"), (9, None)], ITEM).withColumn("doc_id", F.lit(1))
     got = [(r.doc_id, r.contaminated, r.item_ids) for r in decontam.find(docs, bench).collect()]
-    assert got == [(1, False, []), (2, False, []), (3, True, [7]), (3, True, [7]), (None, True, [7]), (4, False, []), (5, True, [7])]
+    assert got == [(1, False, []), (2, False, []), (3, True, [7]), (3, True, [7]), (None, True, [7]), (4, True, [8]), (5, True, [7])]
     kept = decontam.keep_clean(docs, bench)
-    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 2, 4]
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 2]
     assert decontam.find(docs.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in decontam.find(docs, bench.limit(0)).collect())
     assert decontam.keep_clean(docs, bench.limit(0)).count() == 7
+
+
+def test_several_blocks_a_pass_and_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PASS_BLOCKS", 2)
+    items = [(i, " ".join(f"t{i}x{j}" for j in range(n))) for i, n in enumerate([14, 2, 20, 1, 13, 30])]
+    docs = [(i, t, "x") for i, t in items] + [(6, items[0][1] + " and " + items[5][1], "x"), (7, "t1x0 t1x1 more", "x")]
+    df, bench = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
+    got = {r.doc_id: r.item_ids for r in decontam.find(df, bench, 15).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 6: [0, 5], 7: []}
+    assert [r.doc_id for r in decontam.keep_clean(df, bench, 15).collect()] == [7]
