@@ -202,14 +202,15 @@ class Encoder:
     def __init__(self, path: str):
         self.by_piece, self.by_rank = ranks(path)
         self.ids = Memo(lambda piece: struct.pack(f"<{len(i := merge(piece.encode(), self.by_piece))}I", *i), 300_000)
+        self.pieces = Memo(self.decode, 300_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [x for x, _ in self.encode_with_offsets(texts)]
+        return [x[0] for x in self.encode_with_offsets(texts)]
 
-    def encode_with_offsets(self, texts: list[str]) -> list[tuple[bytes, list[int]]]:
-        """The same, with the code points at which the text's pieces begin."""
-        out: list[tuple[bytes, list[int]]] = [(b"", [])] * len(texts)
+    def encode_with_offsets(self, texts: list[str]) -> list[tuple[bytes, list[int], list[int]]]:
+        """The same, with the offsets of the text's pieces: the code points at which they begin, and the ids at which they end."""
+        out: list[tuple[bytes, list[int], list[int]]] = [(b"", [], [])] * len(texts)
         full = [i for i, t in enumerate(texts) if t]
         if not full:
             return out
@@ -221,11 +222,19 @@ class Encoder:
         for k, i in enumerate(full):
             text, own = texts[i], (starts[first[k] : first[k + 1]] - heads[k]).tolist()
             ids = self.ids
-            out[i] = (b"".join([ids[text[a:b]] for a, b in zip(own, [*own[1:], len(text)])]), own)
+            parts = [ids[text[a:b]] for a, b in zip(own, [*own[1:], len(text)])]
+            out[i] = (b"".join(parts), own, (np.cumsum(list(map(len, parts))) // 4).tolist())
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.by_rank.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes, ends: list[int] | None = None) -> bytes:
+        """The bytes of the ids. With the ids at which the pieces end, a piece that was decoded before is taken as a whole."""
+        if ends is None:
+            return b"".join(map(self.by_rank.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        pieces, a, out = self.pieces, 0, []
+        for b in ends:
+            out.append(pieces[ids[4 * a : 4 * b]])
+            a = b
+        return b"".join(out)
 
 
 @lru_cache(2)
@@ -241,10 +250,10 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in slices(batches, "text", 2 << 20):
-            ids, starts = zip(*enc.encode_with_offsets([t or "" for t in batch.column("text").to_pylist()]))
+            ids, starts, stops = zip(*enc.encode_with_offsets([t or "" for t in batch.column("text").to_pylist()]))
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            decoded = pa.array([enc.decode(x) for x in ids], pa.binary())
+            decoded = pa.array(list(map(enc.decode, ids, stops)), pa.binary())
             offsets = pa.array(starts, pa.list_(pa.int32()))
             yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values), decoded, offsets], ["doc_id", "ids", "decoded", "offsets"])
 
@@ -252,18 +261,22 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): as tokenize, but only digests leave the workers."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces, offsets_sha256): as tokenize, but only digests leave the workers.
+
+    offsets_sha256 is of the code points at which the pieces begin, as little-endian unsigned 32-bit integers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in slices(batches, "text", 2 << 20):
-            ids = enc.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids, starts, stops = zip(*enc.encode_with_offsets([t or "" for t in batch.column("text").to_pylist()]))
             cols = [
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(enc.decode(*x)).hexdigest() for x in zip(ids, stops)], pa.string()),
+                pa.array([len(x) for x in starts], pa.int64()),
+                pa.array([hashlib.sha256(np.array(x, "<u4")).hexdigest() for x in starts], pa.string()),
             ]
-            yield pa.record_batch([batch.column("doc_id"), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch([batch.column("doc_id"), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_pieces", "offsets_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long, offsets_sha256 string")

@@ -22,7 +22,7 @@ def library():
 
 def pieces(texts):
     got = bpe.encoder(PATH).encode_with_offsets(texts)
-    return [[t[a:b] for a, b in zip(at, [*at[1:], len(t)])] for t, (_, at) in zip(texts, got)]
+    return [[t[a:b] for a, b in zip(at, [*at[1:], len(t)])] for t, (_, at, _) in zip(texts, got)]
 
 
 def test_boundaries_equal_the_pattern():
