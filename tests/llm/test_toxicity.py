@@ -1,10 +1,12 @@
 import math
+import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import kn, toxicity
+from quillspark.llm import kn, queries, toxicity
 
 
 class PlainKN:
@@ -67,11 +69,77 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    got = toxicity.score(docs, toxicity.fit(docs, labels, ~held)).join(labels, "doc_id").where(held).select("toxic", "score").collect()
+    got = toxicity.score(docs, toxicity.fit(docs, labels, ~held)).join(labels, "doc_id").where(held).join(docs.select("doc_id", "lang"), "doc_id").select("toxic", "score", "lang").collect()
     pred = [(r.toxic, r.score >= toxicity.THRESHOLD) for r in got]
     assert sum(y for y, _ in pred) > 30
     assert sum(p for y, p in pred if y) >= 0.9 * sum(y for y, _ in pred)
     assert sum(p for y, p in pred if not y) <= 0.01 * sum(not y for y, _ in pred)
+    for lang in ("en", "de", "fr", "es"):
+        own = [r.score >= toxicity.THRESHOLD for r in got if r.toxic and r.lang == lang]
+        assert len(own) > 10 and sum(own) >= 0.9 * len(own), lang
+
+
+def plain_scores(texts, labels, folds):
+    """The scores by plain Kneser-Ney models over dicts. texts: by id; labels: 0 or 1 by id; folds: by id."""
+    words = {d: toxicity.letters((t or "").encode()) for d, t in texts.items()}
+
+    def count(ids):
+        out = {}
+        for d in ids:
+            for gs in grams([w.decode() for w in words[d]], toxicity.ORDER):
+                for g in gs:
+                    out[g] = out.get(g, 0) + 1
+        return out
+
+    def figure(ids):
+        ordinary, toxic = (count(i for i in ids if labels[i] == c) for c in (0, 1))
+        shared = {**ordinary, **toxic}
+        a, b = PlainKN(ordinary, shared, toxicity.ORDER), PlainKN(toxic, shared, toxicity.ORDER)
+        known = {}
+
+        def of(w):
+            if w not in known:
+                known[w] = sum(math.log(b.p(g)) - math.log(a.p(g)) for g in grams([w.decode()], toxicity.ORDER)[0])
+            return known[w]
+
+        def whole(d):
+            total = sum(math.log(1 - toxicity.SHARE + toxicity.SHARE * math.exp(of(w))) for w in words[d])
+            return math.log(max(0, total) / max(1, len(words[d])) ** toxicity.NORM + toxicity.FLOOR)
+
+        return whole
+
+    seen = {}
+    for f in sorted(set(folds.values())):
+        whole = figure([d for d in labels if folds[d] != f])
+        seen |= {d: whole(d) for d in labels if folds[d] == f}
+    ids = sorted(labels)
+    slope, base = toxicity.curve_of(np.array([seen[d] for d in ids]), np.array([labels[d] for d in ids]), {0: 1.0, 1: 1.0})
+    whole = figure(list(labels))
+    return {d: 1 / (1 + math.exp(-(slope * whole(d) + base))) for d in texts}
+
+
+def test_registered_query_against_plain_models(spark, tmp_path):
+    rng = random.Random(4)
+    common, foul = ["good", "day", "to", "all", "goods", "daily"], ["idiot", "idiots", "scum"]
+    texts, labels = {}, {}
+    for d in range(60):
+        labels[d] = int(d % 3 == 0)
+        texts[d] = " ".join(rng.choice(foul if labels[d] and rng.random() < 0.4 else common) for _ in range(rng.randint(1, 8)))
+    texts |= {60: None, 61: "", 62: "an idiotic day", 63: "SCUM"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    frames = {"documents": docs, "labels": spark.createDataFrame([(d, 1, t) for d, t in labels.items()], "doc_id long, quality int, toxic int").coalesce(1)}
+    for name, df in frames.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = queries.op8_toxicity(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    out = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d in texts}
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(2_000_000)) % toxicity.FOLDS
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", draw.alias("f")).collect()}
+    want = plain_scores(texts, {d: t for d, t in labels.items() if not out[d]}, {d: f for d, f in folds.items() if d in labels and not out[d]})
+    rows = got.collect()
+    assert len(rows) == 64
+    for r in rows:
+        assert r.held_out == out[r.doc_id] and r.predicted == (r.score >= 0.3) and math.isclose(r.score, want[r.doc_id], abs_tol=1e-3)
 
 
 def test_edges_of_the_domain(spark):
