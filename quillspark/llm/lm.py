@@ -7,10 +7,13 @@ Words are 64-bit hashes. Three passes over the texts:
    whose bigrams are dealt by both words: no shard grows with one word. Tasks send sorted, compressed blocks of distinct
    bigrams with their counts, so what is shuffled is pre-aggregated and no row is made for a single bigram. Each shard
    leaves sorted hash arrays, counts and context totals, and tells the word shards in how many contexts each word stands.
-3. Scoring tasks memory-map the arrays and look up the distinct words and bigrams of some megabytes of text at a time.
+3. Scoring tasks memory-map the arrays and look up the distinct words and bigrams of some megabytes of text at a time; a
+   worker keeps MOST_OPEN shards open at most.
 
-The arrays are raw files in the shared folder, written to another name and then renamed, so a task that is run again after
-an executor was lost replaces its file by the same contents. Workers map them where they are if the folder is mounted, and
+Beyond FAN shards, blocks go to ranges of shards first and are merged there, so a block never shrinks to a few n-grams.
+
+A shard is one file in the shared folder, written to another name and then renamed, so a task that is run again after
+an executor was lost replaces its file by the same contents. Workers map it where it is if the folder is mounted, and
 map an unlinked local copy if it is in another store. Nothing that grows with the corpus reaches the driver.
 
 Nulls and edges: a null or empty text is one end token; texts of any length are read whole; rows without doc_id are scored
@@ -20,9 +23,9 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,6 +44,8 @@ from quillspark.llm.kn import _sums, discounts_of
 END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n", b"\r"))
 #: Tokens that a task gathers before it sends their distinct bigrams, tokens scored at a time, and tokens a shard should hold.
 GATHER, SCORE_BYTES, SHARD_TOKENS = 2_000_000, 4 << 20, 1_250_000
+#: Shards that blocks are dealt to directly, and shards that a worker keeps open.
+FAN, MOST_OPEN = 1024, 128
 #: A first word is dealt by both words if it is more than this share of all tokens (and a quarter of a shard).
 FREQUENT = 1 / 1000
 
@@ -56,25 +61,45 @@ def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
 # --- arrays in the shared folder
 
 
-def save(folder: str, name: str, array: np.ndarray) -> None:
+def save(folder: str, name: str, *arrays: np.ndarray) -> None:
+    """Write arrays of eight-byte or one-byte values as one file."""
     store, base = pafs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     draft = f"{base}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(draft) as out:
-        out.write(np.ascontiguousarray(array).data)
+        out.write(np.array([len(arrays), *map(len, arrays)], np.int64).tobytes())
+        for a in arrays:
+            out.write(np.ascontiguousarray(a).data)
+            out.write(bytes(-a.nbytes % 8))
     store.move(draft, f"{base}/{name}")
 
 
-def load(folder: str, name: str, kind: type) -> np.ndarray:
+def load(folder: str, name: str, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    """The arrays of a file, over one map of it."""
     store, base = pafs.FileSystem.from_uri(folder)
     path = f"{base}/{name}"
     if isinstance(store, pafs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-    with store.open_input_stream(path) as source, tempfile.TemporaryFile() as copy:
-        n = 0
-        while part := source.read(1 << 22):
-            n += copy.write(part)
-        return np.memmap(copy, kind, "r") if n else np.zeros(0, kind)
+        raw = np.memmap(path, np.uint8, "r")
+    else:
+        with store.open_input_stream(path) as source, tempfile.TemporaryFile() as copy:
+            while part := source.read(1 << 22):
+                copy.write(part)
+            copy.flush()
+            raw = np.memmap(copy, np.uint8, "r")
+    sizes, at, out = raw[8 : 8 + 8 * len(kinds)].view(np.int64).tolist(), 8 + 8 * len(kinds), []
+    for kind, n in zip(kinds, sizes):
+        length = n * np.dtype(kind).itemsize
+        out.append(raw[at : at + length].view(kind))
+        at += length + -length % 8
+    return out
+
+
+#: Arrays of each kind of file. Counts of 255 and more stand in `many` at the places `where`.
+FILES = {
+    "word": (np.uint64, np.int64),  # words, counts
+    "stands": (np.int64,),  # contexts of each word of the word file
+    "pair": (np.uint64, np.uint8, np.int64, np.int64, np.uint64, np.float64),  # bigrams, counts, where, many, contexts, four sums a context
+}
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -181,26 +206,67 @@ class Model:
 def _count_words(texts: DataFrame, folder: str, shards: int) -> DataFrame:
     """Write the word shards; (tokens, types, top) a shard, top its most frequent words."""
 
+    width = -(-shards // FAN)
+
     def emit(tokens: np.ndarray, _: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        words, n = np.unique(tokens, return_counts=True)
-        cut = np.searchsorted(range_shard(words, shards), np.arange(shards + 1))
-        for s, (a, b) in enumerate(zip(cut, cut[1:])):
-            if a < b:
-                yield s, _packed(words[a:b], n[a:b].astype(np.uint64))
+        return _word_blobs(*np.unique(tokens, return_counts=True), shards, width)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, blobs in _by_shard(batches).items():
             words, n = _sums(np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]).astype(np.int64))
-            save(folder, f"word-{s}", words)
-            save(folder, f"count-{s}", n)
+            save(folder, f"word-{s}", words, n)
             top = np.argsort(-n, kind="stable")[: int(1 / FREQUENT)]
             tops = [{"w": w, "n": c} for w, c in zip(words[top].view(np.int64).tolist(), n[top].tolist())]
             yield pa.record_batch([pa.array([int(n.sum())]), pa.array([len(n)]), pa.array([tops], pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))], ["tokens", "types", "top"])
 
-    sent = texts.mapInArrow(lambda b: _gathered(b, emit), "shard int, blob binary")
+    sent = _fanned(texts.mapInArrow(lambda b: _gathered(b, emit), "shard int, blob binary"), width, _word_regroup(shards))
     return sent.repartitionById(shards, F.col("shard")).mapInArrow(merge, "tokens long, types long, top array<struct<w:long,n:long>>")
 
 
+def _word_blobs(words: np.ndarray, n: np.ndarray, shards: int, width: int) -> Iterator[tuple[int, bytes]]:
+    """(range of `width` shards, block) of sorted words with their figures."""
+    group = range_shard(words, shards) // width
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+    for a, b in zip(first, [*first[1:], len(group)]):
+        yield int(group[a]), _packed(words[a:b], n[a:b].astype(np.uint64))
+
+
+def _word_regroup(shards: int):
+    def regroup(blobs: list[list[np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+        return _word_blobs(*_sums(np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]).astype(np.int64)), shards, 1)
+
+    return regroup
+
+
+def _fanned(sent: DataFrame, width: int, regroup) -> DataFrame:
+    """Blocks of single shards from blocks of ranges of `width` shards: each range is dealt to as many tasks, which merge what
+    they get, about GATHER figures at a time."""
+    if width == 1:
+        return sent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def rows() -> pa.RecordBatch:
+            shard, blob = zip(*regroup(held))
+            return pa.record_batch([pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], ["shard", "blob"])
+
+        for batch in batches:
+            for bucket, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist()):
+                if held and (bucket != now or size >= GATHER):
+                    yield rows()
+                    held, size = [], 0
+                now = bucket
+                held.append(_unpacked(blob))
+                size += len(held[-1][-1])
+        if held:
+            yield rows()
+        give_back()
+
+    dealt = sent.withColumn("part", F.pmod(F.xxhash64("blob"), F.lit(width)))
+    return dealt.repartition("shard", "part").sortWithinPartitions("shard").select("shard", "blob").mapInArrow(run, "shard int, blob binary")
+
+
 def pair_shard(before: np.ndarray, words: np.ndarray, is_frequent: np.ndarray, shards: int) -> np.ndarray:
     return (np.where(is_frequent, mixed(before, words), mixed(before, 1)) % np.uint64(shards)).astype(np.int32)
 
@@ -215,6 +281,7 @@ def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _count_pairs(texts: DataFrame, model: Model) -> DataFrame:
     """Write the bigram shards; rows of kind 'sum' (counts of counts), 'frequent' (context sums) and 'word' (blobs for word shards)."""
     folder, shards, word_shards, frequent = model.folder, model.shards, model.word_shards, model.frequent
+    fan, word_fan = -(-shards // FAN), -(-word_shards // FAN)
     names = ["kind", "shard", "key", "a", "b", "c", "d", "blob"]
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -224,51 +291,64 @@ def _count_pairs(texts: DataFrame, model: Model) -> DataFrame:
         pair, n = np.unique(np.searchsorted(local, before).astype(np.uint64) * width + np.searchsorted(local, tokens).astype(np.uint64), return_counts=True)
         h, w = pair // width, pair % width
         shard = pair_shard(local[h], local[w], _member(frequent, local)[h], shards)
-        order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s, (a, b) in enumerate(zip(cut, cut[1:])):
-            if a < b:
-                part = order[a:b]
-                first, hs = np.unique(h[part], return_inverse=True)
-                second, ws = np.unique(w[part], return_inverse=True)
-                yield s, _packed(local[first], local[second], hs.astype(np.uint32), ws.astype(np.uint32), n[part].astype(np.uint32))
+        return _pair_blobs(local, h, w, n.astype(np.uint32), shard // fan)
+
+    def regroup(blobs: list[list[np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+        _, h, w, n = _summed(blobs)
+        local = np.unique(np.concatenate([h, w]))
+        return _pair_blobs(local, np.searchsorted(local, h), np.searchsorted(local, w), n.astype(np.uint64), pair_shard(h, w, _member(frequent, h), shards))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, blobs in _by_shard(batches).items():
-            h = np.concatenate([b[0][b[2]] for b in blobs])
-            w = np.concatenate([b[1][b[3]] for b in blobs])
-            n = np.concatenate([b[4] for b in blobs]).astype(np.int64)
+            key, h, w, n = _summed(blobs)
             blobs.clear()
-            key = mixed(h, w)
-            order = np.argsort(key, kind="stable")
-            key, h, w, n = key[order], h[order], w[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key, h, w, n = key[first], h[first], w[first], np.add.reduceat(n, first)
-            del order, first
-            save(folder, f"pair-{s}", key)
-            save(folder, f"pairs-{s}", np.minimum(n, 2**32 - 1).astype(np.uint32))
             order = np.argsort(h, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
             context, by = h[order][first], n[order]
             sums = np.column_stack([np.add.reduceat(by, first), *(np.add.reduceat((by == k if k < 3 else by >= 3).astype(np.int64), first) for k in (1, 2, 3))])
             often = _member(frequent, context)
-            save(folder, f"context-{s}", context[~often])
-            save(folder, f"sums-{s}", sums[~often].astype(np.float64))
+            where = np.flatnonzero(n >= 255)
+            save(folder, f"pair-{s}", key, np.minimum(n, 255).astype(np.uint8), where, n[where], context[~often], sums[~often].astype(np.float64).ravel())
             rows = [("sum", s, len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4)), None)]
             rows += [("frequent", s, k, *x, None) for k, x in zip(context[often].view(np.int64).tolist(), sums[often].tolist())]
             words, seen = np.unique(w, return_counts=True)
-            cut = np.searchsorted(range_shard(words, word_shards), np.arange(word_shards + 1))
-            rows += [("word", t, None, None, None, None, None, _packed(words[a:b], seen[a:b].astype(np.uint64))) for t, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+            rows += [("word", t, None, None, None, None, None, blob) for t, blob in _word_blobs(words, seen, word_shards, word_fan)]
             del key, h, w, n, order, first, by, sums, words, seen
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
             del rows
             give_back()
 
-    sent = texts.mapInArrow(lambda b: _gathered(b, emit), "shard int, blob binary")
+    sent = _fanned(texts.mapInArrow(lambda b: _gathered(b, emit), "shard int, blob binary"), fan, regroup)
     schema = "kind string, shard int, key long, a long, b long, c long, d long, blob binary"
     return sent.repartitionById(shards, F.col("shard")).mapInArrow(merge, schema)
 
 
+def _pair_blobs(local: np.ndarray, h: np.ndarray, w: np.ndarray, n: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(group, block) of distinct bigrams, given as places in `local`."""
+    if not len(group):
+        return
+    order = np.argsort(group.astype(np.uint16) if group.max() < 1 << 16 else group, kind="stable")
+    sorted_group = group[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_group[1:] != sorted_group[:-1]]))
+    for a, b in zip(first, [*first[1:], len(order)]):
+        part = order[a:b]
+        one, hs = np.unique(h[part], return_inverse=True)
+        two, ws = np.unique(w[part], return_inverse=True)
+        yield int(sorted_group[a]), _packed(local[one], local[two], hs.astype(np.uint32), ws.astype(np.uint32), n[part])
+
+
+def _summed(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first word, second word, count) of the distinct bigrams of some blocks, by key."""
+    h = np.concatenate([b[0][b[2]] for b in blobs])
+    w = np.concatenate([b[1][b[3]] for b in blobs])
+    n = np.concatenate([b[4] for b in blobs]).astype(np.int64)
+    key = mixed(h, w)
+    order = np.argsort(key, kind="stable")
+    key, h, w, n = key[order], h[order], w[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], h[first], w[first], np.add.reduceat(n, first)
+
+
 def _count_contexts(rows: DataFrame, model: Model) -> DataFrame:
     """Write in how many contexts each word stands; counts of these counts a shard."""
     folder = model.folder
@@ -276,13 +356,13 @@ def _count_contexts(rows: DataFrame, model: Model) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, blobs in _by_shard(batches).items():
             words, seen = _sums(np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]).astype(np.int64))
-            known = load(folder, f"word-{s}", np.uint64)
+            known = load(folder, f"word-{s}", FILES["word"])[0]
             out = np.zeros(len(known), np.int64)
             out[np.searchsorted(known, words)] = seen
             save(folder, f"stands-{s}", out)
             yield pa.record_batch([pa.array([int((seen == k).sum() if k < 5 else seen.sum())]) for k in (1, 2, 3, 4, 5)] + [pa.array([int((seen >= 3).sum())])], list("abcdef"))
 
-    sent = rows.where("kind = 'word'").select("shard", "blob").repartitionById(model.word_shards, F.col("shard"))
+    sent = _fanned(rows.where("kind = 'word'").select("shard", "blob"), -(-model.word_shards // FAN), _word_regroup(model.word_shards)).repartitionById(model.word_shards, F.col("shard"))
     return sent.mapInArrow(merge, "a long, b long, c long, d long, e long, f long")
 
 
@@ -321,58 +401,62 @@ def fit(docs: DataFrame, is_training: Column, least_shards: int = 1) -> Model:
 
 
 class Reader:
-    """The mapped arrays, in a worker."""
+    """The mapped arrays, in a worker; the shards used last stay open."""
 
     def __init__(self, model: Model):
-        self.model, self.mapped = model, {}
-
-    def array(self, name: str, shard: int, kind: type) -> np.ndarray:
-        key = f"{name}-{shard}"
-        if key not in self.mapped:
+        self.model, self.open = model, OrderedDict()
+
+    def arrays(self, kind: str, shard: int) -> list[np.ndarray]:
+        name = f"{kind}-{shard}"
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
+            if len(self.open) >= MOST_OPEN:
+                self.open.popitem(last=False)
             try:
-                self.mapped[key] = load(self.model.folder, key, kind)
+                self.open[name] = load(self.model.folder, name, FILES[kind])
             except FileNotFoundError:  # nothing fell into this shard
-                self.mapped[key] = np.zeros(0, kind)
-        return self.mapped[key]
+                self.open[name] = [np.zeros(0, k) for k in FILES[kind]]
+        return self.open[name]
 
-    def _each(self, keys: np.ndarray, shard: np.ndarray, shards: int, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, which keys are found there, at which places)."""
+    def _each(self, keys: np.ndarray, shard: np.ndarray, kind: str, at: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, which keys stand in its array number `at`, at which places)."""
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-            own, have = order[cut[s] : cut[s + 1]], self.array(name, s, np.uint64)
+        ranked = shard[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else []
+        for a, b in zip(first, [*first[1:], len(order)]):
+            own, have = order[a:b], self.arrays(kind, int(ranked[a]))[at]
             if len(have):
-                at = np.minimum(np.searchsorted(have, keys[own]), len(have) - 1)
-                hit = have[at] == keys[own]
-                yield s, own[hit], at[hit]
+                place = np.minimum(np.searchsorted(have, keys[own]), len(have) - 1)
+                hit = have[place] == keys[own]
+                yield int(ranked[a]), own[hit], place[hit]
 
     def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(training count, contexts) of sorted distinct words."""
         n, stands = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        m = self.model
-        for s, own, at in self._each(words, range_shard(words, m.word_shards), m.word_shards, "word"):
-            n[own], stands[own] = self.array("count", s, np.int64)[at], self.array("stands", s, np.int64)[at]
+        for s, own, at in self._each(words, range_shard(words, self.model.word_shards), "word"):
+            n[own], stands[own] = self.arrays("word", s)[1][at], self.arrays("stands", s)[0][at]
         return n, stands
 
-    def contexts(self, words: np.ndarray) -> np.ndarray:
-        """(total, backoff weight) by context; total 0 if unknown."""
-        m, sums = self.model, np.zeros((len(words), 4))
+    def looked_up(self, words: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """((total, backoff weight) of each of the words as a context, total 0 if unknown; count of each bigram before, after)."""
+        m, sums, counts = self.model, np.zeros((len(words), 4)), np.zeros(len(before), np.int64)
         often = _member(m.frequent, words)
         sums[often] = m.frequent_sums[np.searchsorted(m.frequent, words[often])]
         rest = np.flatnonzero(~often)
-        for s, own, at in self._each(words[rest], (mixed(words[rest], 1) % np.uint64(m.shards)).astype(np.int32), m.shards, "context"):
-            sums[rest[own]] = self.array("sums", s, np.float64).reshape(-1, 4)[at]
-        total = sums[:, 0]
-        return np.column_stack([total, sums[:, 1:] @ m.d_pair[1:] / np.where(total > 0, total, 1)])
-
-    def pairs(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        m, key = self.model, mixed(before, words)
-        out = np.zeros(len(key), np.int64)
+        for s, own, at in self._each(words[rest], (mixed(words[rest], 1) % np.uint64(m.shards)).astype(np.int32), "pair", 4):
+            sums[rest[own]] = self.arrays("pair", s)[5].reshape(-1, 4)[at]
+        key = mixed(before, after)
         order = np.argsort(key)
-        shard = pair_shard(before, words, _member(m.frequent, before), m.shards)[order]
-        for s, own, at in self._each(key[order], shard, m.shards, "pair"):
-            out[order[own]] = self.array("pairs", s, np.uint32)[at]
-        return out
+        shard = pair_shard(before, after, _member(m.frequent, before), m.shards)[order]
+        for s, own, at in self._each(key[order], shard, "pair"):
+            _, few, where, many, _, _ = self.arrays("pair", s)
+            found = few[at].astype(np.int64)
+            if (large := found == 255).any():
+                found[large] = many[np.searchsorted(where, at[large])]
+            counts[order[own]] = found
+        total = sums[:, 0]
+        return np.column_stack([total, sums[:, 1:] @ m.d_pair[1:] / np.where(total > 0, total, 1)]), counts
 
     def score(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: known tokens, base score, model score (log10)."""
@@ -388,10 +472,9 @@ class Reader:
         n, stands = self.words(local)
         base = np.log10((n + 1) / (m.tokens + m.types + 1))
         low = (stands - m.d_word[np.minimum(stands, 3)]) / m.distinct + m.word_backoff / (m.types + 1)
-        context = self.contexts(local)
         pair, back = np.unique(before * len(local) + token, return_inverse=True)
         h, w = np.divmod(pair, len(local))
-        c = self.pairs(local[h], local[w])
+        context, c = self.looked_up(local, local[h], local[w])
         total, weight = context[h, 0], context[h, 1]
         p = np.where(total > 0, (c - m.d_pair[np.minimum(c, 3)]) / np.where(total > 0, total, 1) + weight * low[w], low[w])
         starts = np.cumsum(sizes) - sizes

@@ -1,11 +1,12 @@
 import math
+import os
 import zlib
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.llm import kn, lm
+from quillspark.llm import kn, lm, queries
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -90,3 +91,33 @@ def test_edges_of_the_domain(spark):
         assert (g.n_tokens, g.n_known) == w[:2] and math.isclose(g.score, w[3], rel_tol=1e-6) and math.isclose(g.base_score, w[2], rel_tol=1e-9)
     assert {(r.base_score, r.score) for r in lm.score(docs, lm.fit(docs, F.lit(False))).collect()} == {(0.0, 0.0)}
     assert lm.score(docs.limit(0), lm.fit(docs.limit(0), F.lit(True))).collect() == []
+
+
+def test_more_shards_than_a_gather_has_bigrams_and_few_open_files(spark, sf, monkeypatch):
+    """Ranges of shards, merged on the way; a reader of any number of shards holds few files open. Counts above 255 are exact."""
+    monkeypatch.setattr(lm, "FAN", 8)
+    monkeypatch.setattr(lm, "MOST_OPEN", 5)
+    monkeypatch.setattr(lm, "GATHER", 3000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40").unionByName(spark.createDataFrame([(900, "again and " * 700, "en", "x", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = lm.fit(docs, F.lit(True), least_shards=4000)
+    assert model.shards == 4000 and model.distinct < 4000 * 10
+    reader, most = lm.Reader(model), 0
+    before = len(os.listdir("/proc/self/fd"))
+    for t, want in zip(texts.values(), plain(texts.values(), texts.values())):
+        tokens, sizes = lm.Tokens().of([(t or "").encode()])
+        known, base, score = (x[0] for x in reader.score(tokens, sizes))
+        most = max(most, len(os.listdir("/proc/self/fd")) - before)
+        assert known == want[1] and math.isclose(base, want[2], rel_tol=1e-9) and math.isclose(score, want[3], rel_tol=1e-6)
+    assert most <= 5 + 2
+
+
+def test_registered_query(spark, sf):
+    got = queries.op7_lm_scoring(spark, sf)
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("n_tokens", "bigint"), ("n_known", "bigint"), ("train_tokens", "bigint"), ("base_score", "double"), ("score", "double")]
+    rows, texts = got.collect(), {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    train = [t for d, t in texts.items() if not out[d]]
+    assert {r.doc_id: r.held_out for r in rows} == out and {r.train_tokens for r in rows} == {sum(len((t or "").encode().split()) + 1 for t in train)}
+    want = dict(zip(texts, plain(train, texts.values())))
+    assert all((r.n_tokens, r.n_known) == want[r.doc_id][:2] and math.isclose(r.score, want[r.doc_id][3], rel_tol=1e-6) for r in rows)
