@@ -6,7 +6,7 @@ One Aho-Corasick pass over a text finds anchors: at-signs, URL schemes, plus-dig
 Kinds of the base set: email, ip, card, phone. Each kind is what a left-to-right scan for its grammar finds, matches
 never overlapping within a kind; a match that fails its check (octets, Luhn, digit count) is dropped and not retried.
 Kinds that the anchors add: url_user (user or user:password in front of a URL's host), iban (checked mod 97), ssn and
-account (digits behind a cue). Base spans are never removed or changed by the added ones.
+account (digits behind a cue), secret (the value that a cue such as "token" or "api_key" is set to, or a key of a known form). Base spans are never removed or changed by the added ones.
 
 Nulls and edges: a null text is empty and has no spans; very long texts are handled whole; repeated rows give repeated
 results; doc_id is carried as it is, null included; an empty table gives an empty result; extra columns are ignored.
@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 from quillspark.llm.common import slices, tidied
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url_user", "iban", "ssn", "account")
+KINDS = (*BASE, "url_user", "iban", "ssn", "account", "secret")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 #: Words that announce an identifier, each with the kind that is read behind it.
 CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "cuenta": "account", "compte": "account"}
+CUES |= dict.fromkeys(["token", "secret", "password", "passwd", "api key", "api_key", "api-key", "apikey", "access_key", "access key", "private_key"], "secret")
+#: Beginnings of keys of known forms, each with the form of the whole.
+KEYS = {"akia": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])").match, "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])").match}
 #: Digits that an account number behind a cue has.
 ACCOUNT_DIGITS = (6, 17)
 
@@ -44,6 +47,7 @@ _behind = re.compile(r"(?:\s+(?:number|no\.?|nr\.?|n°|num\.?))?\s*[:#=]?\s*", r
 _iban = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}").match
 _ssn = re.compile(r"[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![0-9])").match
 _account = re.compile(r"[0-9](?:[\x20-]?[0-9])+").match
+_set_to = re.compile(r"\s*[:=]\s*[\"']?([0-9A-Za-z+/_.~=-]{16,})").match
 _digits = str.maketrans("", "", " -().+")
 
 
@@ -59,6 +63,8 @@ def _anchors() -> ahocorasick.Automaton:
                 a.add_word(f"{d}{sep}{e}", ("pair", 2 + len(sep)))
     for cue, kind in CUES.items():
         a.add_word(cue, ("cue", len(cue), kind))
+    for head in KEYS:
+        a.add_word(head, ("key", len(head), head))
     a.make_automaton()
     return a
 
@@ -137,6 +143,10 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if at >= past["url_user"] and (m := _userinfo(text, last + 1)) and m.end() - 1 > last + 1:
                 out.append(("url_user", last + 1, m.end() - 1))
                 past["url_user"] = m.end()
+        elif kind == "key":
+            if at >= past["secret"] and (m := KEYS[what[2]](text, at)) and not (at and text[at - 1].isalnum()):
+                out.append(("secret", at, m.end()))
+                past["secret"] = m.end()
         else:
             _behind_cue(text, at, last + 1, what[2], past, out)
     out.sort(key=lambda x: (x[1], _ORDER[x[0]]))
@@ -147,6 +157,11 @@ def _behind_cue(text: str, at: int, end: int, kind: str, past: dict[str, int], o
     """Read an identifier behind a cue that stands as a word of its own."""
     if at < past[kind] or at and text[at - 1].isalnum() or end < len(text) and text[end].isalpha():
         return
+    if kind == "secret":  # a long value of letters and digits, set by : or =
+        if (m := _set_to(text, end)) and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+            out.append((kind, *m.span(1)))
+            past[kind] = m.end()
+        return
     start = _behind(text, end).end()
     if start == end:
         return
