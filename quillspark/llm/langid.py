@@ -11,7 +11,7 @@ by doc_id only; the vectors come from a fixed seed.
 
 Nulls and edges: a null text, or one without a letter, is `und` with score 0; texts of any length are read whole; rows
 without lang are predicted but never learned from; repeated rows give repeated results; doc_id is carried as it is, a null
-id counts as training if chosen; with nothing to learn from all are `und`; an empty table gives an empty result; extra
+id counts as training if chosen; more than MOST_LANGS languages are an error; with nothing to learn from all are `und`; an empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -30,6 +30,8 @@ from quillspark.llm.common import slices, tidied
 
 DIMENSIONS, SYMBOLS, SEED = 1024, 4096, 20_240_229
 UNDECIDED = "und"
+#: Languages that a model may have: 80 MB of prototypes, sent to every worker. More are refused, never left out.
+MOST_LANGS = 20_000
 
 
 @cache
@@ -89,7 +91,10 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, is_training: Column, per_lang: int = 2000) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes): learned from about per_lang texts of each language at most."""
     known = docs.where(is_training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    rows = known.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(rows) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: prototypes are kept by every worker")
+    counts = {r["lang"]: r["count"] for r in rows}
     if not counts:
         return [], np.zeros((0, DIMENSIONS), np.float32)
     share = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in counts.items()], "lang string, share double")

@@ -1,7 +1,11 @@
+import random
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid
+from quillspark.llm import langid, queries
 
 
 def plain_bundle(text):
@@ -44,3 +48,39 @@ def test_edges_of_the_domain(spark):
     assert all(0 <= r.score <= 1 for r in got) and got[0].score == 0
     assert langid.predict(docs.limit(0), langid.fit(docs.limit(0), F.lit(True))).collect() == []
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs, F.lit(False))).collect()} == {"und"}
+
+
+def test_registered_query_against_plain_prototypes(spark, tmp_path):
+    kinds = {"en": ["the", "cat", "hat", "that"], "de": ["der", "hund", "und", "über"], "xx": ["zzyx", "qxz"]}
+    rng, rows = random.Random(3), []
+    for d in range(80):
+        lang = rng.choice(list(kinds))
+        rows.append((d, " ".join(rng.choice(kinds[lang]) for _ in range(rng.randint(1, 12))), lang))
+    rows += [(80, None, "en"), (81, "12 -", "de"), (82, "the über cat", None), (83, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in rows}
+    sums = {}
+    for d, t, lang in rows:
+        if not out[d] and lang and t is not None:
+            sums[lang] = sums.get(lang, 0) + plain_bundle(t)
+    prototypes = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    got = queries.op9_language_id(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    got = {r.doc_id: r for r in got.collect()}
+    assert len(got) == len(rows)
+    for d, t, _ in rows:
+        r = got[d]
+        assert r.held_out == out[d]
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = {k: float(plain_bundle(t) @ v) for k, v in prototypes.items()}
+        best = max(cosine.values())
+        assert abs(r.score - min(1, max(0, best))) < 1e-4 and cosine[r.lang_pred] > best - 1e-4
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.lit(True))
