@@ -74,8 +74,13 @@ def run(e: Engine, a: argparse.Namespace) -> int:
         case "map":
             found = e.map(a.target, a.depth, a.direction)
             show(found if a.json else "\n".join(x for way in ("up", "down") if way in found for x in [f"{found['target']} ({way})", *tree_lines(found[way])]))
-        case "blast" | "get" | "query":
-            show(getattr(e, a.command)(vars(a)[{"blast": "target", "get": "keypath", "query": "sql"}[a.command]]))
+        case "query":
+            got = e.query_result(a.sql)
+            show(got["rows"])
+            if got["truncated"]:
+                print(f"only the first {len(got['rows'])} rows", file=sys.stderr)
+        case "blast" | "get":
+            show(getattr(e, a.command)(vars(a)[{"blast": "target", "get": "keypath"}[a.command]]))
         case "services" | "projects":
             show(getattr(e, a.command)())
         case "log":

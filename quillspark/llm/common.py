@@ -65,7 +65,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back. A lost executor costs a reread, not a recompute."""
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what materialize wrote, once nothing that is still to run reads it."""
+    for df in frames:
+        if path := df.__dict__.get("_folder"):
+            drop_folder(df.sparkSession, path)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import free_shuffles, materialize, raw_texts, slices, tidied, unused, words_of
+from quillspark.llm.common import discard, free_shuffles, materialize, raw_texts, slices, tidied, unused, words_of
 
 _PIECE = 1 << 16
 #: Large shards up to which their list is broadcast (24 bytes each), and tables of fingerprints searched in one pass.
 MOST_BROADCAST, PASS_TABLES = 200_000, 3
 #: Members of a group that a round decides among themselves, and their shingles (the first member may have more).
 HEADS, HEAD_SHINGLES = 512, 1 << 22
+#: Parts by which a group is ranked first.
+RANK_PARTS = 64
 
 
 def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
@@ -266,12 +268,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: minima are pre-aggregated, joins are plain equi-joins that adaptive
     execution can split when a node has very many neighbours, and every round is written to the shared folder."""
-    now, before = materialize(edges.where("a > b").select("a", "b").distinct(), "links"), None
+    now, last, before = materialize(edges.where("a > b").select("a", "b").distinct(), "links"), None, None
     while True:
         n, mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if last is not None:
+            discard(last)
         if not n or (n, mark) == before:
             return now
-        before = (n, mark)
+        before, last = (n, mark), now
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -293,8 +297,11 @@ def _merged(heads: DataFrame, roots: DataFrame, names: list[str], radius: int, t
     if names != ["fp"]:
         inner = nodes.join(materialize(least.where("m < x"), "several-roots"), ["space", "fp"])
         links = links.unionByName(inner.select(F.col("root").alias("a"), F.col("m").alias("b")))
-    found = components(links).select(F.col("a").alias("root"), F.col("b").alias("least"))
-    return materialize(roots.join(found, "root", "left").select("fp", F.coalesce("least", "root").alias("root")), "roots")
+    stars = components(links)
+    found = stars.select(F.col("a").alias("root"), F.col("b").alias("least"))
+    now = materialize(roots.join(found, "root", "left").select("fp", F.coalesce("least", "root").alias("root")), "roots")
+    discard(stars, roots, nodes)
+    return now
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, tree_rows: int = 4096, tables: int = 1) -> DataFrame:
@@ -312,6 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, tree_rows:
         free_shuffles(spark)
     least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("d")).join(roots, "fp").groupBy("root").agg(F.min("d").alias("component_id")), "least")
     classes = materialize(roots.join(least, "root").select("fp", "component_id"), "classes")
+    discard(heads, roots, least)
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -432,27 +440,37 @@ def unlike(members: DataFrame, similarity: float, width: int = 5, part_rows: int
 
     texts = members.select("c", "doc_id", "h", "text")
     alone = texts.groupBy("c", F.md5(F.coalesce("text", F.lit(""))).alias("own")).agg(F.min(F.struct("doc_id", "h")).alias("f")).select("f.doc_id", "f.h")
-    texts = texts.join(materialize(alone, "distinct-texts"), ["doc_id", "h"], "left_semi").select("c", "doc_id", "h", "text")
+    alone = materialize(alone, "distinct-texts")
+    texts = texts.join(alone, ["doc_id", "h"], "left_semi").select("c", "doc_id", "h", "text")
     sets = materialize(texts.mapInArrow(tidied(run), f"{schema}, same binary"), "shingles")
     first = sets.groupBy("c", "same").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("f.doc_id", "f.h")
     left = materialize(sets.drop("same").join(first, ["doc_id", "h"], "left_semi").select("c", "doc_id", "h", "n", "shingles"), "left")
-    order, kept = Window.partitionBy("c").orderBy("doc_id", "h"), None
+    discard(alone, sets)
+    kept = None
     while True:
-        ranked = left.select("c", "doc_id", "h", "n").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HEADS)
+        # a group's first members by parts, then the first of these: no task ranks a whole large group
+        ranked = left.select("c", "doc_id", "h", "n", F.pmod(F.xxhash64("doc_id", "h"), F.lit(RANK_PARTS)).alias("p"))
+        for by in (["c", "p"], ["c"]):
+            order = Window.partitionBy(*by).orderBy("doc_id", "h")
+            ranked = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= HEADS)
         ranked = ranked.withColumn("to", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("r") == 1) | (F.col("to") <= HEAD_SHINGLES))
         ids = materialize(ranked.select("c", "doc_id", "h"), "head-ids")
         heads = left.join(ids.select("doc_id", "h"), ["doc_id", "h"], "left_semi").select("c", "doc_id", "h", "n", "shingles")
         stay = materialize(heads.repartition("c").sortWithinPartitions("c", "doc_id", "h").mapInArrow(tidied(_heads(similarity)), schema), "stay")
-        kept = stay.select("doc_id", "h") if kept is None else kept.unionByName(stay.select("doc_id", "h"))
+        own = materialize(stay.select("doc_id", "h"), "kept")
+        kept = own if kept is None else kept.unionByName(own)
         if ids.count() == left.count():
+            discard(ids, stay, left)
             return kept
         rest = left.join(ids.select("doc_id", "h"), ["doc_id", "h"], "left_anti")
-        parts = rest.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+        parts = materialize(rest.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")), "parts")
         dealt = rest.join(parts, "c").withColumn("part", F.pmod(F.xxhash64("doc_id", "h"), F.col("parts")).cast("int")).withColumn("head", F.lit(False))
         held = stay.join(parts, "c").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("head", F.lit(True))
         both = dealt.unionByName(held).select("c", "part", "head", "doc_id", "h", "n", "shingles")
         both = both.repartition("c", "part").sortWithinPartitions("c", "part", F.desc("head"))
-        left = materialize(both.mapInArrow(tidied(_others(similarity)), schema), "left")
+        now = materialize(both.mapInArrow(tidied(_others(similarity)), schema), "left")
+        discard(ids, stay, left, parts)
+        left = now
         free_shuffles(spark)
 
 
@@ -472,5 +490,6 @@ def keep_unlike(docs: DataFrame, similarity: float, width: int = 3, radius: int
     row = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")
     members = tagged.where(F.col(group).isNotNull()).select(F.col(group).alias("c"), "doc_id", F.xxhash64("text").alias("h"), "text", row)
     members = materialize(members.dropDuplicates(["doc_id", "text"]), "members")
+    discard(groups, several, found)
     stay = members.join(unlike(members, similarity), ["doc_id", "h"], "left_semi").select("row.*")
     return tagged.where(F.col(group).isNull()).drop(group).unionByName(stay)

@@ -42,6 +42,12 @@ def stem_paths(notes: DataFrame) -> DataFrame:
     return notes.groupBy(nocase("stem").alias("stem_key")).agg(F.min("rel_path").alias("rel_path"))
 
 
+def with_paths(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """Rows of stems with the path that each stands for; a stem without a note stands for a note at the root."""
+    found = rows.withColumn("_key", nocase("stem")).join(stem_paths(notes), F.col("_key") == F.col("stem_key"), "left")
+    return found.withColumn("rel_path", F.coalesce("rel_path", F.concat("stem", F.lit(".md")))).drop("_key", "stem_key")
+
+
 def upstream(relations: DataFrame, target: str) -> DataFrame:
     return relations.where(nocase("target_stem") == keyed(target_stem(target))).select("source_rel", "relation_type")
 
@@ -101,19 +107,31 @@ def traverse(links: DataFrame, start: str, depth: int = 2, direction: str = "dow
         SELECT path, depth, element_at(path, -1) AS stem, relation_type, cycle FROM tree WHERE depth > 0""")
 
 
-def contracts(notes: DataFrame, relations: DataFrame, services: DataFrame, invariants: DataFrame, verifications: DataFrame) -> DataFrame:
-    """One row a note: its fields, ports, relations, dependencies, dependents, invariants and verifications, arrays in order.
+def contracts(notes: DataFrame, relations: DataFrame, services: DataFrame, invariants: DataFrame, verifications: DataFrame, path: str | None = None) -> DataFrame:
+    """One row a note, or only the note of a path: its fields, ports, relations, dependencies, dependents, invariants and
+    verifications, arrays in order.
 
     A service that only shares the note's name counts if no other note has that stem."""
     lone = notes.groupBy(nocase("stem").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("_key")
     keyed_notes = notes.withColumn("_key", nocase("stem"))
+    if path is not None:  # the one note decides what is read of every table
+        keyed_notes = keyed_notes.where(F.col("rel_path") == path)
+        key = keyed_notes.select("_key").distinct()
+        lone = lone.join(key, "_key", "left_semi")
+        own = services.withColumn("_k", F.explode(F.array(nocase("name"), nocase("container_prefix"))))
+        own = own.join(key, F.col("_k") == F.col("_key"), "left_semi").drop("_k")
+        services = own.unionByName(services.where(F.col("rel_path") == path)).distinct()
+        into = relations.withColumn("_k", nocase("target_stem")).join(key, F.col("_k") == F.col("_key"), "left_semi").drop("_k")
+        relations, invariants, verifications = (x.where(F.col("source_rel") == path) for x in (relations, invariants, verifications))
+    else:
+        into = relations
     by_path = services.select("rel_path", "name", "ports")
     named = keyed_notes.join(lone, "_key").select("_key", "rel_path")
     by_name = services.select(F.explode(F.array_distinct(F.array(nocase("name"), nocase("container_prefix")))).alias("_key"), "name", "ports", F.col("rel_path").alias("_own"))
     by_name = by_name.join(named, "_key").where(~F.col("_own").eqNullSafe(F.col("rel_path"))).select("rel_path", "name", "ports", "_own").distinct().drop("_own")
     ports = by_path.unionByName(by_name).where("ports <> ''").select("rel_path", F.format_string("%s: %s", "name", "ports").alias("t"))
     gather = lambda rows, key, text, name: rows.groupBy(F.col(key).alias("rel_path")).agg(F.array_sort(F.collect_list(text)).alias(name))
-    incoming = relations.select(nocase("target_stem").alias("_key"), "source_rel").groupBy("_key").agg(F.array_sort(F.collect_list("source_rel")).alias("dependents"))
+    incoming = into.select(nocase("target_stem").alias("_key"), "source_rel").groupBy("_key").agg(F.array_sort(F.collect_list("source_rel")).alias("dependents"))
     out = keyed_notes.join(incoming, "_key", "left").drop("_key")
     parts = [
         gather(ports, "rel_path", "t", "ports"),
@@ -127,9 +145,19 @@ def contracts(notes: DataFrame, relations: DataFrame, services: DataFrame, invar
     return out.withColumns({c: F.coalesce(c, F.expr("array()").cast(out.schema[c].dataType)) for c in ("dependents", "ports", "relations", "dependencies", "invariants", "verifications")})
 
 
+def names_note(rel_path: str, stem: str, title: str | None, query: str) -> int | None:
+    """How a name means a note, as in `resolve`: 0 exact path, 1 path with hyphens for spaces, 2 stem or title, else None."""
+    text, path = query.strip().lstrip("/").removesuffix(".md"), rel_path.removesuffix(".md")
+    if path in (text, text.replace(" ", "-")):
+        return int(path != text)
+    key = keyed(text)
+    meant = {key, key.replace(" ", "-"), key.replace("-", " ")}
+    return 2 if keyed(stem) in meant or title is not None and keyed(title) in meant else None
+
+
 def resolve(notes: DataFrame, query: str) -> DataFrame:
     """Notes that a name may mean, the best kind of match only: exact path, path with hyphens for spaces, stem or title."""
-    text = query.strip().removesuffix(".md")
+    text = query.strip().lstrip("/").removesuffix(".md")
     key, hyphened = keyed(text), keyed(text).replace(" ", "-")
     path = F.regexp_replace("rel_path", r"\.md$", "")
     kind = F.when(path == text, 0).when(path == text.replace(" ", "-"), 1)

@@ -1,7 +1,8 @@
-"""Ranked text search: query terms, weighted BM25, snippets.
+"""Ranked text search: a text index, query terms, weighted BM25, snippets.
 
-The tokens of each column are kept beside the note, joined by single spaces, so a query is a scan that counts places in these
-strings: nothing is exploded or shuffled. One aggregate gives the corpus figures (a single row), a second pass scores.
+The index has two tables. `postings` says how often each term stands in each column of a note; it is written in order of
+the term, so a query reads the row groups of its own terms only, a prefix those of a range. `token_texts` has a note's
+length, and its tokens joined by single spaces, which only phrases read, for the notes that hold all their tokens.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,40 +66,77 @@ def parse(query: str) -> list[list[Phrase]]:
     return groups
 
 
-def index(notes: DataFrame) -> DataFrame:
-    """The notes with the tokens of each searched column (" a b "), and the number of all tokens."""
+def token_texts(notes: DataFrame) -> DataFrame:
+    """(rel_path, domain, n_tokens, tok_..): the number of all tokens, and those of each searched column (" a b ")."""
     joined = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    out = notes.select("*", *(joined(c).alias(f"tok_{c}") for c in WEIGHTS))
+    out = notes.select("rel_path", "domain", *(joined(c).alias(f"tok_{c}") for c in WEIGHTS))
     return out.withColumn("n_tokens", sum((F.regexp_count(f"tok_{c}", F.lit("[^ ]+")) for c in WEIGHTS), F.lit(0)))
 
 
+def postings(notes: DataFrame) -> DataFrame:
+    """(term, rel_path, tf): how often the term stands in each searched column; counted before it is shuffled."""
+    placed = [F.arrays_zip(F.array_repeat(F.lit(i), F.size(tokens(c))).alias("c"), tokens(c).alias("term")) for i, c in enumerate(WEIGHTS)]
+    rows = notes.select("rel_path", F.explode(F.flatten(F.array(*placed))).alias("t")).select("rel_path", "t.c", "t.term")
+    return rows.groupBy("term", "rel_path").agg(F.array(*(F.count_if(F.col("c") == i).cast("int") for i in range(len(WEIGHTS)))).alias("tf"))
+
+
+def by_term(rows: DataFrame) -> DataFrame:
+    """Postings in the order in which they are written."""
+    return rows.repartitionByRange("term").sortWithinPartitions("term", "rel_path")
+
+
 def occurrences(joined: Column, phrase: Phrase) -> Column:
     """Places where the phrase begins; overlapping ones count. Tokens are letters and digits, safe in a pattern."""
     return F.regexp_count(joined, F.lit(f"(?<= )(?={' '.join(phrase.tokens)}{'' if phrase.prefix else ' '})"))
 
 
-def bm25(indexed: DataFrame, query: str, domain: str | None = None) -> DataFrame:
-    """All hits of a query with their score, unordered: notes that match each group, or any group if none matches all."""
+def _is(token: str, prefix: bool) -> Column:
+    return F.col("term").startswith(token) if prefix else F.col("term") == token
+
+
+def _found(index: dict[str, DataFrame], phrases: list[Phrase]) -> DataFrame:
+    """(rel_path, p, tf): the notes that hold phrase number p, with its places in each column."""
+    single = [(i, _is(p.tokens[0], p.prefix)) for i, p in enumerate(phrases) if len(p.tokens) == 1]
+    parts = []
+    if single:
+        meant = F.filter(F.array(*(F.when(met, F.lit(i)) for i, met in single)), lambda x: x.isNotNull())
+        own = index["postings"].where(reduce(or_, (met for _, met in single)))
+        parts.append(own.select("rel_path", F.explode(meant).alias("p"), "tf"))
+    for i, p in enumerate(phrases):
+        if len(p.tokens) > 1:
+            each = [_is(t, p.prefix and n == len(p.tokens) - 1) for n, t in enumerate(p.tokens)]
+            whole = index["postings"].where(reduce(or_, each)).groupBy("rel_path").agg(*(F.bool_or(met).alias(f"m{n}") for n, met in enumerate(each)))
+            held = index["token_texts"].join(whole.where(" AND ".join(f"m{n}" for n in range(len(each)))).select("rel_path"), "rel_path", "left_semi")
+            places = F.array(*(occurrences(F.col(f"tok_{c}"), p).cast("int") for c in WEIGHTS))
+            parts.append(held.select("rel_path", F.lit(i).alias("p"), places.alias("tf")).where(F.exists("tf", lambda x: x > 0)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def bm25(index: dict[str, DataFrame], query: str, domain: str | None = None) -> DataFrame:
+    """All hits of a query (rel_path, domain, score), unordered: notes that match each group, or any group if none matches all."""
     groups = parse(query)
+    texts = index["token_texts"].select("rel_path", "domain", "n_tokens")
     if not groups:
-        return indexed.where(F.lit(False)).withColumn("score", F.lit(0.0))
+        return texts.where(F.lit(False)).select("rel_path", "domain", F.lit(0.0).alias("score"))
     phrases = list(dict.fromkeys(p for g in groups for p in g))
-    per = {p: [occurrences(F.col(f"tok_{c}"), p) for c in WEIGHTS] for p in phrases}
-    counted = indexed.select("*", *(F.array(*per[p]).alias(f"_n{i}") for i, p in enumerate(phrases)))
-    has = {p: F.exists(f"_n{i}", lambda x: x > 0) for i, p in enumerate(phrases)}
-    met = sum((F.when(F.array_contains(F.array(*(has[p] for p in g)), True), 1).otherwise(0) for g in groups), F.lit(0))
+    f = sum((F.get("tf", j) * w for j, w in enumerate(WEIGHTS.values())), F.lit(0.0))
+    found = _found(index, phrases).select("rel_path", "p", f.alias("f"))
+    one = lambda i: [F.count_if(F.col("p") == i).alias(f"n{i}"), F.coalesce(F.sum(F.when(F.col("p") == i, F.col("f"))), F.lit(0.0)).alias(f"f{i}")]
+    hits = found.groupBy("rel_path").agg(*(c for i in range(len(phrases)) for c in one(i))).join(texts, "rel_path")
+    at = {p: i for i, p in enumerate(phrases)}
+    met = sum((F.when(reduce(or_, (F.col(f"n{at[p]}") > 0 for p in g)), 1).otherwise(0) for g in groups), F.lit(0))
     inside = domain_is(domain)
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"), F.max(F.when(inside, met)).alias("met"), *(F.count_if(has[p]).alias(f"df{i}") for i, p in enumerate(phrases))).first()
+    corpus = texts.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
+    figures = hits.agg(F.max(F.when(inside, met)).alias("met"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(phrases))))
+    stats = corpus.join(F.broadcast(figures)).first()  # one row each
     need = len(groups) if stats["met"] == len(groups) else 1
     score = F.lit(0.0)
-    for i, (p, g) in enumerate((p, g) for g in groups for p in g):
-        at = phrases.index(p)
-        df = stats[f"df{at}"]
+    for i in (at[p] for g in groups for p in g):
+        df = stats[f"df{i}"]
         idf = math.log((stats["n"] - df + 0.5) / (df + 0.5)) if stats["n"] else 0.0
-        idf = idf if idf > 0 else LEAST_IDF
-        f = sum((F.get(f"_n{at}", j) * w for j, w in enumerate(WEIGHTS.values())), F.lit(0.0))
-        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(stats["avg"] or 1.0)))
-    return counted.where(inside & (met >= need)).withColumn("score", F.round(F.abs(score) * 1000) / 1000).drop(*(f"_n{i}" for i in range(len(phrases))))
+        idf, own = idf if idf > 0 else LEAST_IDF, F.col(f"f{i}")
+        score = score + F.lit(idf) * own * (K1 + 1) / (own + K1 * (1 - B + B * F.col("n_tokens") / F.lit(stats["avg"] or 1.0)))
+    return hits.where(inside & (met >= need)).select("rel_path", "domain", (F.round(F.abs(score) * 1000) / 1000).alias("score"))
 
 
 def top(hits: DataFrame, limit: int = 10) -> DataFrame:
@@ -103,8 +144,31 @@ def top(hits: DataFrame, limit: int = 10) -> DataFrame:
     return hits.orderBy(F.desc("score"), "rel_path").limit(max(LEAST_HITS, min(MOST_HITS, limit)))
 
 
-def search(indexed: DataFrame, query: str, domain: str | None = None, limit: int = 10) -> DataFrame:
-    return top(bm25(indexed, query, domain), limit)
+def search(index: dict[str, DataFrame], query: str, domain: str | None = None, limit: int = 10) -> DataFrame:
+    return top(bm25(index, query, domain), limit)
+
+
+_MATCH = re.compile(r"""'(?:[^']|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/|\bnote_match\s*\(\s*'((?:[^']|'')*)'\s*(?:,\s*'((?:[^']|'')*)'\s*)?\)""", re.S | re.I)
+
+
+def match_views(tables: dict[str, DataFrame], sql: str) -> tuple[dict[str, DataFrame], str]:
+    """(views, statement): each note_match('words'[, 'domain']) of the statement as a view (rel_path, score, snippet) of its hits."""
+    views: dict[str, DataFrame] = {}
+
+    def named(m: re.Match) -> str:
+        if m[1] is None:
+            return m[0]
+        words, name = m[1].replace("''", "'"), f"_note_match_{len(views)}"
+
+        @F.pandas_udf("string")
+        def shown(bodies: pd.Series) -> pd.Series:
+            return bodies.map(lambda b: snippet(b, words))
+
+        hits = bm25(tables, words, (m[2] or "").replace("''", "'") or None)
+        views[name] = hits.join(tables["notes"].select("rel_path", "body"), "rel_path").select("rel_path", "score", shown("body").alias("snippet"))
+        return name
+
+    return views, _MATCH.sub(named, sql)
 
 
 def snippet(body: str, query: str, words: int = 12) -> str:

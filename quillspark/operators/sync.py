@@ -8,21 +8,24 @@ from __future__ import annotations
 import shutil
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import diff
+from quillspark.operators import diff, rank, vector
 from quillspark.plans.project import SCHEMA, parse_notes, views
 from quillspark.sources import vault
 from quillspark.sources.store import locked, write_whole
 
 #: Part of a version's name: a projection of another layout is built anew, never migrated.
-LAYOUT = "1"
+LAYOUT = "2"
 #: Key by which each table's rows belong to a note.
-KEYS = {"file_meta": "rel_path", "notes": "rel_path", "entities": "rel_path", "services": "rel_path", "relations": "source_rel", "invariants": "source_rel", "verifications": "source_rel", "chunks": "rel_path", "parse_errors": "rel_path"}
+KEYS = {"file_meta": "rel_path", "notes": "rel_path", "entities": "rel_path", "services": "rel_path", "relations": "source_rel", "invariants": "source_rel", "verifications": "source_rel", "chunks": "rel_path", "parse_errors": "rel_path", "postings": "rel_path", "token_texts": "rel_path"}
+#: Tables that SQL sees.
+SHOWN = [t for t in KEYS if t not in ("postings", "token_texts")]
 
 
 @dataclass
@@ -57,7 +60,9 @@ def current(spark: SparkSession, root: Path) -> dict[str, DataFrame] | None:
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    return views(parsed) | {"parse_errors": parsed.where("parse_error is not null").select("rel_path", "parse_error")}
+    out = views(parsed)
+    index = {"postings": rank.postings(out["notes"]), "token_texts": rank.token_texts(out["notes"])}
+    return out | index | {"parse_errors": parsed.where("parse_error is not null").select("rel_path", "parse_error")}
 
 
 def changes(spark: SparkSession, old: dict[str, DataFrame] | None, raw: DataFrame, protected: list[str]) -> DataFrame:
@@ -105,7 +110,7 @@ def _publish(spark: SparkSession, root: Path, old: dict[str, DataFrame] | None,
     try:
         for t, new in tables(fresh).items():
             rows = new if old is None else old[t].join(stays, F.col(KEYS[t]) == F.col("_kept"), "left_semi").unionByName(new)
-            rows.write.parquet(f"file://{folder}/{t}")
+            (rank.by_term(rows) if t == "postings" else rows).write.parquet(f"file://{folder}/{t}")
         last = _pointer(root).read_text().strip() if _pointer(root).is_file() else ""
         write_whole(_pointer(root), name)
         for other in home(root).glob("v*-*"):  # the version before stays for readers that are under way
@@ -118,5 +123,49 @@ def _publish(spark: SparkSession, root: Path, old: dict[str, DataFrame] | None,
         fresh.unpersist()
 
 
+# --- stored vectors
+
+
+def stored_vectors(spark: SparkSession, root: Path) -> DataFrame | None:
+    """The note vectors as they were last written."""
+    at = home(root) / "vectors"
+    name = at.read_text().strip() if at.is_file() else ""
+    folder = home(root) / name
+    return spark.read.parquet(f"file://{folder}") if name.startswith(f"n{LAYOUT}-") and folder.is_dir() else None
+
+
+def sync_vectors(spark: SparkSession, root: Path, embedder: Callable[[list[str]], list[list[float]]]) -> int:
+    """Embed the notes whose text changed and drop the vectors of texts that are gone; the number of notes embedded.
+
+    Embedding runs outside the lock; what is written is held against the hashes that are current then."""
+    now, old = current(spark, root), stored_vectors(spark, root)
+    if now is None:
+        return 0
+    missing = vector.to_embed(now["file_meta"], old) if old is not None else now["file_meta"].select("rel_path", "content_hash")
+    n = missing.count()
+    if old is not None and not n and not old.join(now["file_meta"], ["rel_path", "content_hash"], "left_anti").limit(1).count():
+        return 0
+    draft, name = (f"n{LAYOUT}-{uuid.uuid4().hex}" for _ in range(2))
+    made = vector.embed(now["chunks"].join(missing, "rel_path"), embedder)
+    made = made.drop("embed_text").withColumn("vector_blob", vector.to_blob("vector")).drop("vector")
+    try:
+        made.write.parquet(f"file://{home(root)}/{draft}")
+        with locked(root):
+            fresh = spark.read.schema(made.schema).parquet(f"file://{home(root)}/{draft}")
+            kept = fresh if old is None else old.unionByName(fresh)
+            vector.still_current(kept, current(spark, root)["file_meta"]).write.parquet(f"file://{home(root)}/{name}")
+            at = home(root) / "vectors"
+            last = at.read_text().strip() if at.is_file() else ""
+            write_whole(at, name)
+            for other in home(root).glob("n*-*"):
+                if other.name not in (name, last):
+                    shutil.rmtree(other, ignore_errors=True)
+    except BaseException:
+        for x in (draft, name):
+            shutil.rmtree(home(root) / x, ignore_errors=True)
+        raise
+    return n
+
+
 def empty(spark: SparkSession) -> dict[str, DataFrame]:
     return tables(spark.createDataFrame([], SCHEMA))

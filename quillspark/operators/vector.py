@@ -33,6 +33,24 @@ def best_per_note(vectors: DataFrame, query: Sequence[float], limit: int = 10, c
     return best.select(key, "b.*").orderBy(F.desc("score"), key).limit(limit)
 
 
+# --- stored vectors: rows of chunks with the hash of the note that they were made from
+
+
+def to_embed(meta: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(rel_path, content_hash): notes that have no vectors of their present text."""
+    return meta.select("rel_path", "content_hash").join(vectors.select("rel_path", "content_hash").distinct(), ["rel_path", "content_hash"], "left_anti")
+
+
+def orphans(vectors: DataFrame, meta: DataFrame) -> DataFrame:
+    """Vectors of notes that are gone."""
+    return vectors.join(meta.select("rel_path"), "rel_path", "left_anti")
+
+
+def still_current(vectors: DataFrame, meta: DataFrame) -> DataFrame:
+    """Vectors whose note still has the text that they were made from; those of changed and of deleted notes go."""
+    return vectors.join(meta.select("rel_path", "content_hash"), ["rel_path", "content_hash"], "left_semi")
+
+
 def from_blob(column: str) -> Column:
     """A packed little-endian float vector as an array."""
     import numpy as np

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import rank
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +30,32 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The text index of the documents, built once a session as `sync` builds a vault's, in the folder that executors share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        folder, source = f"{scratch(spark)}/text-index-{uuid.uuid4().hex}", notes(spark, sf_dir)
+        rank.by_term(rank.postings(source)).write.parquet(f"{folder}/postings")
+        rank.token_texts(source).write.parquet(f"{folder}/token_texts")
+        _INDEXES[key] = {t: spark.read.parquet(f"{folder}/{t}") for t in ("postings", "token_texts")}
+    return _INDEXES[key]
+
+
+def scratch(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset a folder of this machine, for local runs only."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="quillspark-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
+
+
 def place_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions as notes."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -102,6 +135,28 @@ Part of [[region/{r_name}]] and [no file](missing/{n_nationkey}.md), see [outsid
     return both.select("rel_path", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size"), "content", F.lit(None).cast("string").alias("error"))
 
 
+#: Notes of every awkward kind, by the supplier's number modulo their count.
+VARIED = {
+    "crlf": "\ufeff---\r\ntitle: 'CRLF {s_suppkey}'\r\ntype: system\r\nnumber: 007\r\n---\r\n# Top\r\n~~~\r\n# not a heading\r\n~~~\r\n## Work Log!\r\nkept [[in {s_suppkey}]]\r\n",
+    "broken": "---\ntitle: Bad: Note {s_suppkey}\n---\n# H\n[[kept-{s_suppkey}]]\n",
+    "open": "---\ntitle: open {s_suppkey}\nno end\n",
+    "Services-Catalog": "# Services\n\n| Service / Stack | Container | Ports | Replicas | Role |\n|:---|:---|:---|:---|:---|\n| **web-{s_suppkey}** | `web_*` | 80 | 2 | serves a\\|b |\n| | x | y | z | w |\n| db-{s_suppkey} | db_* | 5432 | 1 | stores |\n",
+    "listed": "---\ntitle: 12\ntype: project\nports: [80, 443]\nnetwork: lan\nservices:\n  - name: a{s_suppkey}\n    container: a_*\n    port: 81\n  - name: b{s_suppkey}\n    container_prefix: b_*\n    ports: ['1:1', '2:2']\n    replicas: 3\n  - port: 9\n---\n",
+    "long": "# Long\n" + "one two three four {s_suppkey}. " * 30 + "\n\n" + "five six seven eight. " * 30 + "\n\n" + "nine ten eleven. " * 90 + "\n\n```\n## code\n[[code]]\n```\n## Links\n\\[[odd]] \\\\[[even]] `[[inline]]` [p](a%20b+{s_suppkey}.md) ![i](x.png)\n##### Deep\n",
+}
+
+
+def varied_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw notes with CRLF and a BOM, malformed and open headers, a service catalog, service lists, fences and long sections."""
+    s = table(spark, sf_dir, "supplier")
+    kind, texts, paths = F.col("s_suppkey") % len(VARIED), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, text) in enumerate(VARIED.items()):
+        texts = F.when(kind == i, _filled(text)).otherwise(texts)
+        paths = F.when(kind == i, F.concat(F.lit("20-Projects/"), F.col("s_suppkey").cast("string"), F.lit(f"-{name}.md"))).otherwise(paths)
+    out = s.select(paths.alias("rel_path"), texts.alias("content"))
+    return out.select("rel_path", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size"), "content", F.lit(None).cast("string").alias("error"))
+
+
 def _filled(text: str):
     """The text with each {column} replaced by its value."""
     import re

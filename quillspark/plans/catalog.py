@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.latin import domain_is, nocase
-from quillspark.operators import audit, diff, fuse, graph, rank, vector
+from quillspark.functions.latin import domain_is
+from quillspark.operators import audit, diff, fuse, graph, lists, rank, sqlgate, vector
 from quillspark.plans import adapters as A
 from quillspark.plans import note_queries  # noqa: F401  (registers its queries)
 from quillspark.plans.bm25_sql import bm25_sql
@@ -18,7 +20,7 @@ _SEARCHES = {
     "bm25_single": ("worthless", None),
     "bm25_and": ("the thing", None),
     "bm25_or_fallback": ("idiot zzzunknown moron", None),
-    "bm25_prefix": ("nation", None),
+    "bm25_prefix": ("worth", None),
     "bm25_phrase": ('"of the"', None),
     "bm25_stemming": ("working", None),
     "bm25_accent": ("école für", None),
@@ -27,7 +29,7 @@ _SEARCHES = {
 for _name, (_text, _domain) in _SEARCHES.items():
 
     def _search(spark: SparkSession, sf_dir: str, text=_text, domain=_domain) -> DataFrame:
-        return rank.search(rank.index(A.notes(spark, sf_dir)), text, domain).select("rel_path", "score")
+        return rank.search(A.text_index(spark, sf_dir), text, domain).select("rel_path", "score")
 
     query(_name, bm25_sql(_text, _domain))(_search)
 
@@ -53,10 +55,47 @@ def vector_best_per_note(spark, sf_dir):
     return vector.best_per_note(A.table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 10, "embedding", "label", "vec_id").select("label", "vec_id", "score")
 
 
+_META = "SELECT 'd' || doc_id AS rel_path, sha256(text) AS content_hash FROM documents WHERE doc_id % 9 <> 4"
+_STORED = "SELECT 'd' || vec_id AS rel_path, CASE WHEN vec_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS content_hash, vec_id FROM embeddings LEFT JOIN documents ON doc_id = vec_id"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(notes, their vectors) of a state in which some notes changed or went after they were embedded."""
+    d, e = A.table(spark, sf_dir, "documents"), A.table(spark, sf_dir, "embeddings")
+    own = F.sha2("text", 256).alias("content_hash")
+    meta = d.where("doc_id % 9 <> 4").select(F.concat(F.lit("d"), "doc_id").alias("rel_path"), own)
+    made = e.join(d, d["doc_id"] == e["vec_id"], "left").select(F.concat(F.lit("d"), "vec_id").alias("rel_path"), F.when(F.col("vec_id") % 5 == 0, "old").otherwise(F.sha2("text", 256)).alias("content_hash"), "vec_id")
+    return meta, made
+
+
+@query("vector_sync", f"WITH m AS ({_META}), v AS ({_STORED}) SELECT rel_path, content_hash FROM m WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.rel_path = m.rel_path AND v.content_hash = m.content_hash)")
+def vector_sync(spark, sf_dir):
+    return vector.to_embed(*_stored(spark, sf_dir))
+
+
+@query("vector_orphans", f"WITH m AS ({_META}), v AS ({_STORED}) SELECT rel_path, vec_id FROM v WHERE rel_path NOT IN (SELECT rel_path FROM m)")
+def vector_orphans(spark, sf_dir):
+    meta, made = _stored(spark, sf_dir)
+    return vector.orphans(made, meta).select("rel_path", "vec_id")
+
+
+@query("vector_current", f"WITH m AS ({_META}), v AS ({_STORED}) SELECT v.rel_path, v.vec_id FROM v JOIN m ON v.rel_path = m.rel_path AND v.content_hash = m.content_hash")
+def vector_current(spark, sf_dir):
+    meta, made = _stored(spark, sf_dir)
+    return vector.still_current(made, meta).select("rel_path", "vec_id")
+
+
+@query("vector_pack", "SELECT vec_id, CAST(4 * len(embedding) AS BIGINT) AS n_bytes, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last FROM embeddings")
+def vector_pack(spark, sf_dir):
+    packed = A.table(spark, sf_dir, "embeddings").select("vec_id", vector.to_blob("embedding").alias("blob"))
+    back = packed.select("vec_id", F.octet_length("blob").cast("bigint").alias("n_bytes"), vector.from_blob("blob").alias("v"))
+    return back.select("vec_id", "n_bytes", F.col("v")[0].cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"))
+
+
 def hybrid(spark: SparkSession, sf_dir: str, text: str, limit: int = 10) -> DataFrame:
     """Keyword and vector hits of max(2 * limit, 20) each, fused."""
     wide = max(2 * limit, 20)
-    keyword = rank.search(rank.index(A.notes(spark, sf_dir)), text, None, wide).select("rel_path", "score")
+    keyword = rank.search(A.text_index(spark, sf_dir), text, None, wide).select("rel_path", "score")
     near = vector.top_k(A.table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), wide, "embedding", "vec_id")
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("rel_path"))
     return fuse.rrf([keyword, near.join(docs, "vec_id").select("rel_path", "score")], limit)
@@ -187,9 +226,10 @@ def attach_graph(spark, sf_dir):
 
 
 @query("resolve_ambiguous", """
-WITH k AS (SELECT lower(c_mktsegment) AS name_key, count(*) AS n, min(c_custkey) AS first_key FROM customer GROUP BY 1) SELECT * FROM k WHERE n > 1""")
+SELECT c_custkey AS k, 'customer/' || c_custkey || '.md' AS rel_path FROM customer WHERE lower(c_mktsegment) = (SELECT lower(min(c_mktsegment)) FROM customer)""")
 def resolve_ambiguous(spark, sf_dir):
-    return A.table(spark, sf_dir, "customer").groupBy(nocase("c_mktsegment").alias("name_key")).agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_key")).where("n > 1")
+    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("customer/"), "c_custkey", F.lit(".md")).alias("rel_path"), F.concat(F.lit("s"), "c_custkey").alias("stem"), F.col("c_mktsegment").alias("title"))
+    return graph.resolve(c, c.agg(F.min("title")).first()[0].lower()).select("k", "rel_path")
 
 
 @query("resolve_note", "SELECT 'nation/' || n_name || '.md' AS rel_path, n_name AS stem FROM nation WHERE n_name = (SELECT min(n_name) FROM nation)")
@@ -207,13 +247,13 @@ def list_notes(spark, sf_dir):
 
 @query("list_projects", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND coalesce(o_orderpriority, '') <> '5-LOW' AND NOT o_orderpriority ILIKE '%-MEDIUM'")
 def list_projects(spark, sf_dir):
-    o = A.table(spark, sf_dir, "orders")
-    return o.where((F.col("o_orderstatus") == "O") & (F.coalesce("o_orderpriority", F.lit("")) != "5-LOW") & ~F.col("o_orderpriority").ilike("%-MEDIUM")).select("o_orderkey", "o_orderpriority")
+    o = A.table(spark, sf_dir, "orders").withColumns({"domain": F.col("o_orderstatus"), "type": F.col("o_orderpriority"), "stem": F.col("o_orderpriority")})
+    return lists.projects(o, "O", "5-LOW", "-MEDIUM").select("o_orderkey", "o_orderpriority")
 
 
 @query("list_services", "SELECT s_name AS name, CAST(s_suppkey AS VARCHAR) AS ports, 'nation/' || n_name || '.md' AS rel_path FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def list_services(spark, sf_dir):
-    return A.place_services(spark, sf_dir).select("name", "ports", "rel_path")
+    return lists.services(A.place_services(spark, sf_dir)).select("name", "ports", "rel_path")
 
 
 @query("keypath_get", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -291,7 +331,7 @@ _PASS = {
     "sql_natural_using": "SELECT doc_id, lang, toxic FROM documents JOIN labels USING (doc_id)",
     "sql_cross_join": "SELECT r_name, p_size FROM region CROSS JOIN (SELECT DISTINCT p_size FROM part WHERE p_size < 4) p",
     "sql_semi_join": "SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
-    "sql_anti_join": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "sql_anti_join": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)",
     "sql_not_in": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40 AND l_partkey IS NOT NULL)",
     "sql_theta_join": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "sql_group_having": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc, min(l_tax) AS lo, max(l_tax) AS hi, count(DISTINCT l_suppkey) AS suppliers, count(*) FILTER (WHERE l_quantity > 25) AS large FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10",
@@ -318,11 +358,43 @@ def _pass_through(name: str, sql: str):
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import re
+        return sqlgate.frame(spark, {t: A.table(spark, sf_dir, t) for t in sorted(set(re.findall(r"\w+", text)) & set(_TABLES))}, text)
+
+
+#: Statements that the gate must refuse, and some that it must not.
+_GATED = {
+    "SELECT `java_method`('java.lang.Math', 'abs', -1)": True, "SELECT (SELECT reflect('java.lang.Math', 'abs', -1))": True, "WITH a AS (SELECT `try_reflect`('java.lang.Math', 'abs', -1) AS x) SELECT * FROM a": True,
+    "SELECT * FROM region LATERAL VIEW reflect('a', 'b') e": True, "SELECT * FROM region WHERE r_name IN (SELECT `java_method`('java.lang.Math', 'abs', -1))": True, "SELECT IDENTIFIER('reflect')('java.lang.Math', 'abs', -1)": True,
+    "SELECT * FROM parquet.`/etc`": True, "SELECT TRANSFORM(r_name) USING 'cat' FROM region": True, "WITH d AS (SELECT 1) DELETE FROM region": True, "INSERT INTO region VALUES (1)": True, "SELECT 1; SELECT 2": True,
+    "EXPLAIN DROP TABLE region": True, "SELECT input_file_name() FROM region": True, "SELECT current_user": True, "SELECT * FROM unknown_table": True, "VALUES (1)": True, "SELECT * FROM region |> SET r_name = reflect('java.lang.Math', 'abs', -1)": True,
+    "-- a note\nSELECT count(*) FROM region;": False, "/* a */ WITH r AS (SELECT 1 AS x) SELECT x FROM r": False, "EXPLAIN SELECT * FROM region": False, "SELECT `upper`(r_name) FROM region": False,
+    "SELECT r_name, 'DROP TABLE x; reflect(1)' AS s FROM region WHERE EXISTS (SELECT 1 FROM region)": False,
+}
+
+
+@query("sql_gate", "SELECT * FROM (VALUES " + ", ".join(f"('{s.replace(chr(39), chr(39) * 2)}', {str(r).lower()})" for s, r in _GATED.items()) + ") AS t(statement, refused)")
+def sql_gate(spark, sf_dir):
+    def refused(sql: str) -> bool:
+        try:
+            sqlgate.check(spark, sql, ["region"])
+            return False
+        except sqlgate.SqlRefused:
+            return True
+
+    return spark.createDataFrame([(s, refused(s)) for s in _GATED], "statement string, refused boolean")
+
+
+@query("sql_dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, strftime(o_orderdate, '%Y-%m') AS ym, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders")
+def sql_dates(spark, sf_dir):
+    text = "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, date_format(o_orderdate, 'yyyy-MM') AS ym, CAST(datediff(o_orderdate, DATE '1992-01-01') AS BIGINT) AS days FROM orders"
+    return sqlgate.frame(spark, {"orders": A.table(spark, sf_dir, "orders")}, text)
+
 
-        for t in set(re.findall(r"\w+", text)) & set(_TABLES):
-            A.table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text)
+@query("sql_note_match", bm25_sql("worthless", None, 100000))
+def sql_note_match(spark, sf_dir):
+    tables = A.text_index(spark, sf_dir) | {"notes": A.notes(spark, sf_dir)}
+    views, text = rank.match_views(tables, "SELECT rel_path, score FROM note_match('worthless') WHERE snippet LIKE '%**%' OR rel_path IS NOT NULL")
+    return sqlgate.frame(spark, views, text)
 
 
 for _name, _sql in _PASS.items():

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import markdown as M
-from quillspark.operators import audit, links
+from quillspark.operators import audit, links, sqlgate
 from quillspark.plans import adapters as A
 from quillspark.plans.project import parse_notes, views
 from quillspark.plans.registry import query
@@ -62,11 +64,8 @@ def note_toc(spark, sf_dir):
 
 @query("note_section", f"SELECT {_REL} AS rel_path, '- stays in ' || n_name AS first_line {_FROM}")
 def note_section(spark, sf_dir):
-    @F.pandas_udf("string")
-    def first_line(texts):
-        return texts.map(lambda t: (M.section(t, "invariants") or "\n").split("\n")[1] or None)
-
-    return A.markdown_notes(spark, sf_dir).select("rel_path", first_line("content").alias("first_line")).where("first_line is not null")
+    text = "SELECT rel_path, split(section, '\\n')[1] AS first_line FROM notes, LATERAL sections(content) WHERE lower(title) = 'invariants'"
+    return sqlgate.frame(spark, {"notes": A.markdown_notes(spark, sf_dir)}, text)
 
 
 @query("note_metadata", f"SELECT {_REL} AS rel_path, s_suppkey || ':80' AS port, 'here' AS machine {_FROM}")
@@ -99,3 +98,104 @@ def note_broken_links(spark, sf_dir):
 SELECT {_REL} AS rel_path {_FROM} UNION ALL SELECT 'nation/' || n_name || '.md' FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
 def note_orphans(spark, sf_dir):
     return _audit(spark, sf_dir)["orphans"]
+
+
+# --- notes of every awkward kind
+
+_KIND = "s_suppkey % 6"
+
+
+def _varied(kind: int, *columns: str) -> str:
+    name = list(A.VARIED)[kind]
+    return f"SELECT '20-Projects/' || s_suppkey || '-{name}.md' AS rel_path, {', '.join(columns)} FROM supplier WHERE {_KIND} = {kind}"
+
+
+def _all(*parts: str) -> str:
+    return " UNION ALL ".join(parts)
+
+
+def _varied_views(spark, sf_dir):
+    return views(parse_notes(A.varied_notes(spark, sf_dir), "here"))
+
+
+@query("varied_headers", _all(
+    _varied(0, "'CRLF ' || s_suppkey AS title", "'system' AS type", "'\"007\"' AS number", "NULL AS error"),
+    _varied(1, "s_suppkey || '-broken'", "'note'", "NULL", "'the header isn''t valid YAML'"),
+    _varied(2, "s_suppkey || '-open'", "'note'", "NULL", "'the header has no closing ''---'''"),
+    _varied(3, "s_suppkey || '-Services-Catalog'", "'note'", "NULL", "NULL"),
+    _varied(4, "s_suppkey || '-listed'", "'project'", "NULL", "NULL"),
+    _varied(5, "s_suppkey || '-long'", "'note'", "NULL", "NULL")))
+def varied_headers(spark, sf_dir):
+    parsed = parse_notes(A.varied_notes(spark, sf_dir), "here")
+    number = F.expr("to_json(named_struct('n', variant_get(try_parse_json(metadata_json), '$.number', 'string')))")
+    return parsed.select("rel_path", "title", "type", F.regexp_extract(number, r'"n":(.*)\}', 1).alias("number"), F.col("parse_error").alias("error")).withColumn("number", F.expr("nullif(number, '')"))
+
+
+@query("varied_services", _all(
+    _varied(3, "unnest(['web-' || s_suppkey, 'db-' || s_suppkey]) AS name", "unnest(['web_*', 'db_*']) AS container_prefix", "unnest(['80', '5432']) AS ports", "'default' AS network", "unnest(['2', '1']) AS replicas", "unnest(['serves a|b', 'stores']) AS role"),
+    _varied(4, "unnest([s_suppkey || '-listed', 'a' || s_suppkey, 'b' || s_suppkey])", "unnest([s_suppkey || '-listed_*', 'a_*', 'b_*'])", "unnest(['80, 443', '81', '1:1, 2:2'])", "'lan'", "unnest(['1', '1', '3'])", "''")))
+def varied_services(spark, sf_dir):
+    return _varied_views(spark, sf_dir)["services"].select("rel_path", "name", "container_prefix", "ports", "network", "replicas", "role")
+
+
+@query("varied_sections", _all(
+    _varied(0, "unnest([1, 2]) AS level", "unnest(['Top', 'Work Log!']) AS title"), _varied(1, "1", "'H'"), _varied(3, "1", "'Services'"),
+    _varied(5, "unnest([1, 2, 5])", "unnest(['Long', 'Links', 'Deep'])")))
+def varied_sections(spark, sf_dir):
+    return sqlgate.frame(spark, {"notes": A.varied_notes(spark, sf_dir)}, "SELECT rel_path, level, title FROM notes, LATERAL sections(content)")
+
+
+@query("varied_toc", _all(
+    _varied(0, "unnest(['L6: # Top', 'L10: ## Work Log!']) AS line"), _varied(1, "'L4: # H'"), _varied(3, "'L1: # Services'"), _varied(5, "unnest(['L1: # Long', 'L12: ## Links', 'L14: ##### Deep'])")))
+def varied_toc(spark, sf_dir):
+    return sqlgate.frame(spark, {"notes": A.varied_notes(spark, sf_dir)}, "SELECT rel_path, line FROM notes, LATERAL toc(content)")
+
+
+@query("varied_wikilinks", _all(_varied(0, "'in ' || s_suppkey AS target", "'in ' || s_suppkey AS target_stem"), _varied(1, "'kept-' || s_suppkey", "'kept-' || s_suppkey"), _varied(5, "'even'", "'even'")))
+def varied_wikilinks(spark, sf_dir):
+    return sqlgate.frame(spark, {"notes": A.varied_notes(spark, sf_dir)}, "SELECT rel_path, target, target_stem FROM notes, LATERAL wikilinks(content)")
+
+
+@query("varied_tables", _varied(3, "unnest([0, 1, 2]) AS row_number", "unnest(['Service / Stack', '**web-' || s_suppkey || '**', '']) AS first") + " UNION ALL " + _varied(3, "3", "'db-' || s_suppkey"))
+def varied_tables(spark, sf_dir):
+    return sqlgate.frame(spark, {"notes": A.varied_notes(spark, sf_dir)}, "SELECT rel_path, row AS row_number, cells[0] AS first FROM notes, LATERAL md_table_rows(content)")
+
+
+@query("varied_chunks", _all(
+    _varied(0, "unnest([0, 1]) AS chunk_index", "unnest(['Top', 'Work Log!']) AS breadcrumb"), _varied(1, "0", "'H'"), _varied(2, "0", "''"), _varied(3, "0", "'Services'"), _varied(4, "0", "''"),
+    _varied(5, "unnest([0, 1, 2, 3, 4])", "unnest(['Long', 'Long', 'Long', 'Long', 'Links'])")))
+def varied_chunks(spark, sf_dir):
+    notes = A.varied_notes(spark, sf_dir).withColumn("stem", F.regexp_extract("rel_path", r"([^/]*)\.md$", 1))
+    return sqlgate.frame(spark, {"notes": notes}, "SELECT rel_path, chunk_index, breadcrumb FROM notes, LATERAL chunks(stem, content)")
+
+
+# --- pure rules, case by case
+
+
+def _cases(name: str, rule, cases: dict):
+    # a query that applies a rule of text to each case, and what it must give
+    q = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+
+    @query(name, "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in cases.items()) + ") AS t(input, output)")
+    def run(spark, sf_dir):
+        @F.udf("string")
+        def applied(text):
+            return rule(text)
+
+        return spark.createDataFrame([(c,) for c in cases], "input string").select("input", applied("input").alias("output"))
+
+
+_cases("rule_literals", lambda t: json.dumps(M.typed(t)), {
+    '"123"': '"123"', "'a b'": '"a b"', "007": '"007"', "1.10": '"1.10"', "1.5": "1.5", "1.0": "1.0", "+5": '"+5"', "-5": "-5", "0": "0", "-0": '"-0"', "true": "true", "True": '"True"', "null": "null",
+    "[a, b]": '["a", "b"]', '[1, "x"]': '[1, "x"]', "{a: 1}": '{"a": 1}', "[a": '"[a"', "12345678901234567890": '"12345678901234567890"', "1e5": '"1e5"', " 5": '" 5"', "plain text": '"plain text"',
+})
+_cases("rule_healing", M.colons_quoted, {
+    "title: Bad: Note # why\r": 'title: "Bad: Note" # why\r', 'my key: a: b "q"': 'my key: "a: b \\"q\\""', 'ok: "x: y"': 'ok: "x: y"', "flow: {a: 1}": "flow: {a: 1}", "list: [a: b, c]": "list: [a: b, c]",
+    "- item: x: y": "- item: x: y", "# c: d: e": "# c: d: e", "block: |\n  in: side: it\nend: a: b": 'block: |\n  in: side: it\nend: "a: b"', "sub:\n  k: v: w": 'sub:\n  k: "v: w"', "url: http://x": "url: http://x",
+})
+_cases("rule_percent", M.percent_decoded, {"a%20b+c": "a b+c", "%C3%A9": "é", "%zz%4": "%zz%4", "100%": "100%"})
+_cases("rule_headings", M.heading_key, {"🚪 Gate  Keeper!": "gate keeper", "Non-Negotiable_X: é": "non-negotiable_x é", "## A.B": "a b"})
+_cases("rule_types", M.inferred_type, {"20-Projects/a.md": "project", "40-Systems/x/b.md": "system", "01-Daily/2024-01-01.md": "daily", "other/a.md": "note", "INDEX.md": "note"})
+_cases("rule_stems", M.target_stem, {"[[a/B|c]]": "B", "x#part": "x", "dir/Note.md": "Note", " [[ A ]] ": "A", "a/b#c|d": "b"})
+_cases("rule_budget", lambda t: M.within_budget(t, 30), {"short": "short", "line\n" * 40: "line\n" * 24 + "\n[cut after about 30 tokens]\n"})
+_cases("rule_scalars", lambda t: M.joined_text(json.loads(t)), {'["a", null, 1, " b "]': "a, 1, b", "null": "", '"x "': "x ", '{"a": [1]}': '{"a":[1]}', "true": "true"})

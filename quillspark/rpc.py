@@ -128,7 +128,9 @@ def call(e: Engine, tool: str, given: dict) -> tuple[str, bool]:
         case "get":
             return as_json({"keypath": a["key"], "value": e.get(a["key"])}), False
         case "query":
-            return cut(as_json(e.query(a["sql"])), MOST_ANSWER), False
+            got = e.query_result(a["sql"])
+            said = f"only the first {len(got['rows'])} rows\n" if got["truncated"] else ""
+            return cut(said + as_json(got["rows"]), MOST_ANSWER), False
         case "list_notes":
             return cut(as_json(e.notes(**a)), MOST_ANSWER), False
     return as_json(getattr(e, tool)(**a)), False

@@ -67,7 +67,7 @@ def contained(root: Path, rel_path: str) -> Path:
     return path
 
 
-def walk(root: Path, suffix: str = ".md", below: tuple[str, ...] = ("",)) -> tuple[list[str], list[str]]:
+def walk(root: Path, suffix: str = ".md", below: tuple[str, ...] = ("",), skipped: set[str] = SKIPPED) -> tuple[list[str], list[str]]:
     """(files, protected): relative paths in order. Linked notes and folders that can't be read are protected from deletion."""
     files, protected = [], []
 
@@ -76,7 +76,7 @@ def walk(root: Path, suffix: str = ".md", below: tuple[str, ...] = ("",)) -> tup
 
     for part in below:
         for folder, names, found in os.walk(root / part, onerror=failed):
-            names[:] = sorted(n for n in names if not n.startswith(".") and n not in SKIPPED)
+            names[:] = sorted(n for n in names if not n.startswith(".") and n not in skipped)
             for name in found:
                 if not name.startswith(".") and name.endswith(suffix):
                     rel = os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
@@ -126,6 +126,11 @@ def notes(spark: SparkSession, root: Path) -> tuple[DataFrame, list[str]]:
     return read_files(spark, root, files), protected
 
 
+def linkable(spark: SparkSession, root: Path) -> DataFrame:
+    """The notes that links may mean: all but templates and what begins with a dot."""
+    return read_files(spark, root, walk(root, skipped={"_templates"})[0])
+
+
 def assets(spark: SparkSession, root: Path) -> DataFrame:
     """All files below the config and script folders."""
     files = [f for part in ("50-Configs", "60-Scripts") if (root / part).is_dir() for f in walk(root, "", (part,))[0]]

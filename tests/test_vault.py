@@ -3,12 +3,13 @@
 import io
 import json
 import os
+import time
 
 import pytest
 
 from quillspark import cli, rpc
 from quillspark.engine import Engine
-from quillspark.operators import checks, mutate
+from quillspark.operators import checks, graph, mutate, sqlgate, sync
 from quillspark.sources.store import locked
 from quillspark.sources.vault import VaultError, contained
 
@@ -85,10 +86,80 @@ def test_sql_gate(spark, root):
             e.query(bad)
 
 
+def test_sql_rows_functions_and_matches(spark, root):
+    e = Engine(spark, root)
+    assert e.query("SELECT 1 AS a, 2 AS a, CAST('xy' AS binary) AS b") == [{"a": 2, "b": "<blob len=2>"}]
+    many = e.query_result("SELECT id FROM range(600)")
+    assert len(many["rows"]) == 500 and many["truncated"]
+    got = e.query("SELECT n.stem, m.score, m.snippet, 'note_match(''x'')' AS s FROM note_match('caching') m JOIN notes n USING (rel_path) ORDER BY m.score DESC")
+    assert [r["stem"] for r in got] == ["App", "Ingress"] and "**" in got[0]["snippet"] and got[0]["s"] == "note_match('x')"
+    assert e.query("SELECT title FROM notes, LATERAL sections(body) WHERE stem = 'App'") == [{"title": "Invariants"}]
+    with pytest.raises(sqlgate.SqlRefused):
+        e.query("SELECT repeat('x', 5000000) AS s")
+
+
+def test_a_deadline_ends_a_long_query(spark):
+    rows = spark.range(200_000)
+    began = time.monotonic()
+    with pytest.raises(sqlgate.SqlRefused, match="took more"):
+        sqlgate.run(spark, {"r": rows}, "SELECT sum(a.id * b.id % 7) AS s FROM r a CROSS JOIN r b", deadline=2)
+    assert time.monotonic() - began < 4
+
+
+def test_only_changed_notes_are_embedded_and_orphans_go(spark, root):
+    seen = root / ".seen"
+
+    def embed(texts):
+        with open(seen, "a") as f:
+            f.writelines(t.split("]")[0] + "\n" for t in texts)
+        return [[float("caching" in t.lower()), 1.0] for t in texts]
+
+    e = Engine(spark, root, embed)
+    embedded = lambda: sync.sync_vectors(spark, root, embed)
+    e.sync()
+    assert embedded() == 6 and embedded() == 0
+    whole = sync.stored_vectors(spark, root)
+    assert whole.select("rel_path").distinct().count() == 6 and {r.dim for r in whole.collect()} == {2} and all(len(r.vector_blob) == 8 for r in whole.collect())
+    (root / "40-Systems/Db.md").write_text(NOTES["40-Systems/Db.md"] + "more caching\n")
+    (root / "40-Systems/_Hidden.md").unlink()
+    seen.write_text("")
+    e.sync()
+    assert embedded() == 1 and "Db" in seen.read_text() and "App" not in seen.read_text()
+    now = sync.stored_vectors(spark, root)
+    meta = sync.current(spark, root)["file_meta"]
+    assert {r.rel_path for r in now.collect()} == {r.rel_path for r in meta.collect()}
+    assert now.join(meta, ["rel_path", "content_hash"], "left_anti").count() == 0
+    assert e.query("SELECT count(DISTINCT rel_path) AS n FROM note_vectors") == [{"n": 5}]
+    seen.write_text("")
+    assert e.search("caching", mode="vector")[0] and "Document" not in seen.read_text()
+
+
+def test_readers_and_writers_mean_the_same_note(spark, root):
+    (root / "40-Systems/Two-Words.md").write_text(HEAD.format("A Title", ""))
+    notes = Engine(spark, root).tables()["entities"]
+    for name in ("app", "40-Systems/App", "40-Systems/App.md", "/40-Systems/App", "two words", "a title", "40-Systems/Two Words", "nothing", "Systems/App"):
+        read = [r.rel_path for r in graph.resolve(notes, name).collect()]
+        assert sorted(read) == sorted(mutate.candidates(root, name)), name
+
+
+def test_links_may_mean_notes_that_the_index_skips(spark, root):
+    (root / "node_modules").mkdir()
+    (root / "node_modules/Lib.md").write_text(HEAD.format("Lib", ""))
+    (root / "40-Systems/Db.md").write_text(NOTES["40-Systems/Db.md"] + "[[node_modules/Lib]] [[nowhere]]\n")
+    e = Engine(spark, root)
+    assert e.verify()["broken_wikilinks"] == [["40-Systems/Db.md", "nowhere"]]
+    assert "node_modules/Lib.md" not in {n["rel_path"] for n in e.notes()}
+
+
+def test_tree_nodes_have_paths(spark, root):
+    tree = Engine(spark, root).map("App", 1, "down")
+    assert {n["rel_path"] for n in tree["down"]} == {"40-Systems/Db.md"}
+
+
 def test_audits(spark, root):
     e = Engine(spark, root)
     lint = e.lint()
-    assert lint["errors"] == ["'20-Projects/Shop.md' [project]: Missing required field(s): date, tags, summary, status"] and lint["total_notes"] == 6
+    assert lint["errors"] == ["'20-Projects/Shop.md' (project) lacks date, tags, summary, status"] and lint["total_notes"] == 6
     assert e.verify()["passed"], e.verify()
     (root / "40-Systems/Lone.md").write_text(HEAD.format("Lone", "") + "[[nowhere]] [x](gone.md) [[App]] [a](https://b.c)")
     (root / "40-Systems/Systems-MOC.md").write_text(HEAD.format("Systems", "") + "[[App]]\n")
