@@ -98,6 +98,7 @@ def load(folder: str, name: str, kinds: tuple[type, ...]) -> list[np.ndarray]:
 FILES = {
     "word": (np.uint64, np.int64),  # words, counts
     "stands": (np.int64,),  # contexts of each word of the word file
+    "score": (np.uint64, np.float64),  # words, log probabilities (of another model than this)
     "pair": (np.uint64, np.uint8, np.int64, np.int64, np.uint64, np.float64),  # bigrams, counts, where, many, contexts, four sums a context
 }
 
@@ -419,7 +420,7 @@ class Reader:
                 self.open[name] = [np.zeros(0, k) for k in FILES[kind]]
         return self.open[name]
 
-    def _each(self, keys: np.ndarray, shard: np.ndarray, kind: str, at: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def each(self, keys: np.ndarray, shard: np.ndarray, kind: str, at: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, which keys stand in its array number `at`, at which places)."""
         order = np.argsort(shard, kind="stable")
         ranked = shard[order]
@@ -434,7 +435,7 @@ class Reader:
     def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(training count, contexts) of sorted distinct words."""
         n, stands = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for s, own, at in self._each(words, range_shard(words, self.model.word_shards), "word"):
+        for s, own, at in self.each(words, range_shard(words, self.model.word_shards), "word"):
             n[own], stands[own] = self.arrays("word", s)[1][at], self.arrays("stands", s)[0][at]
         return n, stands
 
@@ -444,12 +445,12 @@ class Reader:
         often = _member(m.frequent, words)
         sums[often] = m.frequent_sums[np.searchsorted(m.frequent, words[often])]
         rest = np.flatnonzero(~often)
-        for s, own, at in self._each(words[rest], (mixed(words[rest], 1) % np.uint64(m.shards)).astype(np.int32), "pair", 4):
+        for s, own, at in self.each(words[rest], (mixed(words[rest], 1) % np.uint64(m.shards)).astype(np.int32), "pair", 4):
             sums[rest[own]] = self.arrays("pair", s)[5].reshape(-1, 4)[at]
         key = mixed(before, after)
         order = np.argsort(key)
         shard = pair_shard(before, after, _member(m.frequent, before), m.shards)[order]
-        for s, own, at in self._each(key[order], shard, "pair"):
+        for s, own, at in self.each(key[order], shard, "pair"):
             _, few, where, many, _, _ = self.arrays("pair", s)
             found = few[at].astype(np.int64)
             if (large := found == 255).any():
