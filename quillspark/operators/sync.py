@@ -1,10 +1,13 @@
 """Incremental projection: notes whose hash changed are parsed anew, all others keep their rows.
 
-A projection is a folder of Parquet tables with a version of its own; a small pointer file names the current one, so a
-reader sees a whole version or the one before it."""
+A projection is a list of layers, each a folder of Parquet tables: a base, and on it what later runs found, with the paths
+whose rows in the layers below are gone. A run writes the rows of changed notes only. A small pointer file lists the
+layers, so a reader sees a whole version or the one before it; a run that would make too many layers or gone paths writes
+a new base instead."""
 
 from __future__ import annotations
 
+import json
 import shutil
 import time
 import uuid
@@ -21,7 +24,9 @@ from quillspark.sources import vault
 from quillspark.sources.store import locked, write_whole
 
 #: Part of a version's name: a projection of another layout is built anew, never migrated.
-LAYOUT = "2"
+LAYOUT = "3"
+#: Layers, and gone paths in all of them (each reader broadcasts these), up to which a run adds a layer.
+MOST_LAYERS, MOST_GONE = 8, 100_000
 #: Key by which each table's rows belong to a note.
 KEYS = {"file_meta": "rel_path", "notes": "rel_path", "entities": "rel_path", "services": "rel_path", "relations": "source_rel", "invariants": "source_rel", "verifications": "source_rel", "chunks": "rel_path", "parse_errors": "rel_path", "postings": "rel_path", "token_texts": "rel_path"}
 #: Tables that SQL sees.
@@ -49,14 +54,33 @@ def _pointer(root: Path) -> Path:
     return home(root) / "current"
 
 
+def layers(root: Path) -> list[dict]:
+    """[{name, gone}], the base first: the folders of the current version and how many paths each takes from those below."""
+    at = _pointer(root)
+    try:
+        found = json.loads(at.read_text()) if at.is_file() else []
+    except ValueError:  # of another layout
+        return []
+    fits = all(x["name"].startswith(f"v{LAYOUT}-") and (home(root) / x["name"]).is_dir() for x in found)
+    return found if fits else []
+
+
 def current(spark: SparkSession, root: Path) -> dict[str, DataFrame] | None:
     """The tables of the current version, if there is one of this layout."""
-    at = _pointer(root)
-    name = at.read_text().strip() if at.is_file() else ""
-    folder = home(root) / name
-    if not name.startswith(f"v{LAYOUT}-") or not folder.is_dir():
+    found = layers(root)
+    if not found:
         return None
-    return {t: spark.read.parquet(f"file://{folder}/{t}") for t in KEYS}
+    read = lambda layer, t: spark.read.parquet(f"file://{home(root)}/{layer['name']}/{t}")
+    out = {}
+    for t, key in KEYS.items():
+        rows = read(found[0], t)
+        for layer in found[1:]:
+            if layer["gone"]:
+                gone = read(layer, "gone")
+                rows = rows.join(F.broadcast(gone), F.col(key) == F.col("gone_path"), "left_anti")
+            rows = rows.unionByName(read(layer, t))
+        out[t] = rows
+    return out
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
@@ -84,13 +108,17 @@ def sync(spark: SparkSession, root: Path, dry_run: bool = False) -> Report:
     began = time.monotonic()
     raw, protected = vault.notes(spark, root)
     raw = raw.cache()
-    old = current(spark, root)
+    seen, old = layers(root), current(spark, root)
     todo = changes(spark, old, raw, protected).cache()
     try:
         got = diff.counters(todo).first().asDict()
         out = Report(**got, dry_run=dry_run, read_errors=[f"{r.rel_path}: {r.error}" for r in raw.where("error is not null").orderBy("rel_path").collect()])
         if not dry_run and (old is None or got["updated"] or got["deleted"]):
             with locked(root):
+                if layers(root) != seen:  # another run published since
+                    todo.unpersist()
+                    old = current(spark, root)
+                    todo = changes(spark, old, raw, protected).cache()
                 _publish(spark, root, old, raw, todo)
         now = current(spark, root)
         if now is not None:
@@ -103,18 +131,28 @@ def sync(spark: SparkSession, root: Path, dry_run: bool = False) -> Report:
 
 
 def _publish(spark: SparkSession, root: Path, old: dict[str, DataFrame] | None, raw: DataFrame, todo: DataFrame) -> None:
+    """Write the changed notes as a layer, or, where there is no base or too much on it, all notes as a base."""
     fresh = parse_notes(raw.join(todo.where("status in ('added', 'updated')").select("rel_path"), "rel_path", "left_semi")).cache()
-    stays = todo.where("status = 'unchanged'").select(F.col("rel_path").alias("_kept"))
+    gone = todo.where("status in ('updated', 'deleted')").select(F.col("rel_path").alias("gone_path"))
+    below, n = layers(root), gone.count()
+    if len(below) >= MOST_LAYERS or n + sum(x["gone"] for x in below) > MOST_GONE:
+        below, n = [], 0
     name = f"v{LAYOUT}-{uuid.uuid4().hex}"
     folder = home(root) / name
     try:
-        for t, new in tables(fresh).items():
-            rows = new if old is None else old[t].join(stays, F.col(KEYS[t]) == F.col("_kept"), "left_semi").unionByName(new)
+        for t, rows in tables(fresh).items():
+            if old is not None and not below:
+                stays = todo.where("status = 'unchanged'").select(F.col("rel_path").alias("_kept"))
+                rows = old[t].join(stays, F.col(KEYS[t]) == F.col("_kept"), "left_semi").unionByName(rows)
             (rank.by_term(rows) if t == "postings" else rows).write.parquet(f"file://{folder}/{t}")
-        last = _pointer(root).read_text().strip() if _pointer(root).is_file() else ""
-        write_whole(_pointer(root), name)
-        for other in home(root).glob("v*-*"):  # the version before stays for readers that are under way
-            if other.name not in (name, last):
+        if n:
+            gone.write.parquet(f"file://{folder}/gone")
+        now = [*below, {"name": name, "gone": n}]
+        last = {x["name"] for x in layers(root)}
+        write_whole(_pointer(root), json.dumps(now))
+        keep = last | {x["name"] for x in now}  # the version before stays for readers that are under way
+        for other in home(root).glob("v*-*"):
+            if other.name not in keep:
                 shutil.rmtree(other, ignore_errors=True)
     except BaseException:
         shutil.rmtree(folder, ignore_errors=True)

@@ -1,11 +1,13 @@
-"""Vaults: folders of Markdown notes. Discovery and containment on the driver, contents through Spark's binary reader."""
+"""Vaults: folders of Markdown notes. Discovery and containment on the driver, contents in tasks."""
 
 from __future__ import annotations
 
 import os
 import socket
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,40 +86,50 @@ def walk(root: Path, suffix: str = ".md", below: tuple[str, ...] = ("",), skippe
     return sorted(files), sorted(protected)
 
 
-def _opened(parts):
-    """Length and bytes of files; of those beyond the limit only the length."""
-    for part in parts:
-        size = part["path"].map(os.path.getsize)
-        yield part.assign(length=size, content=[Path(p).read_bytes() if n <= MOST_BYTES else b"" for p, n in zip(part["path"], size)])
-
-
-def read_files(spark: SparkSession, root: Path, files: list[str], group: int = 2000) -> DataFrame:
-    """(rel_path, content_hash, size, content, error) of files by name.
-
-    Spark's file listing drops names that begin with _, even of files given by path, so tasks open those themselves.
-    Notes that are too large or not UTF-8 have an error and no content."""
+def _opened(base: str, most: int = 32 << 20):
+    """Arrow function from names to what the files hold, at most about so many bytes at a time. Of a file beyond the limit only
+    the length is read; one that went since it was listed has an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("rel_path", pa.string()), ("length", pa.int64()), ("bytes", pa.binary()), ("failed", pa.string())])
+        for batch in batches:
+            rows, held = [], 0
+            for rel in batch.column("rel_path").to_pylist():
+                try:
+                    n = os.path.getsize(f"{base}/{rel}")
+                    got = Path(f"{base}/{rel}").read_bytes() if n <= MOST_BYTES else b""
+                    rows.append((rel, max(n, len(got)), got, None))
+                    held += len(got)
+                except OSError as e:
+                    rows.append((rel, None, None, e.strerror or "unreadable"))
+                if held >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def read_files(spark: SparkSession, root: Path, files: list[str], a_task: int = 5000) -> DataFrame:
+    """(rel_path, content_hash, size, content, error) of files by name: one scan whatever their number, dealt to tasks that open
+    them. (Spark's own file listing drops names that begin with _.)
+
+    Notes that are unreadable, too large or not UTF-8 have an error and no content."""
     if not files:
         return spark.createDataFrame([], _SCHEMA)
-    base = str(root.resolve())
-    dropped = [f for f in files if any(p.startswith("_") and "=" not in p for p in f.split("/")[-1:])]
-    listed = sorted(set(files) - set(dropped))
-    parts = [spark.read.format("binaryFile").load([f"file://{base}/{f}" for f in listed[at : at + group]]).select("path", "length", "content") for at in range(0, len(listed), group)]
-    if dropped:
-        paths = spark.createDataFrame([(f"{base}/{f}",) for f in dropped], "path string")
-        parts.append(paths.mapInPandas(_opened, "path string, length bigint, content binary"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    rel = F.substring(path, len(base) + 2, 1 << 20)
+    names = spark.createDataFrame(pa.table({"rel_path": pa.array(files, pa.string())}))
+    dealt = names.repartition(max(spark.sparkContext.defaultParallelism, -(-len(files) // a_task)))
+    out = dealt.mapInArrow(_opened(str(root.resolve())), "rel_path string, length bigint, bytes binary, failed string")
     fits = F.col("length") <= MOST_BYTES
-    valid = F.expr("is_valid_utf8(content)")
+    valid = F.expr("is_valid_utf8(bytes)")
+    problem = F.when(F.col("failed").isNotNull(), F.col("failed")).when(~fits, F.lit(f"larger than {MOST_BYTES} bytes")).when(~valid, F.lit("not UTF-8"))
     return out.select(
-        rel.alias("rel_path"),
-        F.sha2("content", 256).alias("content_hash"),
+        "rel_path",
+        F.sha2("bytes", 256).alias("content_hash"),
         F.col("length").alias("size"),
-        F.when(fits & valid, F.col("content").cast("string")).alias("content"),
-        F.when(~fits, F.lit(f"larger than {MOST_BYTES} bytes")).when(~valid, F.lit("not UTF-8")).alias("error"),
+        F.when(fits & valid, F.col("bytes").cast("string")).alias("content"),
+        problem.alias("error"),
     )
 
 

@@ -10,6 +10,8 @@ import pytest
 from quillspark import cli, rpc
 from quillspark.engine import Engine
 from quillspark.operators import checks, graph, mutate, sqlgate, sync
+from quillspark.plans.project import parse_notes
+from quillspark.sources import vault
 from quillspark.sources.store import locked
 from quillspark.sources.vault import VaultError, contained
 
@@ -49,6 +51,38 @@ def test_sync_counts_and_keeps_rows(spark, root):
     assert len(e.sync().parse_errors) == 1
 
 
+def test_runs_add_layers_and_now_and_then_a_base(spark, root, monkeypatch):
+    monkeypatch.setattr(sync, "MOST_LAYERS", 3)
+    e, numbers = Engine(spark, root), []
+    e.sync()
+    for i in range(4):
+        (root / "40-Systems/Db.md").write_text(HEAD.format("Db", "") + f"state {i} [[App]]\n")
+        if i == 1:
+            (root / "40-Systems/_Hidden.md").unlink()
+        if i == 2:
+            (root / "40-Systems/_Hidden.md").write_text(HEAD.format("Hidden", "") + "back\n")
+        e.sync()
+        numbers.append(len(sync.layers(root)))
+        t = sync.current(spark, root)
+        fresh = sync.tables(parse_notes(vault.notes(spark, root)[0]))
+        for name in sync.KEYS:
+            rows = lambda x: sorted(map(str, x[name].collect()))  # noqa: B023, E731
+            assert rows(t) == rows(fresh), name
+    assert numbers == [2, 3, 1, 2]
+    files = lambda: {str(p) for p in sync.home(root).glob("v*-*")}
+    before = files()
+    e.sync()
+    assert files() == before
+
+
+def test_files_that_cannot_be_read_have_an_error(spark, root):
+    (root / "big.md").write_bytes(b"x" * (vault.MOST_BYTES + 1))
+    (root / "latin.md").write_bytes(b"\xff")
+    got = {r.rel_path: r for r in vault.read_files(spark, root, ["INDEX.md", "40-Systems/_Hidden.md", "big.md", "latin.md", "gone.md"]).collect()}
+    assert got["INDEX.md"].content == NOTES["INDEX.md"] and got["40-Systems/_Hidden.md"].error is None
+    assert "larger" in got["big.md"].error and got["latin.md"].error == "not UTF-8" and got["gone.md"].error and got["gone.md"].content is None
+
+
 def test_reads(spark, root):
     e = Engine(spark, root)
     hits, notice = e.search("caching", with_graph=True)
@@ -93,7 +127,7 @@ def test_sql_rows_functions_and_matches(spark, root):
     assert len(many["rows"]) == 500 and many["truncated"]
     got = e.query("SELECT n.stem, m.score, m.snippet, 'note_match(''x'')' AS s FROM note_match('caching') m JOIN notes n USING (rel_path) ORDER BY m.score DESC")
     assert [r["stem"] for r in got] == ["App", "Ingress"] and "**" in got[0]["snippet"] and got[0]["s"] == "note_match('x')"
-    assert e.query("SELECT title FROM notes, LATERAL sections(body) WHERE stem = 'App'") == [{"title": "Invariants"}]
+    assert e.query("SELECT s.title FROM notes, LATERAL sections(body) AS s WHERE stem = 'App'") == [{"title": "Invariants"}]
     with pytest.raises(sqlgate.SqlRefused):
         e.query("SELECT repeat('x', 5000000) AS s")
 
