@@ -71,19 +71,14 @@ def sinks(services: DataFrame, targets: DataFrame) -> DataFrame:
     return hit.select("_row").distinct().select("_row.*")
 
 
-def blast(relations: DataFrame, notes: DataFrame, services: DataFrame, target: str) -> DataFrame:
-    """One row: the target with arrays of upstream, downstream and boundary sinks, each in order."""
-    spark = relations.sparkSession
-    stem = target_stem(target)
-    gathered = [
-        upstream(relations, target).agg(F.array_sort(F.collect_list(F.struct("source_rel", "relation_type"))).alias("upstream")),
-        downstream(relations, notes, target).agg(F.array_sort(F.collect_list(F.struct("target_stem", "relation_type"))).alias("downstream")),
-        sinks(services, spark.createDataFrame([(stem,)], "stem string")).agg(F.array_sort(F.collect_list(F.struct("name", "container_prefix", "ports", "host", "network", "rel_path"))).alias("boundary_sinks")),
-    ]
-    out = spark.createDataFrame([(stem,)], "target string")
-    for part in gathered:  # one row each
-        out = out.join(F.broadcast(part))
-    return out
+def blast(relations: DataFrame, notes: DataFrame, services: DataFrame, target: str) -> dict[str, DataFrame]:
+    """What a change of the target reaches: rows of upstream, downstream and boundary_sinks, none gathered into one row."""
+    stem = relations.sparkSession.createDataFrame([(target_stem(target),)], "stem string")
+    return {
+        "upstream": upstream(relations, target),
+        "downstream": downstream(relations, notes, target),
+        "boundary_sinks": sinks(services, stem).select("name", "container_prefix", "ports", "host", "network", "rel_path"),
+    }
 
 
 def traverse(links: DataFrame, start: str, depth: int = 2, direction: str = "down") -> DataFrame:

@@ -157,8 +157,10 @@ WITH {_EDGES} SELECT {_TARGET} AS target,
   (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = {_TARGET}) AS n_sinks""")
 def blast_radius(spark, sf_dir):
     b = graph.blast(A.place_edges(spark, sf_dir), A.place_notes(spark, sf_dir), A.place_services(spark, sf_dir), _target(spark, sf_dir))
-    n = lambda c: F.size(c).cast("bigint")
-    return b.select("target", n("upstream").alias("n_up"), F.col("upstream")[0]["source_rel"].alias("first_up"), n("downstream").alias("n_down"), n("boundary_sinks").alias("n_sinks"))
+    up = b["upstream"].agg(F.count(F.lit(1)).alias("n_up"), F.min("source_rel").alias("first_up"))
+    rest = [b[k].agg(F.count(F.lit(1)).alias(n)) for k, n in (("downstream", "n_down"), ("boundary_sinks", "n_sinks"))]
+    one = spark.createDataFrame([(_target(spark, sf_dir),)], "target string")
+    return one.join(up).join(rest[0]).join(rest[1])  # one row each
 
 
 def _tree_sql(edges: str, root: str, depth: int, a: str = "f", b: str = "t") -> str:
