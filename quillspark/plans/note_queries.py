@@ -197,5 +197,5 @@ _cases("rule_percent", M.percent_decoded, {"a%20b+c": "a b+c", "%C3%A9": "é", "
 _cases("rule_headings", M.heading_key, {"🚪 Gate  Keeper!": "gate keeper", "Non-Negotiable_X: é": "non-negotiable_x é", "## A.B": "a b"})
 _cases("rule_types", M.inferred_type, {"20-Projects/a.md": "project", "40-Systems/x/b.md": "system", "01-Daily/2024-01-01.md": "daily", "other/a.md": "note", "INDEX.md": "note"})
 _cases("rule_stems", M.target_stem, {"[[a/B|c]]": "B", "x#part": "x", "dir/Note.md": "Note", " [[ A ]] ": "A", "a/b#c|d": "b"})
-_cases("rule_budget", lambda t: M.within_budget(t, 30), {"short": "short", "line\n" * 40: "line\n" * 24 + "\n[cut after about 30 tokens]\n"})
+_cases("rule_budget", lambda t: M.within_budget(t, 30), {"short": "short", "line\n" * 40: "line\n" * 24 + "\n[truncated after about 30 tokens]\n"})
 _cases("rule_scalars", lambda t: M.joined_text(json.loads(t)), {'["a", null, 1, " b "]': "a, 1, b", "null": "", '"x "': "x ", '{"a": [1]}': '{"a":[1]}', "true": "true"})
