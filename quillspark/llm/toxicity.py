@@ -5,7 +5,8 @@ are shared by both, so a rare or inflected expression is smoothed by what both c
 words of which a share SHARE comes from the toxic model and the others, as all of an ordinary text, from the ordinary one.
 The deciding figure is the difference of the two log-likelihoods of the whole text, divided by its number of words to the
 power NORM; nothing else enters. A logistic curve over its logarithm, fitted on texts that the models which score them have
-not seen (FOLDS folds), turns it into a probability, laid so that the share ALARMS of the ordinary ones of these reaches THRESHOLD.
+not seen (FOLDS folds), turns it into a probability, laid so that THRESHOLD is where the share of missed toxic texts of these and
+ALARM_COST times the share of ordinary ones that reach it are least in sum, in the middle of a gap between the two.
 
 Models are fitted on a hash sample of at most about `max_rows` labelled rows and `max_chars` characters of each class (a
 documented bound), chosen by doc_id only; the final models use all folds.
@@ -29,9 +30,8 @@ from quillspark.llm.common import materialize, raw_texts, slices, tidied
 from quillspark.llm.kn import PairModel, WordCache, gram_counts
 
 ORDER, FOLDS = 5, 4
-#: Share of toxic words in a toxic text, power of the length, least figure that is told from none, share of ordinary labelled
-#: texts that may reach the threshold (some are marked wrongly: with 0.02, 0.8 % of the held-out ordinary ones at sf0.1 do).
-SHARE, NORM, FLOOR, ALARMS = 0.002, 0.75, 0.001, 0.02
+#: Share of toxic words in a toxic text, power of the length, least figure that is told from none, cost of a false alarm.
+SHARE, NORM, FLOOR, ALARM_COST = 0.002, 0.75, 0.001, 3
 THRESHOLD = 0.3
 #: Bytes as words are split: A-Z lowered, other ASCII but letters is white space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -134,8 +134,18 @@ def curve_of(x: np.ndarray, toxic: np.ndarray, share: dict[int, float]) -> tuple
         return 1.0, 0.0
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
     slope = max(0.1, float(logistic(x[:, None], y, weight / weight.mean())[0]))
-    bar = np.quantile(x[y == 0], 1 - ALARMS) if (y == 0).any() else x.min()
-    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * bar) - 1e-9
+    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * bar_of(x[y == 0], x[y == 1]))
+
+
+def bar_of(ordinary: np.ndarray, toxic: np.ndarray) -> float:
+    """The figure from which a text counts as toxic: of the places between known figures the middle one of the least cost."""
+    known = np.unique(np.concatenate([ordinary, toxic]))
+    places = np.append((known[1:] + known[:-1]) / 2, known[-1] + 1)
+    alarms = 1 - np.searchsorted(np.sort(ordinary), places) / max(1, len(ordinary))
+    misses = np.searchsorted(np.sort(toxic), places) / max(1, len(toxic))
+    cost = ALARM_COST * alarms + misses
+    least = np.flatnonzero(cost <= cost.min() + 1e-12)
+    return float(places[least[len(least) // 2]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -118,6 +118,16 @@ def plain_scores(texts, labels, folds):
     return {d: 1 / (1 + math.exp(-(slope * whole(d) + base))) for d in texts}
 
 
+def test_the_bar_stands_in_the_gap_or_where_the_cost_is_least():
+    assert toxicity.bar_of(np.array([0.0, 1.0]), np.array([3.0, 4.0])) == 2.0
+    rng = random.Random(2)
+    for _ in range(30):
+        a, b = ([rng.randrange(12) for _ in range(rng.randint(1, 20))] for _ in range(2))
+        cost = lambda bar: toxicity.ALARM_COST * sum(x >= bar for x in a) / len(a) + sum(x < bar for x in b) / len(b)  # noqa: B023, E731
+        places = [x + 0.5 for x in range(12)]
+        assert cost(toxicity.bar_of(np.array(a, float), np.array(b, float))) <= min(map(cost, places)) + 1e-9
+
+
 def test_registered_query_against_plain_models(spark, tmp_path):
     rng = random.Random(4)
     common, foul = ["good", "day", "to", "all", "goods", "daily"], ["idiot", "idiots", "scum"]
