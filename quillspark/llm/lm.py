@@ -98,7 +98,7 @@ def load(folder: str, name: str, kinds: tuple[type, ...]) -> list[np.ndarray]:
 FILES = {
     "word": (np.uint64, np.int64),  # words, counts
     "stands": (np.int64,),  # contexts of each word of the word file
-    "score": (np.uint64, np.float64),  # words, log probabilities (of another model than this)
+    "score": (np.uint64, np.float64),  # n-grams and probabilities of another model
     "pair": (np.uint64, np.uint8, np.int64, np.int64, np.uint64, np.float64),  # bigrams, counts, where, many, contexts, four sums a context
 }
 
