@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontam, langid, lm, pii, quality, token_count, topk, toxicity
+from quillspark.llm import bpe, decontam, divergence, langid, lm, pii, quality, repeats, sql_twins, token_count, topk, toxicity, veccode
 from quillspark.llm.common import table
 from quillspark.llm.simhash import near_duplicates
 
@@ -65,8 +65,22 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-_QUERIES = [op1_simhash_near_dedup, op2_decontamination, op3_token_counts, op4_pii, op5_byte_bpe, op6_quality, op7_lm_scoring, op8_toxicity, op9_language_id, op10_exact_topk]
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccode.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op1_simhash_near_dedup, op2_decontamination, op3_token_counts, op4_pii, op5_byte_bpe, op6_quality, op7_lm_scoring, op8_toxicity, op9_language_id, op10_exact_topk, op11_vector_codes, op12_suffix_dedup, op13_source_divergence]
 _ORACLE: dict[str, str] = {
+    "op11_vector_codes": sql_twins.vector_codes(),
+    "op13_source_divergence": sql_twins.SOURCE_DIVERGENCE,
     "op10_exact_topk": """
 WITH u AS MATERIALIZED (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
