@@ -24,8 +24,7 @@ def plain(rows, least=30, top=50):
         kept = [t for t, c in docs[lang].items() if c >= least]
         others = [s for x, s in n if x == lang]
         total = {t: sum(n[lang, s][t] for s in others) for t in kept}
-        p = {s: {t: 1 + 10**9 * (n[lang, s][t] + 5) // (sum(n[lang, s][u] for u in kept) + 5 * len(kept)) for t in kept} for s in {*others}} if len(kept) * len(others) < 200 else shares(n, lang, others, kept)
-        q = {t: 1 + 10**9 * (total[t] + 5) // (sum(total.values()) + 5 * len(kept)) for t in kept} if len(kept) < 200 else whole(total)
+        p, q = shares(n, lang, others, kept), whole(total)
         pairs = sorted((-sum(abs(p[source][t] - p[s][t]) for t in kept), s.encode(), s) for s in others if s != source)
         terms = sorted((q[t] - p[source][t], t.encode(), t) for t in kept if n[lang, source][t] and p[source][t] > q[t])[:top]
         for part, found in (("pair", pairs), ("term", terms)):
