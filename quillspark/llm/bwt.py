@@ -17,28 +17,25 @@ PACKED = 7
 def _order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, place of each) by their first `depth` symbols; suffixes that end sooner are told apart by their ends."""
     n = len(symbols)
-    left = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(n)  # symbols before the end
-    key = np.zeros(n, np.int64)
+    every = np.arange(n, dtype=np.int32)
+    left = np.repeat(ends.astype(np.int32), np.diff(np.concatenate([[-1], ends]))) - every  # symbols before the end
+    key, ahead = np.zeros(n, np.int64), np.concatenate([symbols, np.zeros(PACKED, np.uint16)])
     for i in range(PACKED):
-        shifted = np.zeros(n, np.int64)
-        shifted[: max(0, n - i)] = symbols[i:]
-        shifted[left < i] = 0
-        key = key << 9 | shifted
-    suffixes = np.argsort(key, kind="stable")
+        key <<= 9
+        key |= np.where(left >= i, ahead[i : i + n], np.uint16(0))
+    suffixes = np.argsort(key, kind="stable").astype(np.int32)
     ordered = key[suffixes]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     new |= left[suffixes] < PACKED  # of equal short ones the order of the texts decides
-    place = np.empty(n, np.int64)
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    place[suffixes] = group
+    place = np.empty(n, np.int32)
+    place[suffixes] = np.maximum.accumulate(np.where(new, every, 0))
     alone = new & np.concatenate([new[1:], [True]])
     open_, known = suffixes[~alone], PACKED
     while len(open_) and known < depth:
-        first = place[open_]
-        key = first * (n + 1) + place[open_ + known]
-        by = np.argsort(key, kind="stable")
-        open_, first, key = open_[by], first[by], key[by]
-        k = np.arange(len(open_))
+        key = place[open_].astype(np.int64) << 32 | place[open_ + known]
+        by = np.argsort(key)  # equal ones stay in one group: their order is free
+        open_, key = open_[by], key[by]
+        first, k = (key >> 32).astype(np.int32), every[: len(by)]
         starts = np.concatenate([[True], first[1:] != first[:-1]])
         at = first + k - np.maximum.accumulate(np.where(starts, k, 0))
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -46,15 +43,15 @@ def _order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarra
         suffixes[at] = open_
         open_ = open_[~(new & np.concatenate([new[1:], [True]]))]
         known *= 2
-    place[suffixes] = np.arange(n)
+    place[suffixes] = every
     return suffixes, place
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, number of the interval) of all places of the intervals."""
     size = last - first + 1
-    own = np.repeat(np.arange(len(first)), size)
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[own], own
+    before = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(first - before, size), np.repeat(np.arange(len(first)), size)
 
 
 def repeated(texts: list[bytes], window: int) -> list[np.ndarray]:
@@ -70,7 +67,7 @@ def repeated(texts: list[bytes], window: int) -> list[np.ndarray]:
     before = symbols[suffixes - 1]  # the transform; -1 is the last end
     by_symbol = np.argsort(before, kind="stable")
     back = np.empty(n, np.int64)
-    back[by_symbol] = np.arange(n)
+    back[by_symbol] = np.arange(n) << 32
     head = symbols[suffixes]
     parted = np.zeros(n + 1, bool)  # parted[i]: suffixes i - 1 and i are known to share less than a window
     parted[: len(texts) + 1] = parted[n] = True
@@ -79,13 +76,12 @@ def repeated(texts: list[bytes], window: int) -> list[np.ndarray]:
     last = np.append(first[1:], n) - 1
     for _ in range(1, window):
         places, own = _ranges(first, last)
-        kept = before[places] > 0
-        target, own = back[places[kept]], own[kept]
-        by = np.argsort(target, kind="stable")
-        target, own = target[by], own[by]
-        if not len(target):
+        met = np.sort((back[places] | own)[before[places] > 0])
+        if not len(met):
             break
-        cut = (target[1:] != target[:-1] + 1) | (own[1:] != own[:-1]) | (head[target[1:]] != head[target[:-1]])
+        target, own = met >> 32, met & 0xFFFFFFFF
+        symbol = head[target]
+        cut = (target[1:] != target[:-1] + 1) | (own[1:] != own[:-1]) | (symbol[1:] != symbol[:-1])
         starts, stops = target[np.concatenate([[True], cut])], target[np.concatenate([cut, [True]])]
         new = ~parted[stops + 1]
         first, last = starts[new], stops[new]

@@ -38,7 +38,7 @@ from quillspark.llm.common import discard, materialize, raw_texts, slices, tidie
 
 WINDOW, ANCHOR = 200, 64
 #: Bytes of text whose windows are worked on at once, and of stretches in one transform.
-PIECE, SHARD_BYTES = 1 << 20, 1 << 20
+PIECE, SHARD_BYTES = 1 << 18, 1 << 18
 MOST_STRETCHES = 1024
 _POSITION = 22  # bits of a place in a piece
 
@@ -73,18 +73,17 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 def places_of(texts: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """(text number, first window, windows, anchor's begin in the stretch, key, digest as two numbers) of all places."""
     data = b"".join(texts)
-    ends = np.cumsum([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)  # each byte's text
+    fits = own[window - 1 :] == own[: max(0, len(own) - window + 1)]
     raw, found = np.frombuffer(data, np.uint8), []
+    low = np.uint64((1 << _POSITION) - 1)
     for at in range(0, max(0, len(data) - window + 1), PIECE):
-        piece = raw[at : at + PIECE + window - 1]
-        h = gram_hashes(piece, anchor)
-        low = np.uint64((1 << _POSITION) - 1)
-        packed = sliding_min(h & ~low | np.arange(len(h), dtype=np.uint64), window - anchor + 1)
-        spot = (packed & low).astype(np.int64)
-        start = np.arange(len(spot))
-        text = np.searchsorted(ends, start + at, side="right")
-        whole = start + at + window <= ends[text]
-        start, spot, text = start[whole], spot[whole], text[whole]
+        h = gram_hashes(raw[at : at + PIECE + window - 1], anchor)
+        spot = (sliding_min(h & ~low | np.arange(len(h), dtype=np.uint64), window - anchor + 1) & low).view(np.int64)
+        start = np.flatnonzero(fits[at : at + PIECE])
+        spot, text = spot[start], own[start + at]
         if not len(start):
             continue
         cut = np.flatnonzero((spot[1:] != spot[:-1]) | (start[1:] != start[:-1] + 1)) + 1
@@ -92,7 +91,7 @@ def places_of(texts: list[bytes], window: int, anchor: int) -> tuple[np.ndarray,
         spot, text = spot[np.concatenate([[0], cut])], text[np.concatenate([[0], cut])]
         lo = (first + at).tolist()
         digests = b"".join([_digest(data[a : a + k + window - 1]) for a, k in zip(lo, n.tolist())])
-        found.append((text, first + at - np.concatenate([[0], ends])[text], n, spot - first, h[spot].view(np.int64), np.frombuffer(digests, np.int64).reshape(-1, 2)))
+        found.append((text, first + at - begins[text], n, spot - first, h[spot].view(np.int64), np.frombuffer(digests, np.int64).reshape(-1, 2)))
     if not found:
         return (*(np.empty(0, np.int64) for _ in range(5)), np.empty((0, 2), np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
