@@ -192,6 +192,7 @@ def _runs_of(places: DataFrame, owner: list[str], window: int, fetch, most: int)
     apart = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
     keys = materialize(places.groupBy("key").agg(F.count(F.lit(1)).alias("had"), apart.alias("mixed")).where("had > 1").select("key", "mixed"), "keys")
     shared = materialize(places.join(keys, "key"), "places")
+    discard(places, keys)
     whole = shared.where("NOT mixed").select(*owner, F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("stop"))
     mixed = shared.where("mixed")
     carried = [c for c in shared.columns if c not in ("key", "c1", "c2", "mixed")]
