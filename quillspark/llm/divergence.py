@@ -20,6 +20,7 @@ Nulls and edges: a null text, language or source is ''; a group without terms or
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import chain
 
@@ -55,19 +56,25 @@ class Trie(dict):
         self.root, self.counters, self.new, self.more = Node(), np.empty((0, 4), np.int64), [], 0
 
     def __missing__(self, term: bytes) -> int:
-        node, rest = self.root, term
-        while rest:
-            node.edges = node.edges or {}
-            edge = node.edges.get(rest[0])
+        node, at, end = self.root, 0, len(term)
+        while at < end:
+            edges = node.edges
+            if edges is None:
+                edges = node.edges = {}
+            edge = edges.get(term[at])
             if edge is None:
-                edge = node.edges[rest[0]] = rest, Node()
+                node = Node()
+                edges[term[at]] = term[at:], node
+                break
             label, child = edge
-            if not rest.startswith(label):
-                same = next((i for i, (a, b) in enumerate(zip(rest, label)) if a != b), len(rest))
+            if not term.startswith(label, at):
+                same, most = 1, min(len(label), end - at)
+                while same < most and label[same] == term[at + same]:
+                    same += 1
                 middle = Node()
                 middle.edges = {label[same]: (label[same:], child)}
-                label, child = node.edges[rest[0]] = label[:same], middle
-            node, rest = child, rest[len(label) :]
+                label, child = edges[term[at]] = label[:same], middle
+            node, at = child, at + len(label)
         if node.leaf < 0:
             node.leaf = len(self)
         self[term] = node.leaf
@@ -129,6 +136,14 @@ def _packed(lang: bytes, trie: Trie, most: int = 20_000) -> Iterator[pa.RecordBa
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    gc.disable()  # tries hold no cycles, and each collection would walk all their nodes
+    try:
+        yield from _counted(batches)
+    finally:
+        gc.enable()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tries: dict[bytes, Trie] = {}
     for batch in slices(batches, "text"):
         by_lang: dict[bytes, list[int]] = {}
