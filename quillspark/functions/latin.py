@@ -31,7 +31,7 @@ def unaccented(c: Column) -> Column:
 def tokens(c: Column | str) -> Column:
     """Runs of letters and digits, lowered, without accents."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_extract_all(unaccented(F.lower(F.coalesce(c, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.regexp_extract_all(F.lower(unaccented(F.coalesce(c, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def like_escaped(text: str) -> str:

@@ -1,8 +1,9 @@
-"""Ranked text search: a text index, query terms, weighted BM25, snippets.
+"""Ranked text search: a positional index, query terms, weighted BM25, snippets.
 
-The index has two tables. `postings` says how often each term stands in each column of a note; it is written in order of
-the term, so a query reads the row groups of its own terms only, a prefix those of a range. `token_texts` has a note's
-length, and its tokens joined by single spaces, which only phrases read, for the notes that hold all their tokens.
+The index has two tables. `postings` says how often (tf) and where (places, the numbers of its tokens) each term stands in each
+column of a note; it is written in order of the term, so a query reads the row groups of its own terms only, a prefix those of a
+range, and the places only where a phrase, a distance or a snippet needs them. `lengths` has a note's number of tokens. No table
+holds tokens' texts: phrases are intersections of places.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +29,20 @@ LEAST_HITS, MOST_HITS = 1, 100
 
 @dataclass(frozen=True)
 class Phrase:
-    """Adjacent tokens; the last may be a prefix."""
+    """Adjacent tokens; the last may be a prefix. It may have to stand in some columns, or first in one."""
 
     tokens: tuple[str, ...]
     prefix: bool = False
+    columns: tuple[str, ...] | None = None
+    first: bool = False
+
+    @property
+    def by_place(self) -> bool:
+        return len(self.tokens) > 1 or self.first
 
 
 def plain_tokens(text: str) -> tuple[str, ...]:
-    return tuple(re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(ACCENTED, PLAIN))))
+    return tuple(re.findall(r"[^\W_]+", text.translate(str.maketrans(ACCENTED, PLAIN)).lower()))
 
 
 def variants(word: str) -> list[str]:
@@ -66,77 +72,125 @@ def parse(query: str) -> list[list[Phrase]]:
     return groups
 
 
-def token_texts(notes: DataFrame) -> DataFrame:
-    """(rel_path, domain, n_tokens, tok_..): the number of all tokens, and those of each searched column (" a b ")."""
-    joined = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    out = notes.select("rel_path", "domain", *(joined(c).alias(f"tok_{c}") for c in WEIGHTS))
-    return out.withColumn("n_tokens", sum((F.regexp_count(f"tok_{c}", F.lit("[^ ]+")) for c in WEIGHTS), F.lit(0)))
+def postings(notes: DataFrame) -> DataFrame:
+    """(term, rel_path, tf, places): how often and where the term stands in each searched column. Notes are dealt by path before
+    their tokens are counted, so tokens themselves aren't shuffled."""
+    here = lambda i: lambda t, at: F.struct((F.lit(i << _COLUMN) + at).alias("at"), t.alias("term"))
+    placed = [F.transform(tokens(c), here(i)) for i, c in enumerate(WEIGHTS)]
+    rows = notes.repartition("rel_path").select("rel_path", F.explode(F.flatten(F.array(*placed))).alias("t")).select("rel_path", "t.at", "t.term")
+    each = rows.groupBy("rel_path", "term").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    inside = lambda i: F.transform(F.filter("at", lambda x: F.shiftright(x, _COLUMN) == i), lambda x: (x - (i << _COLUMN)).cast("int"))
+    out = each.select("term", "rel_path", F.array(*(inside(i) for i in range(len(WEIGHTS)))).alias("places"))
+    return out.select("term", "rel_path", F.transform("places", lambda x: F.size(x)).alias("tf"), "places")
 
 
-def postings(notes: DataFrame) -> DataFrame:
-    """(term, rel_path, tf): how often the term stands in each searched column; counted before it is shuffled."""
-    placed = [F.arrays_zip(F.array_repeat(F.lit(i), F.size(tokens(c))).alias("c"), tokens(c).alias("term")) for i, c in enumerate(WEIGHTS)]
-    rows = notes.select("rel_path", F.explode(F.flatten(F.array(*placed))).alias("t")).select("rel_path", "t.c", "t.term")
-    return rows.groupBy("term", "rel_path").agg(F.array(*(F.count_if(F.col("c") == i).cast("int") for i in range(len(WEIGHTS)))).alias("tf"))
+#: Bits of a token's number within a column.
+_COLUMN = 40
 
 
-def by_term(rows: DataFrame) -> DataFrame:
-    """Postings in the order in which they are written."""
-    return rows.repartitionByRange("term").sortWithinPartitions("term", "rel_path")
+def lengths(notes: DataFrame, placed: DataFrame) -> DataFrame:
+    """(rel_path, domain, n_tokens): the number of all tokens of a note, from its postings."""
+    sums = placed.groupBy("rel_path").agg(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_tokens"))
+    return notes.select("rel_path", "domain").join(sums, "rel_path", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long")))
 
 
-def occurrences(joined: Column, phrase: Phrase) -> Column:
-    """Places where the phrase begins; overlapping ones count. Tokens are letters and digits, safe in a pattern."""
-    return F.regexp_count(joined, F.lit(f"(?<= )(?={' '.join(phrase.tokens)}{'' if phrase.prefix else ' '})"))
+def by_term(rows: DataFrame) -> DataFrame:
+    """Postings in the order in which they are written; a common term spreads over several files."""
+    return rows.repartitionByRange("term", "rel_path").sortWithinPartitions("term", "rel_path")
 
 
 def _is(token: str, prefix: bool) -> Column:
     return F.col("term").startswith(token) if prefix else F.col("term") == token
 
 
-def _found(index: dict[str, DataFrame], phrases: list[Phrase]) -> DataFrame:
-    """(rel_path, p, tf): the notes that hold phrase number p, with its places in each column."""
-    single = [(i, _is(p.tokens[0], p.prefix)) for i, p in enumerate(phrases) if len(p.tokens) == 1]
-    parts = []
-    if single:
-        meant = F.filter(F.array(*(F.when(met, F.lit(i)) for i, met in single)), lambda x: x.isNotNull())
-        own = index["postings"].where(reduce(or_, (met for _, met in single)))
-        parts.append(own.select("rel_path", F.explode(meant).alias("p"), "tf"))
-    for i, p in enumerate(phrases):
-        if len(p.tokens) > 1:
-            each = [_is(t, p.prefix and n == len(p.tokens) - 1) for n, t in enumerate(p.tokens)]
-            whole = index["postings"].where(reduce(or_, each)).groupBy("rel_path").agg(*(F.bool_or(met).alias(f"m{n}") for n, met in enumerate(each)))
-            held = index["token_texts"].join(whole.where(" AND ".join(f"m{n}" for n in range(len(each)))).select("rel_path"), "rel_path", "left_semi")
-            places = F.array(*(occurrences(F.col(f"tok_{c}"), p).cast("int") for c in WEIGHTS))
-            parts.append(held.select("rel_path", F.lit(i).alias("p"), places.alias("tf")).where(F.exists("tf", lambda x: x > 0)))
-    return reduce(DataFrame.unionByName, parts)
+def occurrences(index: dict[str, DataFrame], phrases: list[Phrase], places: bool = False) -> DataFrame:
+    """(rel_path, o0, o1, ..) of the notes that hold any of the tokens: for each phrase how often it stands in each column, or, where
+    places are asked for or the phrase needs them, the places where it begins in each."""
+    slots = list(dict.fromkeys((t, p.prefix and n == len(p.tokens) - 1) for p in phrases for n, t in enumerate(p.tokens)))
+    number = {s: i for i, s in enumerate(slots)}
+    of = [[number[t, p.prefix and n == len(p.tokens) - 1] for n, t in enumerate(p.tokens)] for p in phrases]
+    by_place = [places or p.by_place for p in phrases]
+    meant = F.filter(F.array(*(F.when(_is(*s), F.lit(i)) for i, s in enumerate(slots))), lambda x: x.isNotNull())
+    rows = index["postings"].where(reduce(or_, (_is(*s) for s in slots))).select("rel_path", F.explode(meant).alias("slot"), "tf", *(["places"] if any(by_place) else []))
+    own = lambda k, c: F.when(F.col("slot") == k, c)
+    counted = sorted({of[i][0] for i, by in enumerate(by_place) if not by})
+    placed = sorted({k for i, by in enumerate(by_place) if by for k in of[i]})
+    found = rows.groupBy("rel_path").agg(
+        *(F.array(*(F.coalesce(F.sum(own(k, F.col("tf")[c])), F.lit(0)).cast("int") for c in range(len(WEIGHTS)))).alias(f"n{k}") for k in counted),
+        *(F.collect_list(own(k, F.col("places"))).alias(f"l{k}") for k in placed),
+    )
+    joined = lambda k, c: F.array_sort(F.flatten(F.transform(f"l{k}", lambda x: x[c])))
+    found = found.select("rel_path", *(f"n{k}" for k in counted), *(F.array(*(joined(k, c) for c in range(len(WEIGHTS)))).alias(f"p{k}") for k in placed))
+    return found.select("rel_path", *(_of_phrase(p, of[i], by_place[i]).alias(f"o{i}") for i, p in enumerate(phrases)))
+
+
+def _of_phrase(p: Phrase, slots: list[int], by_place: bool) -> Column:
+    """A phrase's counts or places by column, nothing in columns where it doesn't count."""
+    out = []
+    for c, name in enumerate(WEIGHTS):
+        if not by_place:
+            out.append(F.col(f"n{slots[0]}")[c] if p.columns is None or name in p.columns else F.lit(0))
+            continue
+        if p.columns is not None and name not in p.columns:
+            out.append(F.array().cast("array<int>"))
+            continue
+        starts = [_earlier(F.col(f"p{k}")[c], n) for n, k in enumerate(slots)]
+        here = reduce(F.array_intersect, starts)
+        out.append(F.filter(here, lambda x: x == 0) if p.first else here)
+    return F.array(*out)
+
+
+def _earlier(places: Column, n: int) -> Column:
+    return F.transform(places, lambda x: x - n)
+
+
+def _marks(begins: Column, group: int, size: int) -> Column:
+    return F.transform(begins, lambda s: F.struct(F.lit(group).alias("p"), s.alias("s"), (s + size).alias("e")))
+
+
+def how_often(phrase: Phrase, i: int, places: bool = False) -> Column:
+    """Weighted number of occurrences of phrase number i."""
+    count = lambda j: F.size(F.col(f"o{i}")[j]) if places or phrase.by_place else F.col(f"o{i}")[j]
+    return sum((count(j).cast("double") * w for j, w in enumerate(WEIGHTS.values())), F.lit(0.0))
+
+
+def stands(phrase: Phrase, i: int, places: bool = False) -> Column:
+    return F.exists(f"o{i}", lambda x: F.size(x) > 0) if places or phrase.by_place else F.exists(f"o{i}", lambda x: x > 0)
+
+
+def bm25_score(stats: dict, i: int) -> Column:
+    """The part of phrase number i (columns f{i}, n_tokens), by the corpus's figures n, avg and df{i}."""
+    df = stats[f"df{i}"]
+    idf = math.log((stats["n"] - df + 0.5) / (df + 0.5)) if stats["n"] else 0.0
+    idf, own = idf if idf > 0 else LEAST_IDF, F.col(f"f{i}")
+    return F.lit(idf) * own * (K1 + 1) / (own + K1 * (1 - B + B * F.col("n_tokens") / F.lit(stats["avg"] or 1.0)))
+
+
+def thousandths(score: Column) -> Column:
+    return F.round(F.abs(score) * 1000) / 1000
+
+
+def corpus(index: dict[str, DataFrame]) -> DataFrame:
+    return index["lengths"].agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
 
 
 def bm25(index: dict[str, DataFrame], query: str, domain: str | None = None) -> DataFrame:
     """All hits of a query (rel_path, domain, score), unordered: notes that match each group, or any group if none matches all."""
     groups = parse(query)
-    texts = index["token_texts"].select("rel_path", "domain", "n_tokens")
     if not groups:
-        return texts.where(F.lit(False)).select("rel_path", "domain", F.lit(0.0).alias("score"))
+        return index["lengths"].where(F.lit(False)).select("rel_path", "domain", F.lit(0.0).alias("score"))
     phrases = list(dict.fromkeys(p for g in groups for p in g))
-    f = sum((F.get("tf", j) * w for j, w in enumerate(WEIGHTS.values())), F.lit(0.0))
-    found = _found(index, phrases).select("rel_path", "p", f.alias("f"))
-    one = lambda i: [F.count_if(F.col("p") == i).alias(f"n{i}"), F.coalesce(F.sum(F.when(F.col("p") == i, F.col("f"))), F.lit(0.0)).alias(f"f{i}")]
-    hits = found.groupBy("rel_path").agg(*(c for i in range(len(phrases)) for c in one(i))).join(texts, "rel_path")
+    found = occurrences(index, phrases)
+    marked = found.select("rel_path", *(c for i, p in enumerate(phrases) for c in (how_often(p, i).alias(f"f{i}"), stands(p, i).alias(f"m{i}"))))
+    hits = marked.join(index["lengths"], "rel_path")
     at = {p: i for i, p in enumerate(phrases)}
-    met = sum((F.when(reduce(or_, (F.col(f"n{at[p]}") > 0 for p in g)), 1).otherwise(0) for g in groups), F.lit(0))
+    met = sum((F.when(reduce(or_, (F.col(f"m{at[p]}") for p in g)), 1).otherwise(0) for g in groups), F.lit(0))
     inside = domain_is(domain)
-    corpus = texts.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
-    figures = hits.agg(F.max(F.when(inside, met)).alias("met"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(phrases))))
-    stats = corpus.join(F.broadcast(figures)).first()  # one row each
+    figures = hits.agg(F.max(F.when(inside, met)).alias("met"), *(F.count_if(f"m{i}").alias(f"df{i}") for i in range(len(phrases))))
+    stats = corpus(index).join(F.broadcast(figures)).first().asDict()  # one row each
     need = len(groups) if stats["met"] == len(groups) else 1
-    score = F.lit(0.0)
-    for i in (at[p] for g in groups for p in g):
-        df = stats[f"df{i}"]
-        idf = math.log((stats["n"] - df + 0.5) / (df + 0.5)) if stats["n"] else 0.0
-        idf, own = idf if idf > 0 else LEAST_IDF, F.col(f"f{i}")
-        score = score + F.lit(idf) * own * (K1 + 1) / (own + K1 * (1 - B + B * F.col("n_tokens") / F.lit(stats["avg"] or 1.0)))
-    return hits.where(inside & (met >= need)).select("rel_path", "domain", (F.round(F.abs(score) * 1000) / 1000).alias("score"))
+    score = sum((bm25_score(stats, at[p]) for g in groups for p in g), F.lit(0.0))
+    return hits.where(inside & (met >= need)).select("rel_path", "domain", thousandths(score).alias("score"))
 
 
 def top(hits: DataFrame, limit: int = 10) -> DataFrame:
@@ -148,54 +202,47 @@ def search(index: dict[str, DataFrame], query: str, domain: str | None = None, l
     return top(bm25(index, query, domain), limit)
 
 
-_MATCH = re.compile(r"""'(?:[^']|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/|\bnote_match\s*\(\s*'((?:[^']|'')*)'\s*(?:,\s*'((?:[^']|'')*)'\s*)?\)""", re.S | re.I)
-
-
-def match_views(tables: dict[str, DataFrame], sql: str) -> tuple[dict[str, DataFrame], str]:
-    """(views, statement): each note_match('words'[, 'domain']) of the statement as a view (rel_path, score, snippet) of its hits."""
-    views: dict[str, DataFrame] = {}
-
-    def named(m: re.Match) -> str:
-        if m[1] is None:
-            return m[0]
-        words, name = m[1].replace("''", "'"), f"_note_match_{len(views)}"
-
-        @F.pandas_udf("string")
-        def shown(bodies: pd.Series) -> pd.Series:
-            return bodies.map(lambda b: snippet(b, words))
-
-        hits = bm25(tables, words, (m[2] or "").replace("''", "'") or None)
-        views[name] = hits.join(tables["notes"].select("rel_path", "body"), "rel_path").select("rel_path", "score", shown("body").alias("snippet"))
-        return name
-
-    return views, _MATCH.sub(named, sql)
-
-
-def snippet(body: str, query: str, words: int = 12) -> str:
-    """The stretch of so many words with the most different matches, these between ** marks."""
-    phrases = [p for g in parse(query) for p in g]
-    found = [(m.start(), m.end(), plain_tokens(m[0])) for m in re.finditer(r"[^\W_]+", body or "")]
-    flat = [(a, b, t[0] if t else "") for a, b, t in found]
-    hits: dict[int, tuple[int, Phrase]] = {}
-    for i in range(len(flat)):
-        for p in phrases:
-            k = len(p.tokens)
-            now = [t for _, _, t in flat[i : i + k]]
-            if len(now) == k and tuple(now[:-1]) == p.tokens[:-1] and (now[-1].startswith(p.tokens[-1]) if p.prefix else now[-1] == p.tokens[-1]) and k > hits.get(i, (0, p))[0]:
-                hits[i] = (k, p)
-    if not flat:
-        return ""
-    starts = [0, *(max(0, i - 1) for i in hits)]
-    best = max(starts, key=lambda s: (len({hits[i][1] for i in range(s, min(s + words, len(flat))) if i in hits}), -s))
-    end = min(best + words, len(flat))
-    out, at = [], flat[best][0]
-    i = best
-    while i < end:
-        if i in hits:
-            j = min(i + hits[i][0], end) - 1
-            out += [body[at : flat[i][0]], "**", body[flat[i][0] : flat[j][1]], "**"]
-            at, i = flat[j][1], j + 1
-        else:
-            i += 1
-    text = "".join(out) + body[at : flat[end - 1][1]]
-    return ("..." if best else "") + text + ("..." if end < len(flat) else "")
+# --- snippets
+
+SHOWN_WORDS = 12
+_WORD = r"[\p{L}\p{N}]+"
+_BREAK = r"[^\p{L}\p{N}]*"
+
+
+def with_snippets(index: dict[str, DataFrame], notes: DataFrame, hits: DataFrame, groups: list[list[Phrase]], words: int = SHOWN_WORDS) -> DataFrame:
+    """The hits with a snippet of each body, in which the phrases of each group count as one."""
+    numbered = [(g, p) for g, ps in enumerate(groups) for p in ps]
+    bodies = hits.join(notes.select("rel_path", F.coalesce("body", F.lit("")).alias("_body")), "rel_path")
+    none = F.array().cast("array<struct<p:int,s:int,e:int>>")
+    if not numbered:
+        return bodies.withColumn("snippet", snippet(F.col("_body"), none, words)).drop("_body")
+    body = list(WEIGHTS).index("body")
+    found = occurrences({"postings": index["postings"].join(hits.select("rel_path"), "rel_path", "left_semi")}, [p for _, p in numbered], places=True)
+    marks = [_marks(F.col(f"o{i}")[body], g, len(p.tokens)) for i, (g, p) in enumerate(numbered)]
+    marked = found.select("rel_path", F.array_distinct(F.concat(*marks)).alias("_marks"))
+    shown = bodies.join(marked, "rel_path", "left").withColumn("snippet", snippet(F.col("_body"), F.coalesce("_marks", none), words))
+    return shown.drop("_body", "_marks")
+
+
+def snippet(body: Column, marks: Column, words: int = SHOWN_WORDS) -> Column:
+    """The stretch of so many words in which the most different p begin, the first of equals, with what is found between ** marks.
+
+    marks are (p, s, e): tokens s to e - 1 of the body. A stretch may begin at the first word or at the word before one found; what overlaps is
+    marked as one, and what reaches over the stretch's ends is marked as far as these."""
+    pieces = F.regexp_extract_all(body, F.lit(_BREAK + _WORD), 0)  # each word with what stands before it
+    starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(marks, lambda m: F.greatest(F.lit(0), m["s"] - 1))))
+    kinds = lambda s: F.size(F.array_distinct(F.transform(F.filter(marks, lambda m: (m["s"] >= s) & (m["s"] < s + words)), lambda m: m["p"])))
+    best = -F.array_max(F.transform(starts, lambda s: F.struct(kinds(s).alias("n"), (-s).alias("s"))))["s"]
+    end = F.least(best + words, F.size(pieces))
+    covered = lambda i: F.exists(marks, lambda m: (m["s"] <= i) & (i < m["e"]))
+    goes_on = lambda i: F.exists(marks, lambda m: (m["s"] <= i) & (i + 1 < m["e"]))
+
+    def shown(i: Column) -> Column:
+        piece = F.get(pieces, i)
+        opens, closes = covered(i) & ((i == best) | ~goes_on(i - 1)), covered(i) & ((i == end - 1) | ~goes_on(i))
+        before = F.when(i == best, F.lit("")).otherwise(F.regexp_extract(piece, "^" + _BREAK, 0))
+        return F.concat(before, F.when(opens, F.lit("**")).otherwise(F.lit("")), F.regexp_extract(piece, _WORD + "$", 0), F.when(closes, F.lit("**")).otherwise(F.lit("")))
+
+    text = F.array_join(F.transform(F.sequence(best, end - 1), shown), "")
+    dots = lambda c: F.when(c, F.lit("...")).otherwise(F.lit(""))
+    return F.when(F.size(pieces) == 0, F.lit("")).otherwise(F.concat(dots(best > 0), text, dots(end < F.size(pieces))))

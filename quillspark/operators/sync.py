@@ -24,13 +24,13 @@ from quillspark.sources import vault
 from quillspark.sources.store import locked, write_whole
 
 #: Part of a version's name: a projection of another layout is built anew, never migrated.
-LAYOUT = "3"
+LAYOUT = "4"
 #: Layers, and gone paths in all of them (each reader broadcasts these), up to which a run adds a layer.
 MOST_LAYERS, MOST_GONE = 8, 100_000
 #: Key by which each table's rows belong to a note.
-KEYS = {"file_meta": "rel_path", "notes": "rel_path", "entities": "rel_path", "services": "rel_path", "relations": "source_rel", "invariants": "source_rel", "verifications": "source_rel", "chunks": "rel_path", "parse_errors": "rel_path", "postings": "rel_path", "token_texts": "rel_path"}
+KEYS = {"file_meta": "rel_path", "notes": "rel_path", "entities": "rel_path", "services": "rel_path", "relations": "source_rel", "invariants": "source_rel", "verifications": "source_rel", "chunks": "rel_path", "parse_errors": "rel_path", "postings": "rel_path", "lengths": "rel_path"}
 #: Tables that SQL sees.
-SHOWN = [t for t in KEYS if t not in ("postings", "token_texts")]
+SHOWN = [t for t in KEYS if t not in ("postings", "lengths")]
 
 
 @dataclass
@@ -85,7 +85,8 @@ def current(spark: SparkSession, root: Path) -> dict[str, DataFrame] | None:
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     out = views(parsed)
-    index = {"postings": rank.postings(out["notes"]), "token_texts": rank.token_texts(out["notes"])}
+    placed = rank.postings(out["notes"])
+    index = {"postings": placed, "lengths": rank.lengths(out["notes"], placed)}
     return out | index | {"parse_errors": parsed.where("parse_error is not null").select("rel_path", "parse_error")}
 
 

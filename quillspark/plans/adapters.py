@@ -30,17 +30,21 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_INDEXES: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_INDEXES: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The text index of the documents, built once a session as `sync` builds a vault's, in the folder that executors share."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The text index of the documents, built once a session as `sync` builds a vault's, in the folder that executors share. Files that
+    have changed get a new one."""
+    files = table(spark, sf_dir, "documents").agg(F.max("_metadata.file_modification_time"), F.count(F.lit(1)), F.max("_metadata.file_size")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *files)
     if key not in _INDEXES:
         folder, source = f"{scratch(spark)}/text-index-{uuid.uuid4().hex}", notes(spark, sf_dir)
-        rank.by_term(rank.postings(source)).write.parquet(f"{folder}/postings")
-        rank.token_texts(source).write.parquet(f"{folder}/token_texts")
-        _INDEXES[key] = {t: spark.read.parquet(f"{folder}/{t}") for t in ("postings", "token_texts")}
+        rank.postings(source).write.parquet(f"{folder}/counted")  # tokens are counted once: ordering by term samples its input first
+        counted = spark.read.parquet(f"{folder}/counted")
+        rank.by_term(counted).write.parquet(f"{folder}/postings")
+        rank.lengths(source, counted).write.parquet(f"{folder}/lengths")
+        _INDEXES[key] = {t: spark.read.parquet(f"{folder}/{t}") for t in ("postings", "lengths")}
     return _INDEXES[key]
 
 

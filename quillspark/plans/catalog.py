@@ -8,30 +8,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.latin import domain_is
-from quillspark.operators import audit, diff, fuse, graph, lists, rank, sqlgate, vector
+from quillspark.operators import audit, diff, fulltext, fuse, graph, lists, rank, sqlgate, vector
 from quillspark.plans import adapters as A
 from quillspark.plans import note_queries  # noqa: F401  (registers its queries)
-from quillspark.plans.bm25_sql import bm25_sql
+from quillspark.plans.bm25_sql import bm25_sql, match_sql, snippet_sql
 from quillspark.plans.registry import oracle_sql, queries, query  # noqa: F401
 
 # --- ranked search
 
+#: A query, its domain, and how it is to be read: a group of alternatives a word.
+_WORTHLESS = [["worthless", "worthless*", "worthles*", "worthles"]]
 _SEARCHES = {
-    "bm25_single": ("worthless", None),
-    "bm25_and": ("the thing", None),
-    "bm25_or_fallback": ("idiot zzzunknown moron", None),
-    "bm25_prefix": ("worth", None),
-    "bm25_phrase": ('"of the"', None),
-    "bm25_stemming": ("working", None),
-    "bm25_accent": ("école für", None),
-    "bm25_domain": ("scum loser", "src3"),
+    "bm25_single": ("worthless", None, _WORTHLESS),
+    "bm25_and": ("the thing", None, [["the"], ["thing", "thing*"]]),
+    "bm25_or_fallback": ("idiot zzzunknown moron", None, [["idiot", "idiot*"], ["zzzunknown", "zzzunknown*"], ["moron", "moron*"]]),
+    "bm25_prefix": ("worth", None, [["worth", "worth*"]]),
+    "bm25_phrase": ('"of the"', None, [["of the"]]),
+    "bm25_stemming": ("working", None, [["working", "working*", "work*", "work"]]),
+    "bm25_accent": ("école für", None, [["ecole", "ecole*"], ["fur"]]),
+    "bm25_domain": ("scum loser", "src3", [["scum"], ["loser", "loser*", "los*", "los"]]),
 }
-for _name, (_text, _domain) in _SEARCHES.items():
+for _name, (_text, _domain, _groups) in _SEARCHES.items():
 
     def _search(spark: SparkSession, sf_dir: str, text=_text, domain=_domain) -> DataFrame:
         return rank.search(A.text_index(spark, sf_dir), text, domain).select("rel_path", "score")
 
-    query(_name, bm25_sql(_text, _domain))(_search)
+    query(_name, bm25_sql(_groups, _domain))(_search)
+
+#: An expression, its phrases (text, columns, first), the condition, the phrases that count, and those of a NEAR with its distance.
+_MATCHES = {
+    "match_phrase": ('"of the" "in the"', [("of the", None, False), ("in the", None, False)], "h0 AND h1", [0, 1], (), 0),
+    "match_prefix_phrase": ("of + th*", [("of th*", None, False)], "h0", [0], (), 0),
+    "match_columns": ("title : worth* OR {title tags} : the OR - body : of", [("worth*", ["title"], False), ("the", ["title", "tags"], False), ("of", ["domain", "title", "tags", "summary"], False)], "h0 OR h1 OR h2", [0, 1, 2], (), 0),
+    "match_boolean": ("(worthless OR idiot moron) AND the NOT (scum OR src3)", [("worthless", None, False), ("idiot", None, False), ("moron", None, False), ("the", None, False), ("scum", None, False), ("src3", None, False)], "(h0 OR h1 AND h2) AND h3 AND NOT (h4 OR h5)", [0, 1, 2, 3], (), 0),
+    "match_near": ('NEAR(the "of the" wor*, 4)', [("the", None, False), ("of the", None, False), ("wor*", None, False)], "h0", [0, 1, 2], (0, 1, 2), 4),
+    "match_first": ("^the OR title : ^a*", [("the", None, True), ("a*", ["title"], True)], "h0 OR h1", [0, 1], (), 0),
+}
+for _name, (_text, *_twin) in _MATCHES.items():
+
+    def _match(spark: SparkSession, sf_dir: str, text=_text) -> DataFrame:
+        return fulltext.match(A.text_index(spark, sf_dir), text).select("rel_path", "score")
+
+    query(_name, match_sql(*_twin))(_match)
+
+
+@query("match_snippet", snippet_sql(match_sql([("of the", None, False), ("wor*", None, False)], "h0 AND h1", [0, 1]), [["of the"], ["wor*"]]))
+def match_snippet(spark, sf_dir):
+    index, notes, text = A.text_index(spark, sf_dir), A.notes(spark, sf_dir), '"of the" AND wor*'
+    return fulltext.with_snippets(index, notes, fulltext.match(index, text), text).select("rel_path", "score", "snippet")
+
+
+@query("bm25_snippet", snippet_sql(bm25_sql(_WORTHLESS), _WORTHLESS))
+def bm25_snippet(spark, sf_dir):
+    index, text = A.text_index(spark, sf_dir), "worthless"
+    return rank.with_snippets(index, A.notes(spark, sf_dir), rank.search(index, text), rank.parse(text)).select("rel_path", "score", "snippet")
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -106,7 +136,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("rrf_hybrid", f"""
-WITH kw AS ({bm25_sql("idiot moron", None, 20)}),
+WITH kw AS ({bm25_sql([["idiot", "idiot*"], ["moron", "moron*"]], None, 20)}),
 ve AS (SELECT vec_id, {_DOT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20),
 vp AS (SELECT source || '/' || doc_id || '.md' AS rel_path, score FROM ve JOIN documents ON doc_id = vec_id),
 a AS (SELECT rel_path, 1 / (60.0 + row_number() OVER (ORDER BY score DESC, rel_path)) AS s FROM kw
@@ -392,10 +422,17 @@ def sql_dates(spark, sf_dir):
     return sqlgate.frame(spark, {"orders": A.table(spark, sf_dir, "orders")}, text)
 
 
-@query("sql_note_match", bm25_sql("worthless", None, 100000))
+@query("sql_note_match", f"SELECT count(*) AS hits, sum(score) AS score, count(*) FILTER (WHERE snippet LIKE '%**%') AS marked FROM ({snippet_sql(bm25_sql(_WORTHLESS, None, 100000), _WORTHLESS)})")
 def sql_note_match(spark, sf_dir):
     tables = A.text_index(spark, sf_dir) | {"notes": A.notes(spark, sf_dir)}
-    views, text = rank.match_views(tables, "SELECT rel_path, score FROM note_match('worthless') WHERE snippet LIKE '%**%' OR rel_path IS NOT NULL")
+    views, text = fulltext.match_views(tables, "SELECT count(*) AS hits, sum(score) AS score, count(*) FILTER (WHERE snippet LIKE '%**%') AS marked FROM note_match('worthless')")
+    return sqlgate.frame(spark, views, text)
+
+
+@query("sql_text_match", f"SELECT rel_path, score, snippet FROM ({snippet_sql(match_sql([('of the', ['body'], False), ('src3', ['domain'], False)], 'h0 AND NOT h1', [0]), [['of the']])})")
+def sql_text_match(spark, sf_dir):
+    tables = A.text_index(spark, sf_dir) | {"notes": A.notes(spark, sf_dir)}
+    views, text = fulltext.match_views(tables, "SELECT rel_path, score, snippet FROM text_match('body : \"of the\" NOT domain : src3')")
     return sqlgate.frame(spark, views, text)
 
 
