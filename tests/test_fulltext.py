@@ -54,7 +54,7 @@ def test_scores_follow_columns_and_nears_count_their_clumps(index):
     score = lambda text: {r.rel_path[0]: r.score for r in fulltext.match(index, text).collect()}
     assert score("quick")["d"] > score("quick")["a"] and score("domain : d") == {"a": 0.0, "b": 0.0}
     words = {r.rel_path[0]: r.score for r in rank.bm25(index, "lazy").collect()}
-    assert words["a"] == pytest.approx(score("lazy OR lazy* ")["a"], abs=0.002)
+    assert words["a"] == pytest.approx(score("lazy")["a"], abs=0.002)
     assert score("NEAR(the lazy, 0)")["a"] < score("the lazy")["a"]  # the first "the" stands outside
 
 
