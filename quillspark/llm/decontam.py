@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from quillspark.llm.common import Memo, materialize, raw_texts, slices, tidied
 
 WINDOW, SHORTEST, SUBSTITUTED = 13, 5, 0.2
+#: Pairs of a seed in a text and one in an item that are looked at together.
+PIECE_HITS = 1 << 18
 #: Blocks of the benchmark that are searched in one pass over the corpus.
 PASS_BLOCKS = 4
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
@@ -71,11 +73,11 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def seed_hashes(token_hashes: np.ndarray, span: int) -> list[np.ndarray]:
+def seed_hashes(token_hashes: np.ndarray, span: int) -> Iterator[np.ndarray]:
     """For each of the six masks the hash at every position where a seed of that span fits."""
     n = len(token_hashes) - span + 1
     if n <= 0:
-        return []
+        return
     edges = [round(span * i / 4) for i in range(5)]
     blocks = []
     for a, b in zip(edges, edges[1:]):
@@ -84,7 +86,8 @@ def seed_hashes(token_hashes: np.ndarray, span: int) -> list[np.ndarray]:
             total += token_hashes[i : i + n] * _FACTORS[i]
         total ^= total >> np.uint64(29)
         blocks.append(total * _FACTORS[-1])
-    return [blocks[a] * _FACTORS[40 + m] + blocks[b] * _FACTORS[50 + m] + _SALTS[span * 6 + m] for m, (a, b) in enumerate(combinations(range(4), 2))]
+    for m, (a, b) in enumerate(combinations(range(4), 2)):
+        yield blocks[a] * _FACTORS[40 + m] + blocks[b] * _FACTORS[50 + m] + _SALTS[span * 6 + m]
 
 
 class Block:
@@ -111,25 +114,33 @@ class Block:
         at = self.hash >> np.uint64(64 - _BITMAP_BITS)
         np.bitwise_or.at(self.bitmap, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
 
-    def hits(self, token_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place of the item's first token) of every seed that the tokens share with an item; without repeats."""
-        found = []
+    def seeds(self, token_hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each span and mask the positions where the tokens share a seed with items, and the range of these seeds."""
         for span in self.spans:
             for h in seed_hashes(token_hashes, span):
                 at = h >> np.uint64(64 - _BITMAP_BITS)
                 maybe = np.flatnonzero(self.bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-                if not len(maybe):
-                    continue
                 left, right = np.searchsorted(self.hash, h[maybe], "left"), np.searchsorted(self.hash, h[maybe], "right")
-                count = right - left
-                some = count > 0
+                some = right > left
                 if some.any():
-                    left, count, pos = left[some], count[some], maybe[some]
-                    seed = np.repeat(left - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                    found.append((self.item[seed].astype(np.int64) << 40) + np.repeat(pos, count) - self.offset[seed] + (1 << 39))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.concatenate(found))
+                    yield maybe[some], left[some], right[some]
+
+    def unfound(self, found: list[set[int]], text: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of some seeds' positions those in a text that isn't known yet to hold all items of the seed."""
+        open_ = np.ones(len(left), bool)
+        known = np.array([bool(f) for f in found])[text]
+        if known.any():
+            at = np.flatnonzero(known)
+            _, first, inverse = np.unique(text[at] * (len(self.hash) + 1) + left[at], return_index=True, return_inverse=True)
+            left_over = [not found[text[i]].issuperset(self.item[left[i] : right[i]].tolist()) for i in at[first].tolist()]
+            open_[at] = np.array(left_over)[inverse]
+        return open_
+
+    def places(self, position: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place of the item's first token) of seeds that are shared; without repeats."""
+        count = right - left
+        seed = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        pairs = np.unique((self.item[seed].astype(np.int64) << 40) + np.repeat(position, count) - self.offset[seed] + (1 << 39))
         return pairs >> 40, (pairs & ((1 << 40) - 1)) - (1 << 39)
 
     def overlaps(self, item: int, text: np.ndarray, place: int) -> bool:
@@ -145,16 +156,33 @@ class Block:
     def leaks(self, token_hashes: np.ndarray, heads: np.ndarray) -> list[set[int]]:
         """For each text (laid end to end, beginning at heads) the numbers of the items that it holds a window of."""
         found: list[set[int]] = [set() for _ in heads]
-        items, places = self.hits(token_hashes)
         ends = np.append(heads[1:], len(token_hashes))
+        for position, left, right in self.seeds(token_hashes):
+            text = np.searchsorted(heads, position, "right") - 1
+            changed = True
+            while len(position):
+                if changed:
+                    open_ = self.unfound(found, text, left, right)
+                    position, left, right, text = position[open_], left[open_], right[open_], text[open_]
+                    if not len(position):
+                        break
+                n = max(1, int(np.searchsorted(np.cumsum(right - left), PIECE_HITS, "right")))
+                changed = self._walk(*self.places(position[:n], left[:n], right[:n]), token_hashes, heads, ends, found)
+                position, left, right, text = position[n:], left[n:], right[n:], text[n:]
+        return found
+
+    def _walk(self, items: np.ndarray, places: np.ndarray, token_hashes: np.ndarray, heads: np.ndarray, ends: np.ndarray, found: list[set[int]]) -> bool:
+        """Look at the items at these places; whether any was found in a text."""
+        any_ = False
         # a seed may begin in one text and end in the next; the window is looked for in every text that the item would touch
-        for i, place in zip(items.tolist(), places.tolist()):
-            first = max(0, int(np.searchsorted(heads, place, "right")) - 1)
+        at = np.maximum(0, np.searchsorted(heads, places, "right") - 1)
+        for i, place, first in zip(items.tolist(), places.tolist(), at.tolist()):
             while first < len(heads) and heads[first] < place + len(self.words[i]):
                 if i not in found[first] and self.overlaps(i, token_hashes[heads[first] : ends[first]], place - int(heads[first])):
                     found[first].add(i)
+                    any_ = True
                 first += 1
-        return found
+        return any_
 
 
 def blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[Block]:
