@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.latin import domain_is
-from quillspark.operators import audit, diff, fulltext, fuse, graph, lists, rank, sqlgate, vector
+from quillspark.operators import audit, diff, frames, fulltext, fuse, graph, lists, rank, sqlgate, vector
 from quillspark.plans import adapters as A
 from quillspark.plans import note_queries  # noqa: F401  (registers its queries)
 from quillspark.plans.bm25_sql import bm25_sql, match_sql, snippet_sql
@@ -422,6 +423,54 @@ def sql_dates(spark, sf_dir):
     return sqlgate.frame(spark, {"orders": A.table(spark, sf_dir, "orders")}, text)
 
 
+_LINES = "SELECT l_orderkey, l_linenumber, {} FROM lineitem"
+
+
+def _frame_sql(**columns: str) -> str:
+    return _LINES.format(", ".join(f"CAST({c} AS BIGINT) AS {name}" for name, c in columns.items()))
+
+
+_GROUPED = "OVER (PARTITION BY l_suppkey ORDER BY l_quantity GROUPS BETWEEN {} {})"
+_NEIGHBOURS = "1 PRECEDING AND 2 FOLLOWING"
+
+
+@query("frame_groups", _frame_sql(
+    total=f"sum(l_linenumber) {_GROUPED.format(_NEIGHBOURS, '')}", least=f"min(l_orderkey) {_GROUPED.format(_NEIGHBOURS, '')}",
+    returned=f"count(*) FILTER (WHERE l_returnflag = 'R') {_GROUPED.format(_NEIGHBOURS, '')}", before=f"sum(l_linenumber) {_GROUPED.format('UNBOUNDED PRECEDING AND 1 PRECEDING', '')}"))
+def frame_groups(spark, sf_dir):
+    near = frames.Frame(("l_suppkey",), ("l_quantity",), "groups", -1, 2)
+    lines, n = A.table(spark, sf_dir, "lineitem"), F.col("l_linenumber").cast("bigint")
+    out = frames.over(lines, near, total=("sum", n), least=("min", F.col("l_orderkey")), returned=("count", None, F.col("l_returnflag") == "R"))
+    return frames.over(out, replace(near, start=None, end=-1), before=("sum", n)).select("l_orderkey", "l_linenumber", "total", "least", "returned", "before")
+
+
+@query("frame_exclude", _frame_sql(
+    alone=f"sum(l_linenumber) {_GROUPED.format(_NEIGHBOURS, 'EXCLUDE CURRENT ROW')}", most=f"max(l_orderkey) {_GROUPED.format(_NEIGHBOURS, 'EXCLUDE CURRENT ROW')}",
+    others=f"sum(l_linenumber) {_GROUPED.format(_NEIGHBOURS, 'EXCLUDE GROUP')}", least=f"min(l_orderkey) {_GROUPED.format(_NEIGHBOURS, 'EXCLUDE GROUP')}",
+    untied=f"count(*) {_GROUPED.format(_NEIGHBOURS, 'EXCLUDE TIES')}", returned=f"sum(l_linenumber) FILTER (WHERE l_returnflag = 'R') {_GROUPED.format(_NEIGHBOURS, 'EXCLUDE TIES')}"))
+def frame_exclude(spark, sf_dir):
+    near = frames.Frame(("l_suppkey",), ("l_quantity",), "groups", -1, 2)
+    n, key = F.col("l_linenumber").cast("bigint"), F.col("l_orderkey")
+    out = frames.over(A.table(spark, sf_dir, "lineitem"), replace(near, exclude="current row"), alone=("sum", n), most=("max", key))
+    out = frames.over(out, replace(near, exclude="group"), others=("sum", n), least=("min", key))
+    out = frames.over(out, replace(near, exclude="ties"), untied=("count", None), returned=("sum", n, F.col("l_returnflag") == "R"))
+    return out.select("l_orderkey", "l_linenumber", "alone", "most", "others", "least", "untied", "returned")
+
+
+_ROWED = "sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_quantity ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE {})"
+
+
+@query("frame_rows_exclude", "SELECT l_suppkey, CAST(l_quantity AS BIGINT) AS quantity, CAST(sum({}) AS BIGINT) AS alone, CAST(sum({}) AS BIGINT) AS others, CAST(sum({}) AS BIGINT) AS untied, count(*) AS n FROM (SELECT *, {} AS a, {} AS b, {} AS c FROM lineitem) GROUP BY l_suppkey, l_quantity".format(
+    "a", "b", "c", *(_ROWED.format(x) for x in ("CURRENT ROW", "GROUP", "TIES"))))
+def frame_rows_exclude(spark, sf_dir):
+    near = frames.Frame(("l_suppkey",), ("l_quantity",), "rows", -3, 2)
+    out, n = A.table(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("bigint")
+    for name, without in (("alone", "current row"), ("others", "group"), ("untied", "ties")):
+        out = frames.over(out, replace(near, exclude=without), **{name: ("sum", n)})
+    summed = [F.sum(c).alias(c) for c in ("alone", "others", "untied")]
+    return out.groupBy("l_suppkey", n.alias("quantity")).agg(*summed, F.count(F.lit(1)).alias("n"))
+
+
 @query("sql_note_match", f"SELECT count(*) AS hits, sum(score) AS score, count(*) FILTER (WHERE snippet LIKE '%**%') AS marked FROM ({snippet_sql(bm25_sql(_WORTHLESS, None, 100000), _WORTHLESS)})")
 def sql_note_match(spark, sf_dir):
     tables = A.text_index(spark, sf_dir) | {"notes": A.notes(spark, sf_dir)}
