@@ -102,6 +102,25 @@ def traverse(links: DataFrame, start: str, depth: int = 2, direction: str = "dow
         SELECT path, depth, element_at(path, -1) AS stem, relation_type, cycle FROM tree WHERE depth > 0""")
 
 
+def reach(links: DataFrame, start: str, depth: int = 2, direction: str = "down") -> DataFrame:
+    """(stem, depth): what can be reached from a stem in at most so many steps (1 to 5), itself at 0, each at its least depth.
+
+    Each round joins only what the round before found first, and keeps a row a stem: paths are never listed, so dense graphs cost
+    no more than their edges a round. A stem stands as it is written; writings of other case are rows of their own."""
+    if direction not in ("down", "up"):
+        raise ValueError(f"unknown direction {direction!r}")
+    a, b, name = ("from_key", "to_key", "target_stem") if direction == "down" else ("to_key", "from_key", "source_stem")
+    step = links.select(F.col(a).alias("_at"), F.col(b).alias("_to"), F.col(name).alias("_stem")).distinct()
+    root = target_stem(start)
+    found = links.sparkSession.createDataFrame([(keyed(root), root, 0)], "key string, stem string, depth int")
+    for k in range(max(1, min(MOST_DEPTH, depth))):
+        near = found.join(step, (F.col("key") == F.col("_at")) & (F.col("depth") == k), "left")
+        own = F.struct("key", "stem", "depth")
+        new = F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("key"), F.col("_stem").alias("stem"), F.lit(k + 1).alias("depth")))
+        found = near.select(F.explode(F.array_compact(F.array(own, new))).alias("r")).groupBy("r.key", "r.stem").agg(F.min("r.depth").alias("depth"))
+    return found.select("stem", "depth")
+
+
 def contracts(notes: DataFrame, relations: DataFrame, services: DataFrame, invariants: DataFrame, verifications: DataFrame, path: str | None = None) -> DataFrame:
     """One row a note, or only the note of a path: its fields, ports, relations, dependencies, dependents, invariants and
     verifications, arrays in order.

@@ -211,6 +211,40 @@ def _tree(rows: DataFrame) -> DataFrame:
 _NAMED = _EDGES + ", ed AS (SELECT regexp_extract(source_rel, '([^/]*)\\.md$', 1) AS f, target_stem AS t, relation_type FROM edges)"
 
 
+def _reach_sql(edges: str, root: str, depth: int, a: str, b: str) -> str:
+    return f"""
+WITH RECURSIVE {edges}, found(stem, depth) AS (
+  SELECT {root}, 0 UNION SELECT e.{b}, r.depth + 1 FROM found r JOIN ed e ON e.{a} = r.stem WHERE r.depth < {depth})
+SELECT stem, CAST(min(depth) AS INTEGER) AS depth FROM found GROUP BY stem"""
+
+
+@query("reach_up", _reach_sql(_NAMED, "(SELECT min(r_name) FROM region)", 5, "t", "f"))
+def reach_up(spark, sf_dir):
+    start = A.table(spark, sf_dir, "region").agg(F.min("r_name")).first()[0] or ""
+    return graph.reach(graph.edges(A.place_edges(spark, sf_dir), A.place_notes(spark, sf_dir)), start, 5, "up")
+
+
+_FOLLOWING = """f AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events),
+ed AS (SELECT DISTINCT event_type AS f, next AS t FROM f WHERE next IS NOT NULL)"""
+
+
+@query("reach_cycle", _reach_sql(_FOLLOWING, "(SELECT min(event_type) FROM events)", 5, "f", "t"))
+def reach_cycle(spark, sf_dir):
+    start = A.table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0] or ""
+    links = A.transitions(spark, sf_dir)
+    notes = links.select(F.col("source_rel").alias("rel_path"), F.regexp_replace("source_rel", r"\.md$", "").alias("stem")).distinct()
+    return graph.reach(graph.edges(links, notes), start, 5, "down")
+
+
+@query("reach_sinks", f"""
+WITH RECURSIVE {_NAMED}, found(stem, depth) AS (
+  SELECT (SELECT min(r_name) FROM region), 0 UNION SELECT e.f, r.depth + 1 FROM found r JOIN ed e ON e.t = r.stem WHERE r.depth < 5)
+SELECT s_name AS name, CAST(s_suppkey AS VARCHAR) AS ports FROM supplier JOIN nation ON s_nationkey = n_nationkey
+WHERE lower(n_name) IN (SELECT lower(stem) FROM found) OR lower(s_name) IN (SELECT lower(stem) FROM found)""")
+def reach_sinks(spark, sf_dir):
+    return graph.sinks(A.place_services(spark, sf_dir), reach_up(spark, sf_dir)).select("name", "ports")
+
+
 @query("map_down", _tree_sql(_NAMED, "(SELECT min(replace(s_name, '#', '-')) FROM supplier)", 3))
 def map_down(spark, sf_dir):
     start = A.table(spark, sf_dir, "supplier").agg(F.min(F.translate("s_name", "#", "-"))).first()[0] or ""
