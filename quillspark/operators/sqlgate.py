@@ -193,21 +193,3 @@ def run(spark: SparkSession, views: dict[str, DataFrame], sql: str, deadline: fl
 def _moved(df: DataFrame, own: SparkSession):
     """The same plan in another session."""
     return own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().logical())
-
-
-# --- key paths
-
-
-def segments(path: str) -> list[str]:
-    return [p.strip() for p in path.split(".") if p.strip()]
-
-
-def walk(value, tail: list[str], where: str):
-    for p in tail:
-        if isinstance(value, dict) and p in value:
-            value = value[p]
-        elif isinstance(value, list) and p.isdigit() and int(p) < len(value):
-            value = value[int(p)]
-        else:
-            raise KeyError(f"Property '{p}' not found in {where}")
-    return value

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.latin import domain_is
-from quillspark.operators import audit, diff, frames, fulltext, fuse, graph, lists, rank, sqlgate, vector
+from quillspark.operators import audit, diff, frames, fulltext, fuse, graph, keypaths, lists, rank, sqlgate, vector
 from quillspark.plans import adapters as A
 from quillspark.plans import note_queries  # noqa: F401  (registers its queries)
 from quillspark.plans.bm25_sql import bm25_sql, match_sql, snippet_sql
+from quillspark.plans.project import parse_notes, views
 from quillspark.plans.registry import oracle_sql, queries, query  # noqa: F401
 
 # --- ranked search
@@ -323,10 +324,24 @@ def list_services(spark, sf_dir):
     return lists.services(A.place_services(spark, sf_dir)).select("name", "ports", "rel_path")
 
 
-@query("keypath_get", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+#: Paths into the notes of suppliers and nations: fields of services, lists, maps, names in another case, what leads nowhere.
+@query("keypath_get", """
+WITH s AS (SELECT replace(s_name, '#', '-') AS f, * FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+n AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT f || '.ports.0' AS path, 'notes' AS source, 'supplier/' || f || '.md' AS rel_path, '"' || s_suppkey || ':80"' AS value FROM s
+UNION ALL SELECT lower(f) || '.tags.1', 'notes', 'supplier/' || f || '.md', '"' || n_name || '"' FROM s
+UNION ALL SELECT 'supplier/' || f || '.relations.located_in', 'notes', 'supplier/' || f || '.md', '"[[nation/' || n_name || '|home]]"' FROM s
+UNION ALL SELECT 'entities.' || f || '.ports', 'entities', 'supplier/' || f || '.md', '["' || s_suppkey || ':80"]' FROM s
+UNION ALL SELECT 'services.' || f || '.ports', 'services', 'supplier/' || f || '.md', '"' || s_suppkey || ':80"' FROM s
+UNION ALL SELECT f || '.tags.7', 'notes', 'supplier/' || f || '.md', NULL FROM s
+UNION ALL SELECT ' ' || n_name || ' . summary', 'notes', 'nation/' || n_name || '.md', '"in ' || r_name || '"' FROM n""")
 def keypath_get(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events")
-    return e.select("event_id", F.expr("try_variant_get(parse_json(props), '$.k', 'bigint')").alias("k")).where("k is not null")
+    raw = A.markdown_notes(spark, sf_dir)
+    t = views(parse_notes(raw, "local"))
+    name, nation = F.regexp_extract("rel_path", r"([^/]*)\.md$", 1), F.col("rel_path").startswith("nation/")
+    forms = [F.concat(name, F.lit(".ports.0")), F.concat(F.lower(name), F.lit(".tags.1")), F.concat(F.lit("supplier/"), name, F.lit(".relations.located_in")), F.concat(F.lit("entities."), name, F.lit(".ports")), F.concat(F.lit("services."), name, F.lit(".ports")), F.concat(name, F.lit(".tags.7"))]
+    asked = F.when(nation, F.array(F.concat(F.lit(" "), name, F.lit(" . summary")))).otherwise(F.array(*forms))
+    return keypaths.lookup(raw.select(F.explode(asked).alias("path")), t["services"], t["entities"])
 
 
 @query("link_class", """
