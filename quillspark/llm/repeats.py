@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.bwt import repeated
-from quillspark.llm.common import discard, materialize, raw_texts, slices, tidied
+from quillspark.llm.common import discard, free_shuffles, materialize, raw_texts, slices, tidied
 
 WINDOW, ANCHOR = 200, 64
 #: Bytes of text whose windows are worked on at once, and of stretches in one transform.
@@ -193,11 +193,13 @@ def _runs_of(places: DataFrame, owner: list[str], window: int, fetch, most: int)
     keys = materialize(places.groupBy("key").agg(F.count(F.lit(1)).alias("had"), apart.alias("mixed")).where("had > 1").select("key", "mixed"), "keys")
     shared = materialize(places.join(keys, "key"), "places")
     discard(places, keys)
+    free_shuffles(places.sparkSession)
     whole = shared.where("NOT mixed").select(*owner, F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("stop"))
     mixed = shared.where("mixed")
     carried = [c for c in shared.columns if c not in ("key", "c1", "c2", "mixed")]
     one = mixed.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in carried))
     stretches = materialize(fetch(one), "stretches")
+    free_shuffles(places.sparkSession)
     hot = materialize(stretches.groupBy("key").agg(F.count(F.lit(1)).alias("had")).where(F.col("had") > most).select("key"), "hot")
     split = bool(hot.head(1))
     calm = stretches.join(hot, "key", "left_anti") if split else stretches
