@@ -19,6 +19,7 @@ def hrefs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
 
 
 def is_external(target: str) -> Column:
+    # fixed value: a scheme of two letters or more, or a place in the note itself
     return F.col(target).rlike("^#|^[A-Za-z][A-Za-z0-9+.-]+:")
 
 

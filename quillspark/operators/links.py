@@ -81,7 +81,7 @@ def audit(raw: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     reach = inbound.select("rel_path", "source").join(listed, "rel_path")
     reached = reach.where((F.lower("source") == "index.md") | (F.col("source") == F.col("index")) | (path.startswith(RECORDS) & (F.col("source") == RECORDS_INDEX)))
     return {
-        "broken_wikilinks": wiki.where("rel_path is null").select("source", "target").unionByName(raw.where("error is not null").select(F.col("rel_path").alias("source"), F.concat(F.lit("Unreadable file: "), "error").alias("target"))),
+        "broken_wikilinks": wiki.where("rel_path is null").select("source", "target").unionByName(raw.where("error is not null").select(F.col("rel_path").alias("source"), F.concat(F.lit("could not be read: "), "error").alias("target"))),
         "broken_markdown_links": met.where("there is null").select("source", "target").distinct(),
         "orphans": orphans,
         "unindexed": listed.join(reached.select("rel_path").distinct(), "rel_path", "left_anti"),
