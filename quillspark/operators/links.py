@@ -60,13 +60,18 @@ def wikilink_edges(links: DataFrame, paths: DataFrame) -> DataFrame:
     return hit.join(best, ["source", "target"]).where(F.coalesce(F.col("kind") == F.col("best"), F.lit(True))).select("source", "target", "rel_path").distinct()
 
 
+def plain_links(links: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, source, target, there): plain links that don't lead outside, the decoded path that each names, and whether a file is there (else null)."""
+    plain = links.select(F.col("rel_path").alias("source"), F.explode("markdown_links").alias("l")).select("source", "l.target", "l.path").where(~is_external("target"))
+    return plain.join(files.select(F.col("rel_path").alias("path"), F.lit(True).alias("there")), "path", "left")
+
+
 def audit(raw: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """raw: notes as read. files: (rel_path) of every file in the vault, for plain links."""
     paths = raw.select("rel_path")
     links = with_links(raw)
     wiki = wikilink_edges(links, paths)
-    plain = links.select(F.col("rel_path").alias("source"), F.explode("markdown_links").alias("l")).select("source", "l.target", "l.path").where(~is_external("target"))
-    met = plain.join(files.select(F.col("rel_path").alias("path"), F.lit(True).alias("there")), "path", "left")
+    met = plain_links(links, files)
     inbound = wiki.where("rel_path is not null").select("source", "rel_path").unionByName(met.where("there").select("source", F.col("path").alias("rel_path"))).distinct()
     anchor = F.lower("rel_path").isin(*ANCHORS)
     path = F.col("rel_path")

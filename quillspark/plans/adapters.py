@@ -161,6 +161,22 @@ def varied_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rel_path", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size"), "content", F.lit(None).cast("string").alias("error"))
 
 
+def indexed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw notes: nations as projects, those of even number listed by the projects' index, and suppliers as systems that link to
+    their nation, and to a file that isn't there, by percent-encoded paths."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    named = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("nation_file", F.replace("n_name", F.lit(" "), F.lit("%20")))
+    system = named.select(
+        F.concat(F.lit("40-Systems/"), F.col("s_suppkey").cast("string"), F.lit(".md")).alias("rel_path"),
+        _filled("# {s_name}\nIn [its nation](../20-Projects/{nation_file}.md), not in [no file](<gone%20{s_suppkey}.md>).\n").alias("content"),
+    )
+    project = n.select(F.concat(F.lit("20-Projects/"), "n_name", F.lit(".md")).alias("rel_path"), _filled("# {n_name}\nBack to [all](Projects-MOC.md#all).\n").alias("content"))
+    listed = F.array_join(F.array_sort(F.collect_list(_filled("- [[{n_name}]]"))), "\n")
+    index = n.where("n_nationkey % 2 = 0").agg(F.concat(F.lit("# Projects\n\n"), listed).alias("content")).select(F.lit("20-Projects/Projects-MOC.md").alias("rel_path"), "content")
+    out = system.unionByName(project).unionByName(index)
+    return out.select("rel_path", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size"), "content", F.lit(None).cast("string").alias("error"))
+
+
 def _filled(text: str):
     """The text with each {column} replaced by its value."""
     import re

@@ -169,33 +169,53 @@ def varied_chunks(spark, sf_dir):
     return sqlgate.frame(spark, {"notes": notes}, "SELECT rel_path, chunk_index, breadcrumb FROM notes, LATERAL chunks(stem, content)")
 
 
-# --- pure rules, case by case
+# --- links between notes of a vault with an index
 
 
-def _cases(name: str, rule, cases: dict):
-    # a query that applies a rule of text to each case, and what it must give
-    q = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+@query("note_percent_links", """
+SELECT '40-Systems/' || s_suppkey || '.md' AS source, '../20-Projects/' || replace(n_name, ' ', '%20') || '.md' AS target, '20-Projects/' || n_name || '.md' AS path, true AS there FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT '40-Systems/' || s_suppkey || '.md', 'gone%20' || s_suppkey || '.md', '40-Systems/gone ' || s_suppkey || '.md', false FROM supplier
+UNION ALL SELECT '20-Projects/' || n_name || '.md', 'Projects-MOC.md#all', '20-Projects/Projects-MOC.md', true FROM nation""")
+def note_percent_links(spark, sf_dir):
+    raw = A.indexed_notes(spark, sf_dir)
+    return links.plain_links(links.with_links(raw), raw.select("rel_path")).select("source", "target", "path", F.coalesce("there", F.lit(False)).alias("there"))
 
-    @query(name, "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in cases.items()) + ") AS t(input, output)")
-    def run(spark, sf_dir):
-        @F.udf("string")
-        def applied(text):
-            return rule(text)
 
-        return spark.createDataFrame([(c,) for c in cases], "input string").select("input", applied("input").alias("output"))
+@query("note_unindexed", """
+SELECT '20-Projects/' || n_name || '.md' AS rel_path, '20-Projects/Projects-MOC.md' AS "index" FROM nation WHERE n_nationkey % 2 = 1
+UNION ALL SELECT '40-Systems/' || s_suppkey || '.md', '40-Systems/Systems-MOC.md' FROM supplier""")
+def note_unindexed(spark, sf_dir):
+    raw = A.indexed_notes(spark, sf_dir)
+    return links.audit(raw, raw.select("rel_path"))["unindexed"].select("rel_path", "index")
+
+
+# --- rules of text, applied to what each row of a table makes of every case
+
+
+def _cases(name: str, rule, cases: dict, source: str = "part", key: str = "p_partkey"):
+    # in a case and in what the rule must give, @ stands for the row's key
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({q(a)}, {q(b)})" for a, b in cases.items())
+
+    @query(name, f"SELECT replace(a, '@', CAST({key} AS VARCHAR)) AS input, replace(b, '@', CAST({key} AS VARCHAR)) AS output FROM {source}, (VALUES {values}) AS t(a, b)")
+    def run(spark, sf_dir):
+        applied = F.udf(rule, "string", useArrow=True)
+        case = F.explode(F.array(*map(F.lit, cases)))
+        rows = A.table(spark, sf_dir, source).select(F.col(key).cast("string").alias("k"), case.alias("c"))
+        return rows.select(F.replace("c", F.lit("@"), "k").alias("input")).select("input", applied("input").alias("output"))
 
 
 _cases("rule_literals", lambda t: json.dumps(M.typed(t)), {
-    '"123"': '"123"', "'a b'": '"a b"', "007": '"007"', "1.10": '"1.10"', "1.5": "1.5", "1.0": "1.0", "+5": '"+5"', "-5": "-5", "0": "0", "-0": '"-0"', "true": "true", "True": '"True"', "null": "null",
-    "[a, b]": '["a", "b"]', '[1, "x"]': '[1, "x"]', "{a: 1}": '{"a": 1}', "[a": '"[a"', "12345678901234567890": '"12345678901234567890"', "1e5": '"1e5"', " 5": '" 5"', "plain text": '"plain text"',
+    '"@"': '"@"', "'a @'": '"a @"', "00@": '"00@"', "@.10": '"@.10"', "@.5": "@.5", "@.0": "@.0", "+@": '"+@"', "-1@": "-1@", "@": "@", "true@": '"true@"',
+    "[a, b@]": '["a", "b@"]', '[@, "x"]': '[@, "x"]', "{a: @}": '{"a": @}', "[a@": '"[a@"', "12345678901234567890@": '"12345678901234567890@"', "@e5": '"@e5"', " @": '" @"', "plain text @": '"plain text @"',
 })
 _cases("rule_healing", M.colons_quoted, {
-    "title: Bad: Note # why\r": 'title: "Bad: Note" # why\r', 'my key: a: b "q"': 'my key: "a: b \\"q\\""', 'ok: "x: y"': 'ok: "x: y"', "flow: {a: 1}": "flow: {a: 1}", "list: [a: b, c]": "list: [a: b, c]",
-    "- item: x: y": "- item: x: y", "# c: d: e": "# c: d: e", "block: |\n  in: side: it\nend: a: b": 'block: |\n  in: side: it\nend: "a: b"', "sub:\n  k: v: w": 'sub:\n  k: "v: w"', "url: http://x": "url: http://x",
+    "title: Bad: Note @ # why\r": 'title: "Bad: Note @" # why\r', 'my key: a: b@ "q"': 'my key: "a: b@ \\"q\\""', 'ok: "x: @"': 'ok: "x: @"', "flow: {a: @}": "flow: {a: @}", "list: [a: b, @]": "list: [a: b, @]",
+    "- item: x: @": "- item: x: @", "# c: d: @": "# c: d: @", "block: |\n  in: side: @\nend: a: @": 'block: |\n  in: side: @\nend: "a: @"', "sub:\n  k: v: @": 'sub:\n  k: "v: @"', "url: http://x/@": "url: http://x/@",
 })
-_cases("rule_percent", M.percent_decoded, {"a%20b+c": "a b+c", "%C3%A9": "é", "%zz%4": "%zz%4", "100%": "100%"})
-_cases("rule_headings", M.heading_key, {"🚪 Gate  Keeper!": "gate keeper", "Non-Negotiable_X: é": "non-negotiable_x é", "## A.B": "a b"})
-_cases("rule_types", M.inferred_type, {"20-Projects/a.md": "project", "40-Systems/x/b.md": "system", "01-Daily/2024-01-01.md": "daily", "other/a.md": "note", "INDEX.md": "note"})
-_cases("rule_stems", M.target_stem, {"[[a/B|c]]": "B", "x#part": "x", "dir/Note.md": "Note", " [[ A ]] ": "A", "a/b#c|d": "b"})
-_cases("rule_budget", lambda t: M.within_budget(t, 30), {"short": "short", "line\n" * 40: "line\n" * 24 + "\n[truncated after about 30 tokens]\n"})
-_cases("rule_scalars", lambda t: M.joined_text(json.loads(t)), {'["a", null, 1, " b "]': "a, 1, b", "null": "", '"x "': "x ", '{"a": [1]}': '{"a":[1]}', "true": "true"})
+_cases("rule_percent", M.percent_decoded, {"a%20b+@": "a b+@", "%C3%A9@": "é@", "@%zz%4": "@%zz%4", "@%": "@%"})
+_cases("rule_headings", M.heading_key, {"🚪 Gate  Keeper @!": "gate keeper @", "Non-Negotiable_X: é@": "non-negotiable_x é@", "## A.B @": "a b @"})
+_cases("rule_types", M.inferred_type, {"20-Projects/@.md": "project", "40-Systems/@/b.md": "system", "01-Daily/@.md": "daily", "other/@.md": "note", "INDEX-@.md": "note"})
+_cases("rule_stems", M.target_stem, {"[[a/B@|c]]": "B@", "x@#part": "x@", "dir/Note @.md": "Note @", " [[ A@ ]] ": "A@", "a/b@#c|d": "b@"})
+_cases("rule_budget", lambda t: M.within_budget(t, 30), {"short @": "short @", "line\n" * 24 + "and @": "line\n" * 24 + "\n[truncated after about 30 tokens]\n"})
+_cases("rule_scalars", lambda t: M.joined_text(json.loads(t)), {'["a", null, @, " b "]': "a, @, b", '"x@ "': "x@ ", '{"a": [@]}': '{"a":[@]}', "@": "@"})

@@ -120,6 +120,29 @@ def test_sql_gate(spark, root):
             e.query(bad)
 
 
+#: Statements that the gate must refuse, and some that it must not.
+_GATED = {
+    "SELECT `java_method`('java.lang.Math', 'abs', -1)": True, "SELECT (SELECT reflect('java.lang.Math', 'abs', -1))": True, "WITH a AS (SELECT `try_reflect`('java.lang.Math', 'abs', -1) AS x) SELECT * FROM a": True,
+    "SELECT * FROM region LATERAL VIEW reflect('a', 'b') e": True, "SELECT * FROM region WHERE r_name IN (SELECT `java_method`('java.lang.Math', 'abs', -1))": True, "SELECT IDENTIFIER('reflect')('java.lang.Math', 'abs', -1)": True,
+    "SELECT * FROM parquet.`/etc`": True, "SELECT TRANSFORM(r_name) USING 'cat' FROM region": True, "WITH d AS (SELECT 1) DELETE FROM region": True, "INSERT INTO region VALUES (1)": True, "SELECT 1; SELECT 2": True,
+    "EXPLAIN DROP TABLE region": True, "SELECT input_file_name() FROM region": True, "SELECT current_user": True, "SELECT * FROM unknown_table": True, "VALUES (1)": True, "SELECT * FROM region |> SET r_name = reflect('java.lang.Math', 'abs', -1)": True,
+    "-- a note\nSELECT count(*) FROM region;": False, "/* a */ WITH r AS (SELECT 1 AS x) SELECT x FROM r": False, "EXPLAIN SELECT * FROM region": False, "SELECT `upper`(r_name) FROM region": False,
+    "SELECT r_name, 'DROP TABLE x; reflect(1)' AS s FROM region WHERE EXISTS (SELECT 1 FROM region)": False,
+}
+
+
+@pytest.mark.parametrize("statement", _GATED)
+def test_what_the_gate_refuses(spark, statement):
+    spark.createDataFrame([("a",)], "r_name string").createOrReplaceTempView("region")
+    try:
+        sqlgate.check(spark, statement, ["region"])
+        assert not _GATED[statement]
+    except sqlgate.SqlRefused:
+        assert _GATED[statement]
+    finally:
+        spark.catalog.dropTempView("region")
+
+
 def test_sql_rows_functions_and_matches(spark, root):
     e = Engine(spark, root)
     assert e.query("SELECT 1 AS a, 2 AS a, CAST('xy' AS binary) AS b") == [{"a": 2, "b": "<blob len=2>"}]
