@@ -4,7 +4,7 @@ Toxic and ordinary labelled texts each give counts of character n-grams within w
 are shared by both, so a rare or inflected expression is smoothed by what both classes have seen. A toxic text is taken as
 words of which a share SHARE comes from the toxic model and the others, as all of an ordinary text, from the ordinary one.
 The deciding figure is the difference of the two log-likelihoods of the whole text, divided by its number of words to the
-power NORM; nothing else enters. A logistic curve over its logarithm, fitted on texts that the models which score them have
+power NORM; a word's own difference counts as 50 at most, so that its exponential stays finite; nothing else enters. A logistic curve over its logarithm, fitted on texts that the models which score them have
 not seen (FOLDS folds), turns it into a probability, laid so that THRESHOLD is where the share of missed toxic texts of these and
 ALARM_COST times the share of ordinary ones that reach it are least in sum, in the middle of a gap between the two.
 
@@ -31,6 +31,11 @@ from quillspark.llm.kn import PairModel, WordCache, gram_counts
 
 ORDER, FOLDS = 5, 4
 #: Share of toxic words in a toxic text, power of the length, least figure that is told from none, cost of a false alarm.
+#: Compared on the training rows of sf0.1 alone (329 toxic, 2,661 ordinary), in three parts that are scored by models and bars
+#: fitted on the other two. Recall and false alarms: 0.918 and 0.0124 as set; cost 1: 0.927 and 0.0210; cost 10: 0.854 and
+#: 0.0079; power 1: 0.915 and 0.0199; share 0.02: 0.903 and 0.0068. Costs 1 and 3 have the same sum of both errors, and 3 the
+#: fewer false alarms. The plain difference over the number of words (share 1, power 1): 0.584 and 0.0214, as a few toxic words
+#: are lost among the others; hence the mixture.
 SHARE, NORM, FLOOR, ALARM_COST = 0.002, 0.75, 0.001, 3
 THRESHOLD = 0.3
 #: Bytes as words are split: A-Z lowered, other ASCII but letters is white space.
