@@ -7,8 +7,9 @@ Words are 64-bit hashes. Three passes over the texts:
    whose bigrams are dealt by both words: no shard grows with one word. Tasks send sorted, compressed blocks of distinct
    bigrams with their counts, so what is shuffled is pre-aggregated and no row is made for a single bigram. Each shard
    leaves sorted hash arrays, counts and context totals, and tells the word shards in how many contexts each word stands.
-3. Scoring tasks memory-map the arrays and look up the distinct words and bigrams of some megabytes of text at a time; a
-   worker keeps MOST_OPEN shards open at most.
+3. Scoring tasks memory-map the arrays, gather the tokens of about SCORE_TOKENS of text (a longer text stands alone) and look up
+   their distinct words and bigrams shard by shard, so a shard is opened once a gathering, not once a few megabytes; a worker
+   keeps MOST_OPEN shards open at most.
 
 Beyond FAN shards, blocks go to ranges of shards first and are merged there, so a block never shrinks to a few n-grams.
 
@@ -42,8 +43,9 @@ from quillspark.llm.kn import _sums, discounts_of
 
 #: Neither can be a word, as both are white space.
 END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n", b"\r"))
-#: Tokens that a task gathers before it sends their distinct bigrams, tokens scored at a time, and tokens a shard should hold.
-GATHER, SCORE_BYTES, SHARD_TOKENS = 2_000_000, 4 << 20, 1_250_000
+#: Tokens that a task gathers before it sends their distinct bigrams, tokens scored at a time (the latter take some 90 bytes of
+#: memory each), and tokens a shard should hold.
+GATHER, SCORE_TOKENS, SHARD_TOKENS = 2_000_000, 3_000_000, 1_250_000
 #: Shards that blocks are dealt to directly, and shards that a worker keeps open.
 FAN, MOST_OPEN = 1024, 128
 #: A first word is dealt by both words if it is more than this share of all tokens (and a quarter of a shard).
@@ -482,16 +484,41 @@ class Reader:
         return tuple(np.add.reduceat(x, starts) for x in ((n > 0)[token].astype(np.int64), base[token], np.log10(p)[back]))
 
 
+SCORES = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+
+
+def scored(batches: Iterator[pa.RecordBatch], arrays: Reader) -> Iterator[pa.RecordBatch]:
+    """The scores of (doc_id, text) batches, about SCORE_TOKENS tokens at a time."""
+    reader, ids, tokens, sizes, n = Tokens(), [], [], [], 0
+
+    def rows() -> pa.RecordBatch:
+        whole, own = np.concatenate(tokens), np.concatenate(sizes)
+        tokens.clear()
+        out = pa.record_batch([pa.concat_arrays(ids), pa.array(own), *map(pa.array, arrays.score(whole, own))], SCORES)
+        ids.clear()
+        sizes.clear()
+        return out
+
+    for batch in slices(batches, "text"):
+        t, s = reader.of(raw_texts(batch.column("text")))
+        ids.append(batch.column("doc_id"))
+        tokens.append(t)
+        sizes.append(s)
+        n += len(t)
+        if n >= SCORE_TOKENS:
+            yield rows()
+            n = 0
+            give_back()
+    if n:  # an empty text has a token too
+        yield rows()
+    give_back()
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score): one row a document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, arrays = Tokens(), Reader(model)
-        for batch in slices(batches, "text", SCORE_BYTES):
-            tokens, sizes = reader.of(raw_texts(batch.column("text")))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), *map(pa.array, arrays.score(tokens, sizes))], names)
-        give_back()
+        return scored(batches, Reader(model))
 
     return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")

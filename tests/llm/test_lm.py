@@ -121,3 +121,18 @@ def test_registered_query(spark, sf):
     assert {r.doc_id: r.held_out for r in rows} == out and {r.train_tokens for r in rows} == {sum(len((t or "").encode().split()) + 1 for t in train)}
     want = dict(zip(texts, plain(train, texts.values())))
     assert all((r.n_tokens, r.n_known) == want[r.doc_id][:2] and math.isclose(r.score, want[r.doc_id][3], rel_tol=1e-6) for r in rows)
+
+
+def test_a_shard_is_opened_once_a_gathering(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = lm.fit(docs, F.lit(True), least_shards=300)
+    table, opened, load = docs.toArrow(), Counter(), lm.load
+    batches = lambda: (table.slice(i, 10).combine_chunks().to_batches()[0] for i in range(0, table.num_rows, 10))
+    monkeypatch.setattr(lm, "load", lambda folder, name, kinds: (opened.update([name]), load(folder, name, kinds))[1])
+    whole = [r for b in lm.scored(batches(), lm.Reader(model)) for r in b.to_pylist()]
+    assert len(opened) > 2 * lm.MOST_OPEN
+    contexts_then_bigrams = 2  # a bigram shard is read for its contexts, then for its counts
+    assert max(opened.values()) <= contexts_then_bigrams
+    monkeypatch.setattr(lm, "SCORE_TOKENS", 1)
+    assert [r for b in lm.scored(batches(), lm.Reader(model)) for r in b.to_pylist()] == whole
+    assert max(opened.values()) > 10
