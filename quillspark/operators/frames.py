@@ -3,7 +3,8 @@
 GROUPS counts peers: a dense rank numbers the groups of equal order keys, and a RANGE over that number is a frame of whole groups. What
 EXCLUDE leaves of a frame is a union of frames (what lies before, among and after the peers), so sums and extremes are put
 together from those; only a ROWS frame without the row's peers is a difference, of the frame and of the same offsets among the peers. FILTER
-is a condition on the input. All windows of a call share the partition's shuffle.
+is a condition on the input. Rows are dealt once, to as many tasks as their size asks for, and sorted twice whatever the number of frames: by
+the order keys to number them, then by those numbers, which all frames are taken over.
 """
 
 from __future__ import annotations
@@ -41,21 +42,34 @@ class Frame:
         return _FIRST if self.start is None else self.start, _LAST if self.end is None else self.end
 
 
+#: Bytes of input, as the planner estimates them, that are dealt to one task.
+TASK_BYTES, MOST_TASKS = 4 << 20, 1 << 15
+
+
+def _dealt(df: DataFrame, frame: Frame) -> DataFrame:
+    """The rows by partition, in a number of tasks that grows with them, so that what a task sorts doesn't."""
+    if not frame.partition_by:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, min(MOST_TASKS, size // TASK_BYTES) if size < 1 << 60 else 0), *frame.partition_by)
+
+
 def _numbered(df: DataFrame, frame: Frame) -> tuple[DataFrame, str, str]:
-    """The rows with the number of their group and their place, under names that the frame doesn't have."""
+    """The rows with the number of their group and their place, under names that the frame doesn't have, in that order."""
     group, row = "_group", "_row"
     while group in df.columns or row in df.columns:
         group, row = group + "_", row + "_"
     keys = Window.partitionBy(*frame.partition_by)
-    df = df.withColumn(group, F.dense_rank().over(keys.orderBy(*frame.order_by)))
-    return df.withColumn(row, F.row_number().over(keys.orderBy(group, *frame.ties))), group, row
+    places = {group: F.dense_rank().over(keys.orderBy(*frame.order_by)), row: F.row_number().over(keys.orderBy(*frame.order_by, *frame.ties))}
+    return _dealt(df, frame).withColumns(places).sortWithinPartitions(*frame.partition_by, group, row), group, row
 
 
 def _parts(frame: Frame, group: str, row: str) -> tuple[list[WindowSpec], list[WindowSpec]]:
     """(frames whose union it is, frames to take away from it)."""
     first, last = frame.bounds
     keys = Window.partitionBy(*frame.partition_by)
-    by_row, by_group, peers = keys.orderBy(row), keys.orderBy(group), Window.partitionBy(*frame.partition_by, group).orderBy(row)
+    by_row, by_group, peers = keys.orderBy(group, row), keys.orderBy(group), Window.partitionBy(*frame.partition_by, group).orderBy(row)
     rows = lambda w, a, b: [w.rowsBetween(a, b)] if a <= b else []
     groups = lambda a, b: [by_group.rangeBetween(a, b)] if a <= b else []
     if not frame.exclude:
@@ -77,13 +91,22 @@ def _parts(frame: Frame, group: str, row: str) -> tuple[list[WindowSpec], list[W
 def over(df: DataFrame, frame: Frame, **columns: tuple[str, Column | None] | tuple[str, Column | None, Column]) -> DataFrame:
     """The rows with columns name=(function, value[, condition]): sum, count, avg, min or max over the frame of the values that meet
     the condition. count with value None counts rows. An empty frame gives null, or 0 for count; sums of whole numbers are exact."""
-    numbered, group, row = _numbered(df, frame)
-    added, removed = _parts(frame, group, row)
-    for name, (function, value, *condition) in columns.items():
-        met = condition[0] if condition else None
-        value = F.lit(1) if value is None else value
-        numbered = numbered.withColumn(name, _value(function, value if met is None else F.when(met, value), added, removed))
-    return numbered.drop(group, row)
+    return over_each(df, [(frame, columns)])
+
+
+def over_each(df: DataFrame, frames: list[tuple[Frame, dict]]) -> DataFrame:
+    """The same for several frames of one partition and order, each with its columns."""
+    first = frames[0][0]
+    if any((x.partition_by, x.order_by, x.ties) != (first.partition_by, first.order_by, first.ties) for x, _ in frames):
+        raise ValueError("frames of different partitions or orders")
+    numbered, group, row = _numbered(df, first)
+    made = {}
+    for frame, columns in frames:
+        added, removed = _parts(frame, group, row)
+        for name, (function, value, *condition) in columns.items():
+            value = F.lit(1) if value is None else value
+            made[name] = _value(function, F.when(condition[0], value) if condition and condition[0] is not None else value, added, removed)
+    return numbered.withColumns(made).drop(group, row)
 
 
 def _value(function: str, value: Column, added: list[WindowSpec], removed: list[WindowSpec]) -> Column:
