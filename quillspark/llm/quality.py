@@ -9,8 +9,8 @@ broadcasts what its statistics prove small, and shuffles the shards of what isn'
 two quantiles of its language, taken over all trusted documents that the model was not trained on: above are noise and
 foreign matter, far below are texts made of a few frequent words.
 
-The model is trained on a hash sample of at most half of the trusted documents and about `max_rows` rows and `max_chars`
-characters (a documented bound). Languages with fewer than `least_trusted` such documents, and rows without lang, use the
+The model is trained on half of the trusted documents, drawn by a hash of their id, all of their text; the other half gives the
+bounds, which texts that the model has seen can't. Its counts stay in tables from the first to the last. Languages with fewer than `least_trusted` such documents, and rows without lang, use the
 quantiles over all languages; `bounds_of` says which. Quantiles are values of the documents whose rank is off by 1/10,000 of
 their number at most (exact up to 10,000 documents), in memory that does not grow with it.
 
@@ -22,6 +22,7 @@ documents nothing has a perplexity and nothing passes; an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import lm
 from quillspark.llm.common import discard, materialize, new_folder, raw_texts, slices, tidied
-from quillspark.llm.kn import BITS, CharModel, WordCache, gram_counts, log_by_word, pack
+from quillspark.llm.kn import BITS, CharModel, WordCache, discounts_of, gram_counts, log_by_word, pack
 
 ORDER, QUANTILES, LEAST_TRUSTED = 5, (0.001, 0.995), 50
 #: Distinct words that a task gathers before it cuts them, and distinct n-grams before it sends them.
 GATHER_WORDS, GATHER_GRAMS = 300_000, 4_000_000
 _DRAW = 2_000_000
+#: The share of trusted documents that the model learns from; the rest gives the bounds.
+TRAINED = 0.5
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
@@ -46,19 +49,47 @@ def _draw():
     return F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(_DRAW))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 16_000_000) -> tuple[CharModel | None, float]:
+@dataclass
+class TableModel:
+    """A model whose counts are tables: ((gram, share), (context, backoff)) of each order."""
+
+    levels: list[tuple[DataFrame, DataFrame]]
+    order: int = ORDER
+
+    def probabilities(self, grams: np.ndarray) -> np.ndarray:
+        """Those of some n-grams, for comparisons."""
+        distinct, back = np.unique(grams, return_inverse=True)
+        asked = self.levels[0][0].sparkSession.createDataFrame(pa.table({"gram": distinct.view(np.int64)}))
+        found = _probabilities(asked, self.levels).orderBy("gram").toArrow()
+        return found.column("p").to_numpy()[back]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[TableModel | None, float]:
     """(model, share): the model, and the share of trusted documents that it was trained on, the lowest by _draw()."""
-    trusted = _trusted(labels)
-    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(trusted, "doc_id").agg(F.count(F.lit(1)), F.sum("chars")).first()
-    if not sizes[0]:
-        return None, 0.0
-    share = min(0.5, max_rows / sizes[0], max_chars / max(1, sizes[1]))
-    chosen = trusted.where(_draw() < share * _DRAW)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("text")
-    grams = gram_counts(sample, [], bytes.split, ORDER).toArrow()
-    if not grams.num_rows:
-        return None, 0.0
-    return CharModel(grams.column("gram").to_numpy().view(np.uint64), grams.column("n").to_numpy(), order=ORDER), share
+    mine = _draw() < TRAINED * _DRAW
+    trained = docs.select("doc_id", "text").where(mine & F.col("text").isNotNull()).join(_trusted(labels).where(mine), "doc_id").select("text")
+    grams = materialize(gram_counts(trained, [], bytes.split, ORDER), "grams")
+    return (TableModel(_levels(grams)), TRAINED) if grams.head(1) else (None, 0.0)
+
+
+def _levels(grams: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """The tables of each order from the counts (gram, n) of the highest: lower n-grams count the contexts of one more symbol that they
+    stand in."""
+    out = []
+    for k in range(ORDER, 0, -1):
+        of = {r.n: r["count"] for r in grams.where("n <= 4").groupBy("n").count().collect()}
+        d = discounts_of(*(of.get(i, 0) for i in (1, 2, 3, 4)))
+        less = F.when(F.col("n") == 1, float(d[1])).when(F.col("n") == 2, float(d[2])).otherwise(float(d[3]))
+        counted = grams.select("gram", "n", less.alias("less"), F.shiftright("gram", BITS).alias("context"))
+        totals = materialize(counted.groupBy("context").agg(F.sum("n").alias("total"), F.sum("less").alias("less")), "contexts")
+        shared = counted.join(F.broadcast(totals.drop("less")) if k <= 2 else totals.drop("less"), "context")
+        share = materialize(shared.select(F.col("gram").alias("s_gram"), ((F.col("n") - F.col("less")) / F.col("total")).alias(f"s{k}")), "shares")
+        out.append((share, totals.select("context", (F.col("less") / F.col("total")).alias(f"b{k}"))))
+        if k > 1:
+            lower = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
+            higher, grams = grams, materialize(grams.groupBy(lower.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
+            discard(higher)
+    return out[::-1]
 
 
 def _shard(grams: np.ndarray, shards: int) -> np.ndarray:
@@ -92,8 +123,11 @@ def _distinct_grams(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("text").mapInArrow(tidied(run), "gram long").distinct()
 
 
-def _counts(spark: SparkSession, model: CharModel) -> list[tuple[DataFrame, DataFrame]]:
-    """((gram, share), (context, backoff)) of each order, read from files of their own, so that the planner knows each one's size."""
+def _counts(spark: SparkSession, model: TableModel | CharModel) -> list[tuple[DataFrame, DataFrame]]:
+    """((gram, share), (context, backoff)) of each order. A model that is at hand as arrays gets files of its own, so that the planner
+    knows each table's size."""
+    if isinstance(model, TableModel):
+        return model.levels
     shares, backs = new_folder(spark, "shares"), new_folder(spark, "backoffs")
     for path, names in ((shares, ["grams", "share"]), (backs, ["contexts", "backoff"])):
         each = [[getattr(x, n) for n in names] for x in model.levels]
@@ -116,7 +150,7 @@ def _probabilities(grams: DataFrame, counts: list[tuple[DataFrame, DataFrame]])
     return out.select("gram", p.alias("p"))
 
 
-def _gram_shards(docs: DataFrame, model: CharModel) -> tuple[str, int]:
+def _gram_shards(docs: DataFrame, model: TableModel | CharModel) -> tuple[str, int]:
     """(folder, shards): the probability of each n-gram in the texts, written as shards of arrays sorted by n-gram."""
     spark = docs.sparkSession
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -145,7 +179,7 @@ def _gram_shards(docs: DataFrame, model: CharModel) -> tuple[str, int]:
     return folder, shards
 
 
-def perplexities(docs: DataFrame, model: CharModel | None) -> DataFrame:
+def perplexities(docs: DataFrame, model: TableModel | CharModel | None) -> DataFrame:
     """(doc_id, lang, perplexity): one row a document."""
     kinds = {n: docs.schema[n].dataType.simpleString() for n in ("doc_id", "lang")}
     folder, shards = _gram_shards(docs, model) if model else ("", 0)
@@ -176,10 +210,10 @@ def perplexities(docs: DataFrame, model: CharModel | None) -> DataFrame:
     return docs.select("doc_id", "lang", "text").mapInArrow(tidied(run), f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] = QUANTILES, max_rows: int = 4000, max_chars: int = 16_000_000, least_trusted: int | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] = QUANTILES, least_trusted: int | None = None) -> DataFrame:
     """(doc_id, perplexity, least, most, passes, bounds_of): passes is 1 if the perplexity lies within the bounds of its
     language (bounds_of is that), or of all (null)."""
-    model, share = fit(docs, labels, max_rows, max_chars)
+    model, share = fit(docs, labels)
     scored = materialize(perplexities(docs, model), "quality")
     judged = scored.join(_trusted(labels).where(_draw() >= share * _DRAW), "doc_id").where("perplexity is not null")
     bounds = F.percentile_approx("perplexity", F.array(*map(F.lit, quantiles)), 10_000).alias("q")

@@ -118,3 +118,18 @@ def test_registered_query(spark, sf):
     got = queries.op6_quality(spark, sf)
     assert got.columns == ["doc_id", "perplexity", "least", "most", "passes", "bounds_of"]
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_the_model_counts_every_trained_document(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5)))
+    rows = [(i, f"{name()} {name()}") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(12_000)], "doc_id long, quality int")
+    model, share = quality.fit(docs, labels)
+    chosen = {r.doc_id for r in docs.where(quality._draw() < 0.5 * quality._DRAW).select("doc_id").collect()}
+    assert share == 0.5 and len(chosen) > 5_500  # more than the 4,000 that a bound once left
+    grams, _ = kn.pack([w for i, t in rows if i in chosen for w in t.split()], quality.ORDER)
+    plain = kn.CharModel(grams, np.ones(len(grams), np.int64), order=quality.ORDER)
+    asked = np.unique(kn.pack([w for _, t in rows for w in t.split()] + ["xyz", "aé"], quality.ORDER)[0])
+    assert np.allclose(model.probabilities(asked), plain.probabilities(asked), rtol=1e-5)
