@@ -121,3 +121,20 @@ def test_clumps_against_every_pair_and_of_a_long_note(spark):
     began = time.monotonic()
     assert [r.rel_path for r in fulltext.match(long, 'NEAR(the "of the" wor*, 4)').collect()] == ["a.md"]
     assert time.monotonic() - began < 60
+
+
+def shuffled(spark):
+    """Bytes that the session's stages wrote to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["bm25_stemming"])
+def test_a_search_of_a_table_shuffles_a_small_part_of_its_text(spark, name):
+    d = "/root/testdata/sf0.01"
+    text = spark.read.parquet(f"{d}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled(spark)
+    assert catalog.queries()[name](spark, d).collect()
+    assert shuffled(spark) - before < text / 50
