@@ -131,7 +131,7 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["bm25_stemming", "match_first", "bm25_phrase", "match_snippet", "match_phrase", "match_columns"])
+@pytest.mark.parametrize("name", ["bm25_stemming", "match_first", "bm25_phrase", "match_snippet", "match_phrase", "match_columns", "rrf_hybrid"])
 def test_a_search_of_a_table_shuffles_a_small_part_of_its_text(spark, name):
     d = "/root/testdata/sf0.01"
     text = spark.read.parquet(f"{d}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
