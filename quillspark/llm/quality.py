@@ -39,6 +39,8 @@ GATHER_WORDS, GATHER_GRAMS = 300_000, 4_000_000
 _DRAW = 2_000_000
 #: The share of trusted documents that the model learns from; the rest gives the bounds.
 TRAINED = 0.5
+#: Bits by which texts are told from those of the model before a join: 4 MB at most.
+SIEVE = 1 << 25
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
@@ -64,11 +66,28 @@ class TableModel:
         return found.column("p").to_numpy()[back]
 
 
+def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents that may have one of the ids: all that have, and few others as long as there are far fewer ids than bits. Each id sets the
+    bit of its hash; the bits are at most 1,024 rows of 4 KB and are broadcast, whatever the number of ids."""
+    at = F.pmod(F.xxhash64("doc_id", F.lit("sieve")), F.lit(SIEVE))
+    part, bit = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    bits = ids.select(part.alias("_part"), bit.alias("_bit")).repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substr("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("_part", part).join(F.broadcast(bits), "_part")
+    return found.where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*docs.columns)
+
+
+def _texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text): of the trusted documents that the model learns from. Other texts are dropped before the join, which shuffles what is left where
+    there are too many ids to broadcast."""
+    mine = _draw() < TRAINED * _DRAW
+    ids = materialize(_trusted(labels).where(mine), "trusted")
+    return _sieved(docs.select("doc_id", "text").where(mine & F.col("text").isNotNull()), ids).join(ids, "doc_id").select("text")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[TableModel | None, float]:
     """(model, share): the model, and the share of trusted documents that it was trained on, the lowest by _draw()."""
-    mine = _draw() < TRAINED * _DRAW
-    trained = docs.select("doc_id", "text").where(mine & F.col("text").isNotNull()).join(_trusted(labels).where(mine), "doc_id").select("text")
-    grams = materialize(gram_counts(trained, [], bytes.split, ORDER), "grams")
+    grams = materialize(gram_counts(_texts(docs, labels), [], bytes.split, ORDER), "grams")
     return (TableModel(_levels(grams)), TRAINED) if grams.head(1) else (None, 0.0)
 
 

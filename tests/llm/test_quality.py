@@ -133,3 +133,23 @@ def test_the_model_counts_every_trained_document(spark):
     plain = kn.CharModel(grams, np.ones(len(grams), np.int64), order=quality.ORDER)
     asked = np.unique(kn.pack([w for _, t in rows for w in t.split()] + ["xyz", "aé"], quality.ORDER)[0])
     assert np.allclose(model.probabilities(asked), plain.probabilities(asked), rtol=1e-5)
+
+
+def test_texts_that_the_model_does_not_learn_from_are_dropped_before_the_join(spark):
+    rows = [(i, f"text {i}") for i in range(20_000)] + [(7, "again"), (None, "no id"), (14, None)]
+    trusted = set(range(0, 20_000, 7))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in trusted)) for i in range(20_000)] + [(None, 1)], "doc_id long, quality int")
+    for kind in ("long", "string"):
+        d, own = docs.withColumn("doc_id", F.col("doc_id").cast(kind)), labels.withColumn("doc_id", F.col("doc_id").cast(kind))
+        mine = quality._draw() < quality.TRAINED * quality._DRAW
+        ids = own.where(mine & (F.col("quality") == 1)).where("doc_id is not null").select("doc_id")
+        want = sorted(r.text for r in d.join(ids, "doc_id").where("text is not null").collect())
+        kept = [r.text for r in quality._sieved(d, ids).collect()]
+        assert set(want) <= set(kept) and len(kept) < 1.02 * len(want)  # of 20,003
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert sorted(r.text for r in quality._texts(d, own).collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert quality._sieved(docs, ids.limit(0).withColumn("doc_id", F.col("doc_id").cast("long"))).count() == 0
