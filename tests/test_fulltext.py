@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions.latin import tokens
 from quillspark.operators import fulltext, rank
 from quillspark.operators.fulltext import Both, Either, MatchError, Near, Without, parse
 from quillspark.operators.rank import Phrase
@@ -138,3 +139,22 @@ def test_a_search_of_a_table_shuffles_a_small_part_of_its_text(spark, name):
     before = shuffled(spark)
     assert catalog.queries()[name](spark, d).collect()
     assert shuffled(spark) - before < text / 50
+
+
+def test_a_prefix_spares_the_tests_of_what_begins_with_it(spark):
+    phrases = list(dict.fromkeys(p for g in rank.parse("working worked") for p in g))
+    slots = rank._slots(phrases, False)[0]
+    assert len(slots) == 6 and rank._widest(slots) == [("work", True)]
+    assert rank._widest([("a", False), ("ab", True), ("abc", False), ("ab", False)]) == [("a", False), ("ab", True)]
+    text = "Working works WORK worker W\u00f6rking word worked working"
+    notes = spark.createDataFrame([("a.md", "d", "", "", "", text)], "rel_path string, domain string, title string, tags string, summary string, body string")
+    row, words = rank.scanned(notes, phrases, False, ["rel_path"]).first(), rank.plain_tokens(text)
+    for i, p in enumerate(phrases):
+        assert row[f"o{i}"][4] == sum(w.startswith(p.tokens[0]) if p.prefix else w == p.tokens[0] for w in words), p
+
+
+def test_ascii_texts_are_not_looked_up_letter_by_letter(spark):
+    texts = ["Plain TEXT, 2 words", "\u00c9cole f\u00fcr", "na\u00efve plain \u00c5NGSTR\u00d6M \u4e2d\u6587", "", None]
+    split = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens("t").alias("words"))
+    assert [tuple(r.words) for r in split.collect()] == [rank.plain_tokens(t or "") for t in texts]
+    assert "octet_length" in split._jdf.queryExecution().optimizedPlan().toString()
