@@ -1,6 +1,7 @@
 """The MATCH grammar, phrases over places, and snippets as columns."""
 
 import random
+import shutil
 import time
 
 import pyarrow as pa
@@ -141,6 +142,16 @@ def test_a_search_of_a_table_shuffles_a_small_part_of_its_text(spark, name):
     assert shuffled(spark) - before < text / 50
 
 
+@pytest.mark.parametrize("name", ["match_first", "bm25_phrase", "match_snippet", "match_phrase", "match_columns", "rrf_hybrid"])
+def test_the_first_search_of_a_table_shuffles_a_small_part_of_its_text(spark, tmp_path, name):
+    for t in ("documents", "embeddings"):  # a path of its own, so that nothing kept by an earlier search serves it
+        shutil.copy(f"/root/testdata/sf0.01/{t}.parquet", tmp_path)
+    text = spark.read.parquet(f"{tmp_path}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled(spark)
+    assert catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert shuffled(spark) - before < text / 50
+
+
 def test_a_prefix_spares_the_tests_of_what_begins_with_it(spark):
     phrases = list(dict.fromkeys(p for g in rank.parse("working worked") for p in g))
     slots = rank._slots(phrases, False)[0]
